@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, reputation, sharding
-from .base import small_batches, table
+from . import bpe, mixing, reputation, sharding, substrings, topk
+from .base import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def tokenizer_path() -> str:
+    """Where the vocabulary of the queries lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 24)
 
@@ -27,6 +38,14 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 MIX_DOMAINS = {"forum": 0.6, "press": 0.4}
 MIX_LANGS = {"en": 0.4, "fr": 0.25, "de": 0.25, "es": 0.1}
 
@@ -48,7 +67,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_shards, op6_url_reputation, op9_mix)}
+    return {f.__name__: f for f in (op2_bpe, op5_shards, op6_url_reputation, op7_topk, op8_substrings, op9_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
