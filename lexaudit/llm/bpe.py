@@ -11,24 +11,24 @@ import hashlib
 import json
 import os
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches
+from .base import packed_blocks, small_batches, text_blocks, unpacked
 
 #: UTF-8 bytes of text in a block.
-BLOCK_BYTES = 4 << 20
-#: The split that byte-level BPE files of this kind prescribe. Fixed value.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Letters and digits are classed alike by all Unicode versions here; other texts are split by the library itself.
-COMMON = re.compile("[^\x00-ɏ]")
+BLOCK_BYTES = 16 << 20
+#: Texts of lower code points are split by a pattern made from the library's own classes; others by the library.
+COMMON = 0x250
+#: So many frequent words, found in so many rows, are encoded beforehand and sent to all tasks: a table of
+#: bounded size that spares the shuffle its most repeated rows. All other words go through the shuffle.
+HOT_WORDS, HOT_ROWS = 100_000, 4000
 
 
 @lru_cache(maxsize=4)
@@ -50,6 +50,19 @@ class Codec:
         found = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None
         self.pieces = self._pieces()
+        self.decimal = [b"%d" % i for i in range(len(self.pieces))]
+        self.kind = np.uint16 if len(self.pieces) <= 1 << 16 else np.int32
+        self.uncommon = re.compile(f"[^\\x00-{chr(COMMON - 1)}]")
+        self.split = self._split()
+
+    def _split(self) -> re.Pattern:
+        """The split of byte-level BPE: contractions, then runs of letters, digits or symbols with a space before, then white space."""
+        classes: dict[str, str] = {"letter": "", "digit": "", "symbol": "", "white": ""}
+        for c in map(chr, range(COMMON)):
+            alike = next((k for k, example in (("letter", "a"), ("digit", "1"), ("symbol", "!")) if len(self.tokenizer.pre_tokenizer.pre_tokenize_str(example + c)) == 1), "white")
+            classes[alike] += re.escape(c)
+        runs = "".join(f"| ?[{classes[k]}]+" for k in ("letter", "digit", "symbol"))
+        return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d{runs}|[{classes['white']}]+(?![^{classes['white']}])|[{classes['white']}]+")
 
     def _pieces(self) -> list[bytes]:
         """The bytes of each id; the vocabulary writes bytes as printable characters."""
@@ -67,62 +80,53 @@ class Codec:
         for part in self.cut.split(text) if self.cut and self.cut.search(text) else (text,):
             if part in self.special:
                 out.append(part)
-            elif COMMON.search(part):
+            elif self.uncommon.search(part):
                 out.extend(part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part))
             else:
-                out.extend(SPLIT.findall(part))
+                out.extend(self.split.findall(part))
         return out
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
+        """Joins ids to their pieces."""
         pieces = self.pieces
         return b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list, list]]:
-    """(block, keys, texts) of this task's rows, cut by bytes of text: the same cut whenever the rows are the same."""
-    number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-    keys: list = []
-    texts: list[str] = []
-    held = 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys.append(key)
-            texts.append(text or "")
-            held += len(texts[-1]) + 16
-            if held >= size:
-                yield number, keys, texts
-                number, keys, texts, held = number + 1, [], [], 0
-    if keys:
-        yield number, keys, texts
-
-
-def code(docs: DataFrame, path: str, finish: Callable[[Codec, np.ndarray], tuple], schema: list[tuple[str, str, pa.DataType]], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _hot_words(rows: DataFrame, path: str) -> dict[str, bytes]:
+    """Ids of the words that some rows hold most often: any other choice gives the same results."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, counts = load(path), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(codec.words(text or ""))
+        words = [w for w, n in counts.most_common(HOT_WORDS) if n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(codec.encode_words(words), pa.binary())], names=["word", "ids"])
+
+    found = rows.select("text").limit(HOT_ROWS).mapInArrow(count, "word string, ids binary").toArrow()
+    return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True))
+
+
+def code(docs: DataFrame, path: str, finish: Callable[[Codec, list[int]], tuple], schema: list[tuple[str, str, pa.DataType]], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id_col and, for each row, the columns that finish(codec, ids) returns; schema: (name, Spark type, Arrow type)."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
+    hot = spark.sparkContext.broadcast(_hot_words(rows, path))
+
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(path)
-        for block, _, texts in _blocks(batches, block_bytes):
+        for block, held in text_blocks(batches, 1, block_bytes):
             words: set[str] = set()
-            for text in texts:
-                words.update(codec.words(text))
-            held = list(words)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(held), pa.int64()), pa.array(held, pa.string())], names=["block", "word"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import BufferOutputStream, ipc
-
-        for block, keys, texts in _blocks(batches, block_bytes):
-            held = pa.record_batch({"id": pa.array(keys), "text": pa.array(texts, pa.large_string())})
-            out = BufferOutputStream()
-            with ipc.new_stream(out, held.schema, options=ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(held)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
+            for text in held["text"].to_pylist():
+                words.update(codec.words(text or ""))
+            listed = list(words - hot.value.keys())
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(listed), pa.int64()), pa.array(listed, pa.string())], names=["block", "word"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by word: each is encoded when it is first met."""
@@ -130,7 +134,7 @@ def code(docs: DataFrame, path: str, finish: Callable[[Codec, np.ndarray], tuple
         for batch in batches:
             words = batch.column(1).to_pylist()
             new = [w for w, before in zip(words, [last, *words], strict=False) if w != before]
-            fresh = iter([np.array(x, np.int32).tobytes() for x in codec.encode_words(new)])
+            fresh = iter(codec.encode_words(new))
             out = []
             for w in words:
                 if w != last:
@@ -139,24 +143,22 @@ def code(docs: DataFrame, path: str, finish: Callable[[Codec, np.ndarray], tuple
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "word", "ids"])
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        from pyarrow import ipc
-
         codec = load(path)
-        ids_of = dict(zip(right["word"].to_pylist(), right["ids"].to_pylist(), strict=True))
+        ids_of = hot.value | dict(zip(right["word"].to_pylist(), right["ids"].to_pylist(), strict=True))
         keys: list = []
         out: list[tuple] = []
-        for blob in left["texts"]:
-            held = ipc.open_stream(blob.as_buffer()).read_all()
+        for blob in left["rows"]:
+            held = unpacked(blob)
             for key, text in zip(held["id"].to_pylist(), held["text"].to_pylist(), strict=True):
-                words = codec.words(text)
+                words = codec.words(text or "")
                 try:
                     ids = b"".join([ids_of[w] for w in words])
-                except KeyError:  # rows of a block that was cut otherwise when its words were listed
+                except KeyError:  # the block was cut otherwise when its words were listed
                     lost = [w for w in set(words) if w not in ids_of]
-                    ids_of.update(zip(lost, (np.array(x, np.int32).tobytes() for x in codec.encode_words(lost)), strict=True))
+                    ids_of.update(zip(lost, codec.encode_words(lost), strict=True))
                     ids = b"".join([ids_of[w] for w in words])
                 keys.append(key)
-                out.append(finish(codec, np.frombuffer(ids, np.int32)))
+                out.append(finish(codec, np.frombuffer(ids, codec.kind).tolist()))
         columns = {"id": pa.array(keys, left_id_type)}
         for i, (name, _, kind) in enumerate(schema):
             columns[name] = pa.array([x[i] for x in out], kind)
@@ -167,7 +169,7 @@ def code(docs: DataFrame, path: str, finish: Callable[[Codec, np.ndarray], tuple
     left_id_type = to_arrow_type(rows.schema["id"].dataType)
     words = rows.mapInArrow(distinct, "block long, word string").repartition("word").sortWithinPartitions("word")
     coded = words.mapInArrow(encode, "block long, word string, ids binary")
-    texts = rows.mapInArrow(pack, "block long, texts binary")
+    texts = packed_blocks(rows, 1, block_bytes)
     result = f"id {id_type}, " + ", ".join(f"{n} {t}" for n, t, _ in schema)
     return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, result).withColumnRenamed("id", id_col)
 
@@ -179,7 +181,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no ids. Repeated rows are kept; rows may share an id or have none. Other
     columns are left out. An empty table gives an empty one.
     """
-    return code(docs, path, lambda c, ids: (ids.tolist(),), [("ids", "array<int>", pa.list_(pa.int32()))], id_col, text_col)
+    return code(docs, path, lambda c, ids: (ids,), [("ids", "array<int>", pa.list_(pa.int32()))], id_col, text_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -199,10 +201,9 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return rows.mapInArrow(text, f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
 
 
-def _digest(codec: Codec, ids: np.ndarray) -> tuple[int, str, str]:
-    listed = ids.tolist()
-    decimal = ",".join(map(str, listed)).encode()
-    return len(listed), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(codec.decode(listed).encode()).hexdigest()
+def _digest(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
+    decimal = codec.decimal
+    return len(ids), hashlib.sha256(b",".join([decimal[i] for i in ids])).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
