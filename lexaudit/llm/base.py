@@ -7,7 +7,6 @@ at once with prefix sums; a window's hash is a difference of two prefix sums.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -194,3 +194,65 @@ def binary_lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     values = np.ascontiguousarray(values)
     offsets = (np.asarray(bounds, dtype=np.int64) * values.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+# ---------------------------------------------------------------- blocks of text
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch], text_at: int, size: int) -> Iterator[tuple[int, pa.Table]]:
+    """A task's rows in blocks of about so many bytes of text, each with a number that follows from its
+    rows alone: a second pass over the same rows finds the same blocks under the same numbers."""
+    held: list[pa.RecordBatch] = []
+    have = 0
+    for batch in batches:
+        _, offsets = utf8(batch.column(text_at))
+        cost = offsets + 16 * np.arange(len(offsets))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(cost, cost[lo] + size - have))
+            hi = min(max(hi, lo + 1), batch.num_rows)
+            held.append(batch.slice(lo, hi - lo))
+            have += int(cost[hi] - cost[lo])
+            lo = hi
+            if have >= size:
+                yield _numbered(held)
+                held, have = [], 0
+    if held:
+        yield _numbered(held)
+
+
+def _numbered(held: list[pa.RecordBatch]) -> tuple[int, pa.Table]:
+    import xxhash
+
+    rows = pa.Table.from_batches(held).combine_chunks()
+    digest = xxhash.xxh3_64(str(rows.num_rows))
+    for column in rows.columns:
+        digest.update(str(column.null_count))
+        if pa.types.is_string(column.type):
+            data, offsets = utf8(column)
+            digest.update(np.ascontiguousarray(offsets - offsets[0]))
+            digest.update(data[offsets[0] : offsets[-1]])
+        else:
+            digest.update(repr(column.to_pylist()))
+    return int(np.array(digest.intdigest(), np.uint64).view(np.int64)), rows
+
+
+def packed(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
+        writer.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(blob: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
+
+
+def packed_blocks(rows: DataFrame, text_at: int, size: int) -> DataFrame:
+    """(block, rows): each block's rows as one compressed value, a fraction of the text's size in a shuffle."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, held in text_blocks(batches, text_at, size):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed(held)], pa.binary())], names=["block", "rows"])
+
+    return rows.mapInArrow(pack, "block long, rows binary")

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, binary_lists, mix, signed, small_batches, word_chunks
+from .base import Words, packed_blocks, signed, small_batches, text_blocks, unpacked, word_chunks
 
 WINDOW = 50
 #: A perfect difference set: every non-zero remainder modulo 31 is a difference of two of them. Fixed values.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-ANCHOR = WINDOW - PERIOD + 1
+#: Bytes of text that are read, compared and cut together.
+BLOCK_BYTES = 4 << 20
 
 
 class _Doc:
@@ -74,75 +75,91 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     Hashes of compared windows have 128 bits.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k"), F.col(text_col).alias("text"))
     length = window - period + 1
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in word_chunks(batch.column(1)):
+        for block, held in text_blocks(batches, 2, BLOCK_BYTES):
+            for w in word_chunks(held["text"]):
                 one, two = (w.spans(w.first[:-1], w.first[1:], second=x) for x in (False, True))
                 sha = [hashlib.sha256(_join(w, w.first[i], w.first[i + 1], None)).hexdigest() for i in range(w.hi - w.lo)]
-                keys = [batch.column(c).slice(w.lo, w.hi - w.lo) for c in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(signed(one)), pa.array(signed(two)), pa.array(w.count.astype(np.int64)), pa.array(sha)], names=["id", "k", "t1", "t2", "n", "sha"])
+                keys = [held[c].combine_chunks().slice(w.lo, w.hi - w.lo) for c in ("id", "k")]
+                here = [pa.array(np.full(w.hi - w.lo, block)), pa.array(np.arange(w.lo, w.hi, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays([*here, *keys, pa.array(signed(one)), pa.array(signed(two)), pa.array(w.count.astype(np.int64)), pa.array(sha, pa.string())], names=["block", "row", "id", "k", "t1", "t2", "n", "sha"])
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            has_id = np.asarray(batch.column(0).is_valid())
-            ids = batch.column(0).fill_null(0).to_numpy()
-            for w in word_chunks(batch.column(1)):
+        """Each of a block's anchors once, with the least and the largest mark of the texts that hold it."""
+        for block, held in text_blocks(batches, 2, BLOCK_BYTES):
+            has_id = np.asarray(held["id"].combine_chunks().is_valid())
+            hashes, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for w in word_chunks(held["text"]):
                 d = _Doc(w, window, period, cover, has_id[w.lo : w.hi])
-                doc = d.doc[d.anchors]
-                # an anchor that a text holds twice counts once
-                _, once = np.unique(d.hashes ^ mix(doc.astype(np.uint64)), return_index=True)
-                whole = signed(w.spans(w.first[:-1], w.first[1:]))[doc[once]]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(d.hashes[once])), pa.array(ids[w.lo + doc[once]]), pa.array(whole)], names=["hash", "id", "t1"])
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            bounds = lists.offsets.to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary_lists(lists.flatten().to_numpy(), bounds - bounds[0])], names=["id", "shared"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, shared = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
-            for w in word_chunks(batch.column(1)):
-                d = _Doc(w, window, period, cover)
-                hit = [np.zeros(0, np.int64)]
-                for i in range(w.hi - w.lo):
-                    a, b = np.searchsorted(d.anchors, (w.first[i], w.first[i + 1]))
-                    known = np.frombuffer(shared[w.lo + i].as_buffer(), np.uint64)
-                    hit.append(d.anchors[a:b][np.isin(d.hashes[a:b], known)])
-                start = np.flatnonzero(_spread(np.concatenate(hit), len(w.hash), window - length, 0) & d.starts)
-                doc = d.doc[start]
-                one, two = (signed(w.windows(start, window, second=x)) if len(start) else np.zeros(0, np.int64) for x in (False, True))
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids[w.lo + doc]), pa.array(keys[w.lo + doc]), pa.array((start - w.first[:-1][doc]).astype(np.int32))], names=["w1", "w2", "id", "k", "pos"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in word_chunks(batch.column(1)):
-                gone, sha, left = [], [], []
-                for i in range(w.hi - w.lo):
-                    lost = _spread(np.array(batch.column(3)[w.lo + i].as_py(), dtype=np.int64), int(w.count[i]), 0, window - 1)
-                    kept = _join(w, w.first[i], w.first[i + 1], ~lost)
-                    gone.append(int(lost.sum()))
-                    sha.append(hashlib.sha256(kept).hexdigest())
-                    left.append(kept)
-                keys = [batch.column(c).slice(w.lo, w.hi - w.lo) for c in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.binary()).cast(pa.string())], names=["id", "k", "gone", "cut_sha", "cut"])
-
-    texts = rows.mapInArrow(profile, "id long, k long, t1 long, t2 long, n long, sha string")
+                hashes.append(d.hashes)
+                marks.append(w.spans(w.first[:-1], w.first[1:])[d.doc[d.anchors]])
+            h, m = np.concatenate(hashes), signed(np.concatenate(marks))
+            order = np.lexsort((m, h))
+            h, m = h[order], m[order]
+            edge = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            last = np.append(edge[1:], len(h)) - 1 if len(h) else edge
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[edge])), pa.array(np.full(len(edge), block)), pa.array(m[edge]), pa.array(m[last])], names=["hash", "block", "a", "b"])
+
+    def opened(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            raise RuntimeError("a block has changed between two readings of its table")
+        return unpacked(left["rows"][0])
+
+    def windows(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        value, is_copy = right["value"].to_numpy(), right["is_copy"].to_numpy(zero_copy_only=False)
+        if len(value):
+            held, block = opened(left, right), right["block"][0].as_py()
+            known = np.sort(value[~is_copy].view(np.uint64))
+            ids = held["id"].combine_chunks().fill_null(0).to_numpy()
+            use = np.asarray(held["id"].combine_chunks().is_valid()) & ~np.isin(ids, value[is_copy])
+            for w in word_chunks(held["text"]):
+                d = _Doc(w, window, period, cover, use[w.lo : w.hi])
+                at = np.minimum(np.searchsorted(known, d.hashes), max(len(known) - 1, 0))
+                hit = d.anchors[known[at] == d.hashes] if len(known) else d.anchors[:0]
+                start = np.flatnonzero(_spread(hit, len(w.hash), window - length, 0) & d.starts)
+                if len(start):
+                    doc = d.doc[start]
+                    for column, x in zip(out, (signed(w.windows(start, window)), signed(w.windows(start, window, second=True)), ids[w.lo + doc], np.full(len(start), block), ((w.lo + doc) << 32) | (start - w.first[:-1][doc])), strict=True):
+                        column.append(x)
+        return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64()) for c, x in zip(("w1", "w2", "id", "block", "at"), out, strict=True)})
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        block, row, gone, sha, left_over = [], [], [], [], []
+        at = np.sort(right["at"].to_numpy())
+        if len(at):
+            held = opened(left, right)
+            for w in word_chunks(held["text"]):
+                for i in range(w.lo, w.hi):
+                    a, b = np.searchsorted(at, (i << 32, (i + 1) << 32))
+                    if a < b:
+                        first, last = w.first[i - w.lo], w.first[i - w.lo + 1]
+                        lost = _spread(at[a:b] & 0xFFFFFFFF, last - first, 0, window - 1)
+                        kept = _join(w, first, last, ~lost)
+                        block.append(right["block"][0].as_py())
+                        row.append(i)
+                        gone.append(int(lost.sum()))
+                        sha.append(hashlib.sha256(kept).hexdigest())
+                        left_over.append(kept)
+        return pa.table({"block": pa.array(block, pa.int64()), "row": pa.array(row, pa.int32()), "gone": pa.array(gone, pa.int64()), "cut_sha": pa.array(sha, pa.string()), "cut": pa.array(left_over, pa.binary()).cast(pa.string())})
+
+    texts = rows.mapInArrow(profile, "block long, row int, id long, k long, t1 long, t2 long, n long, sha string")
+    blobs = packed_blocks(rows, 2, BLOCK_BYTES)
     leads = texts.where("id is not null").groupBy("t1", "t2").agg(F.min("id").alias("lead"))
-    found = rows.mapInArrow(anchors, "hash long, id long, t1 long")
-    shared = found.groupBy("hash").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a <> b").select("hash")
-    per_id = found.select("hash", "id").join(shared, "hash", "left_semi").groupBy("id").agg(F.collect_set("hash").alias("hashes"))
-    per_id = per_id.join(leads.select(F.col("lead").alias("id")), "id", "left_semi").mapInArrow(listed, "id long, shared binary")
-    candidates = rows.join(per_id, "id").select("id", "text", "k", "shared").mapInArrow(windows, "w1 long, w2 long, id long, k long, pos int")
+    led = texts.join(leads, ["t1", "t2"], "left")
+    found = rows.mapInArrow(anchors, "hash long, block long, a long, b long")
+    shared = found.groupBy("hash").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("hash")
+    hits = found.select("hash", "block").join(shared, "hash", "left_semi").select("block", F.col("hash").alias("value"), F.lit(False).alias("is_copy"))
+    copies = led.where((F.col("id") > F.col("lead")) & (F.col("n") >= window)).select("block", F.col("id").alias("value"), F.lit(True).alias("is_copy"))
+    candidates = blobs.groupBy("block").cogroup(hits.unionByName(copies).groupBy("block")).applyInArrow(windows, "w1 long, w2 long, id long, block long, at long")
     smallest = candidates.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w1", "w2", "least")
-    repeated = candidates.join(smallest, ["w1", "w2"]).where("id > least").groupBy("id", "k").agg(F.collect_set("pos").alias("starts"))
-    trimmed = rows.join(repeated, ["id", "k"]).select("id", "text", "k", "starts").mapInArrow(cut, "id long, k long, gone long, cut_sha string, cut string")
-    trimmed = trimmed.groupBy("id", "k").agg(F.first("gone").alias("gone"), F.first("cut_sha").alias("cut_sha"), F.first("cut").alias("cut"))
-    judged = texts.join(leads, ["t1", "t2"], "left").join(trimmed, ["id", "k"], "left")
+    repeated = candidates.join(smallest, ["w1", "w2"]).where("id > least").select("block", "at")
+    trimmed = blobs.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(cut, "block long, row int, gone long, cut_sha string, cut string")
+    trimmed = trimmed.dropDuplicates(["block", "row"])  # equal blocks have equal numbers
+    judged = led.join(trimmed, ["block", "row"], "left")
     copy = F.coalesce((F.col("id") > F.col("lead")) & (F.col("n") >= window), F.lit(False))
     return judged.select(
         F.col("id").alias(id_col), F.col("k").alias("text_key"), F.col("n").alias("n_words"),
