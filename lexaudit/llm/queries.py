@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, reputation, sharding, substrings, topk
+from . import bpe, mixing, neardup, reputation, sharding, substrings, topk
 from .base import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -66,8 +66,12 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select(F.col("id").alias("doc_id"), "leaf.domain", "leaf.lang", "leaf.source", "tokens", "epoch")
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op5_shards, op6_url_reputation, op7_topk, op8_substrings, op9_mix)}
+    return {f.__name__: f for f in (op2_bpe, op5_shards, op6_url_reputation, op7_topk, op8_substrings, op9_mix, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
