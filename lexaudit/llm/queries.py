@@ -87,8 +87,14 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_language, op4_divergence, op5_shards, op6_url_reputation, op7_topk, op8_substrings, op9_mix, op10_neardup)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_language, op4_divergence, op5_shards, op6_url_reputation, op7_topk, op8_substrings, op9_mix, op10_neardup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
