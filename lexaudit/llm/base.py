@@ -237,9 +237,9 @@ def _numbered(held: list[pa.RecordBatch]) -> tuple[int, pa.Table]:
     return int(np.array(digest.intdigest(), np.uint64).view(np.int64)), rows
 
 
-def packed(rows: pa.Table) -> bytes:
+def packed(rows: pa.Table, level: int) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as writer:
         writer.write_table(rows)
     return out.getvalue().to_pybytes()
 
@@ -248,12 +248,12 @@ def unpacked(blob: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
 
 
-def packed_blocks(rows: DataFrame, text_at: int, size: int) -> DataFrame:
+def packed_blocks(rows: DataFrame, text_at: int, size: int, level: int = 3) -> DataFrame:
     """(block, rows): each block's rows as one compressed value, a fraction of the text's size in a shuffle."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in text_blocks(batches, text_at, size):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed(held)], pa.binary())], names=["block", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed(held, level)], pa.binary())], names=["block", "rows"])
 
     return rows.mapInArrow(pack, "block long, rows binary")
 

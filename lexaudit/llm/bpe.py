@@ -169,7 +169,7 @@ def code(docs: DataFrame, path: str, finish: Callable[[Codec, list[int]], tuple]
     left_id_type = to_arrow_type(rows.schema["id"].dataType)
     words = rows.mapInArrow(distinct, "block long, word string").repartition("word").sortWithinPartitions("word")
     coded = words.mapInArrow(encode, "block long, word string, ids binary")
-    texts = packed_blocks(rows, 1, block_bytes)
+    texts = packed_blocks(rows, 1, block_bytes, level=6)
     result = f"id {id_type}, " + ", ".join(f"{n} {t}" for n, t, _ in schema)
     return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, result).withColumnRenamed("id", id_col)
 

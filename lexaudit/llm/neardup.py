@@ -19,13 +19,19 @@ from pyspark.sql import functions as F
 from .base import Words, binary_lists, mix, packed_blocks, signed, small_batches, stored, text_blocks, unpacked, word_chunks
 from .graph import components
 
-#: Values retained. Sets that are alike by 0.8 fail to share a run with probability 1e-15.
-K = 96
+#: Values retained.
+K = 64
 #: With at most a fifth of the union unshared, a union of six or more values holds a shared run of three.
 RUN = 3
-#: A pair is compared in full if its union sketch shares this part; at 0.8 a smaller part has probability under 1e-12.
-ESTIMATE = 0.45
-#: Documents of a candidate component that are compared in one task at once.
+#: Pairs that share fewer lists are no candidates: alike by 0.8, they do so with probability 2e-9.
+LEAST_LISTS = 2
+#: Smaller sets may share one list alone; a union of ten or more shares two at least.
+SMALL_SET = 10
+#: Pairs whose union sketch shares a smaller part are not compared in full: at 0.8, with probability 2e-13.
+ESTIMATE = 0.37
+#: Longer lists are not written out as pairs.
+LONG_LIST = 32
+#: Documents of a long list or of a component that are compared in one task at once.
 PART = 4096
 BLOCK_BYTES = 4 << 20
 
@@ -89,10 +95,11 @@ def run_keys(values: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
     return keys, owner
 
 
-def links_within(ids: np.ndarray, values: np.ndarray, bounds: np.ndarray, percent: int, k: int = K) -> list[tuple[int, int]]:
+def links_within(ids: np.ndarray, values: np.ndarray, bounds: np.ndarray, percent: int, k: int = K, sketches: bool = False) -> list[tuple[int, int]]:
     """Links that join all sets alike by percent (100 * shared >= percent * union), as a spanning forest.
 
-    Sets that an earlier link has joined are not compared again; all other candidates are.
+    Sets that an earlier link has joined are not compared again; all other candidates are. sketches:
+    the sets are only sketches, and what their union sketch does not rule out is linked.
     """
     n = len(ids)
     keys, owner = run_keys(values, bounds, k)
@@ -122,7 +129,8 @@ def links_within(ids: np.ndarray, values: np.ndarray, bounds: np.ndarray, percen
             break
         near = np.unique(np.concatenate([owner[list_bounds[g] : list_bounds[g + 1]] for g in mine]))
         near = near[root[near] != root[x]]
-        near = near[(100 * np.minimum(count[near], count[x]) >= percent * np.maximum(count[near], count[x]))]
+        if not sketches:
+            near = near[100 * np.minimum(count[near], count[x]) >= percent * np.maximum(count[near], count[x])]
         if not len(near):
             continue
         own = local[bounds[x] : bounds[x + 1]]
@@ -131,25 +139,34 @@ def links_within(ids: np.ndarray, values: np.ndarray, bounds: np.ndarray, percen
         at, ends = _ranges(bounds[near], head[near])
         held = local[at]
         shared = here[held]
-        edge = np.minimum(own[head[x] - 1], np.maximum.reduceat(held, ends[:-1])) if len(near) else 0
+        edge = np.minimum(own[head[x] - 1], np.maximum.reduceat(held, ends[:-1]))
         under = held <= np.repeat(edge, head[near])
         both = np.add.reduceat((shared & under).astype(np.int64), ends[:-1])
         mine_under = np.searchsorted(own, edge, side="right")
         union = np.minimum(mine_under + np.add.reduceat(under.astype(np.int64), ends[:-1]) - both, k)
         near = near[both >= ESTIMATE * np.minimum(union, k)]
-        if len(near):
+        if len(near) and not sketches:
             at, ends = _ranges(bounds[near], count[near])
             both = np.add.reduceat(here[local[at]].astype(np.int64), ends[:-1])
             near = near[100 * both >= percent * (count[x] + count[near] - both)]
-            for y in near:
-                if root[y] != root[x]:
-                    out.append((int(ids[x]), int(ids[y])))
-                    lo, hi = sorted((root[x], root[y]))
-                    root[root == hi] = lo
+        for y in near:
+            if root[y] != root[x]:
+                out.append((int(ids[x]), int(ids[y])))
+                lo, hi = sorted((root[x], root[y]))
+                root[root == hi] = lo
         here[own] = False
     return out
 
 
+def union_sketch(x: np.ndarray, y: np.ndarray, k: int) -> float:
+    """The shared part of the k smallest values of both sets, from their sketches: an estimate of their similarity."""
+    both = np.concatenate([x, y])
+    both.sort()
+    twice = both[1:] == both[:-1]
+    edge = np.flatnonzero(np.append(True, ~twice))[:k]  # where the k smallest values begin
+    return float(np.count_nonzero(twice[edge[edge < len(twice)]])) / max(len(edge), 1)
+
+
 def _ranges(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers start[i] .. start[i]+length[i]-1 of all i in a row, and where each i's begin and end."""
     ends = np.zeros(len(start) + 1, dtype=np.int64)
@@ -167,8 +184,10 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "
     texts. A row with a null id is linked with nothing, has a null component and is kept. An empty
     table gives an empty one; other columns are ignored. percent must be 80 or more.
 
-    Equal sets are settled by a count; one of each kind goes on. Candidates' components are split
-    into parts of bounded size, each pair of which is compared in a task of its own.
+    Equal sets are settled by a count; one of each kind goes on. Pairs that short lists and the
+    estimate leave, and those inside long lists, make candidates' components; full sets are sent once
+    to their component's task. A long list or a component beyond a bounded size is split into parts,
+    each pair of which is compared in a task of its own.
     """
     if percent < 80:
         raise ValueError("runs of neighbours are only sure to be shared from 80 percent on")
@@ -195,53 +214,79 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(ids[w.lo + owner]), pa.array(signed(s.marks()[0])[owner])], names=["key", "id", "m1"])
 
     def sets(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_id, out_group, out_set = [], [], []
+        out_id, out_set = [], []
         if right.num_rows:
             if not left.num_rows:
                 raise RuntimeError("a block has changed between two readings of its table")
             held = unpacked(left["rows"][0])
-            group = dict(zip(right["id"].to_pylist(), right["component"].to_pylist(), strict=True))
+            asked = set(right["id"].to_pylist())
             ids = held["id"].to_pylist()
             for w in word_chunks(held["text"], fold=True):
                 s = Shingles(w, shingle)
                 for i in range(w.hi - w.lo):
-                    if ids[w.lo + i] in group and s.count[i]:
+                    if ids[w.lo + i] in asked and s.count[i]:
                         out_id.append(ids[w.lo + i])
-                        out_group.append(group[ids[w.lo + i]])
                         out_set.append(s.values[s.bounds[i] : s.bounds[i + 1]].tobytes())
-        return pa.table({"id": pa.array(out_id, pa.int64()), "component": pa.array(out_group, pa.int64()), "shingles": pa.array(out_set, pa.binary())})
+        return pa.table({"id": pa.array(out_id, pa.int64()), "sketch": pa.array([x[: 8 * k] for x in out_set], pa.binary()), "shingles": pa.array(out_set, pa.binary())})
+
+    def unpack(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+        return np.concatenate(found), np.append(0, np.cumsum([len(x) for x in found]))
 
     def compare(held: pa.Table) -> pa.Table:
-        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in held["shingles"]]
-        bounds = np.append(0, np.cumsum([len(x) for x in found]))
-        pairs = links_within(held["id"].to_numpy(), np.concatenate(found), bounds, percent, k)
+        """Links between full sets, or between sketches where there is no other column."""
+        only = "sketch" in held.column_names
+        values, bounds = unpack(held["sketch" if only else "shingles"])
+        pairs = links_within(held["id"].to_numpy(), values, bounds, percent, k, only)
         return pa.table({"a": pa.array([x[0] for x in pairs], pa.int64()), "b": pa.array([x[1] for x in pairs], pa.int64())})
 
-    texts = rows.mapInArrow(profile, "id long, block long, n long, m1 long, m2 long")
-    kinds = texts.where("id is not null and n > 0").groupBy("m1", "m2", "n").agg(F.min("id").alias("first"))
-    kinds = stored(kinds, "kinds")
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [union_sketch(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), k) >= ESTIMATE for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], names=["a", "b"])
+
+    def parted(rows: DataFrame, sizes: DataFrame, on: str, what: str) -> DataFrame:
+        """Groups of more than part members in parts, each pair of parts a group of its own: (on, lo, hi, id, what)."""
+        sized = rows.join(sizes, on).withColumn("parts", F.ceil(F.col("n") / part).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        return sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(on, "n", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", what)
+
+    texts = stored(rows.mapInArrow(profile, "id long, block long, n long, m1 long, m2 long"), "profile")
+    kinds = stored(texts.where("id is not null and n > 0").groupBy("m1", "m2", "n").agg(F.min("id").alias("first")), "kinds")
     found = rows.mapInArrow(keys, "key long, id long, m1 long")
     shared = found.groupBy("key").agg(F.min("m1").alias("a"), F.max("m1").alias("b")).where("a <> b").select("key")
     postings = found.select("key", "id").join(shared, "key", "left_semi").join(kinds.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
     postings = stored(postings.select("key", "id"), "postings")
-    lists = postings.groupBy("key").agg(F.min("id").alias("a"))
-    candidates = components(postings.join(lists, "key").select("a", F.col("id").alias("b")), "candidates")
-    candidates = stored(candidates, "components")
-    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    wanted = texts.join(kinds.select(F.col("first").alias("id"), "m1", "m2", "n"), ["id", "m1", "m2", "n"], "left_semi").select("id", "block").join(candidates.select(F.col("node").alias("id"), "component"), "id")
-    full = packed_blocks(rows, 1, BLOCK_BYTES).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sets, "id long, component long, shingles binary")
-    parts = F.ceil(F.col("n") / part).cast("int")
-    sized = full.join(sizes, "component").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    several_in_one = max(1, candidates.count() // (part // 4))  # small components share tasks, of about as many documents each
-    small = F.when(F.col("n") <= part // 8, F.lit(-1) - F.pmod(F.xxhash64("component"), F.lit(several_in_one))).otherwise(F.col("component"))
-    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        small.alias("task"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "shingles"
-    )
-    links = dealt.groupBy("task", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+    wanted = texts.join(kinds.select(F.col("first").alias("id"), "m1", "m2", "n"), ["id", "m1", "m2", "n"], "left_semi").select("id", "block").join(postings.select("id").distinct(), "id", "left_semi")
+    full = packed_blocks(rows, 1, BLOCK_BYTES).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sets, "id long, sketch binary, shingles binary")
+    full = stored(full, "sets")
+
+    lengths = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    listed = postings.join(lengths.where(F.col("n").between(2, LONG_LIST)), "key").select("key", "id")
+    pairs = listed.alias("x").join(listed.alias("y"), "key").where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("lists"))
+    long = postings.join(lengths.where(F.col("n") > LONG_LIST), "key").select("key", "id")
+    # members of long lists may share some of those besides; small sets may share one list only
+    exempt = long.select(F.col("id").alias("a")).unionByName(kinds.where(F.col("n") < SMALL_SET).select(F.col("first").alias("a")))
+    exempt = exempt.distinct().withColumn("exempt", F.lit(True))
+    pairs = pairs.join(exempt, "a", "left").where((F.col("lists") >= LEAST_LISTS) | F.col("exempt")).select("a", "b")
+    sketches = full.select("id", "sketch")
+    pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("p")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("q")), "b")
+    likely = pairs.select("a", "b", "p", "q").mapInArrow(estimate, "a long, b long")
+    in_parts = parted(long.join(sketches, "id"), lengths, "key", "sketch").drop("n")
+    likely = likely.unionByName(in_parts.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long"))
+    likely = components(likely, "candidates")
+
+    sizes = likely.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    several_in_one = max(1, likely.count() // (part // 4))  # small components share tasks, of about as many documents each
+    task = F.when(F.col("n") <= part // 8, F.lit(-1) - F.pmod(F.xxhash64("component"), F.lit(several_in_one))).otherwise(F.col("component"))
+    whole = parted(full.select("id", "shingles").join(likely.select(F.col("node").alias("id"), "component"), "id"), sizes, "component", "shingles")
+    links = whole.select(task.alias("task"), "lo", "hi", "id", "shingles").groupBy("task", "lo", "hi").applyInArrow(compare, "a long, b long")
+
     named = texts.join(kinds, ["m1", "m2", "n"], "left")
     several = named.where("first is not null").groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b")
     several = named.join(several.select("id", "a"), "id").select("a", F.col("first").alias("b"))
-    joined = stored(components(links.unionByName(several), "links"), "groups")
+    joined = components(links.unionByName(several), "links")
     result = named.join(joined.select(F.col("node").alias("first"), "component"), "first", "left")
     component = F.coalesce(F.col("component"), F.col("first"), F.col("id"))
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, packed_blocks, signed, small_batches, text_blocks, unpacked, word_chunks
+from .base import Words, packed_blocks, signed, small_batches, stored, text_blocks, unpacked, word_chunks
 
 WINDOW = 50
 #: A perfect difference set: every non-zero remainder modulo 31 is a difference of two of them. Fixed values.
@@ -146,7 +146,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                         left_over.append(kept)
         return pa.table({"block": pa.array(block, pa.int64()), "row": pa.array(row, pa.int32()), "gone": pa.array(gone, pa.int64()), "cut_sha": pa.array(sha, pa.string()), "cut": pa.array(left_over, pa.binary()).cast(pa.string())})
 
-    texts = rows.mapInArrow(profile, "block long, row int, id long, k long, t1 long, t2 long, n long, sha string")
+    texts = stored(rows.mapInArrow(profile, "block long, row int, id long, k long, t1 long, t2 long, n long, sha string"), "profile")
     blobs = packed_blocks(rows, 2, BLOCK_BYTES)
     leads = texts.where("id is not null").groupBy("t1", "t2").agg(F.min("id").alias("lead"))
     led = texts.join(leads, ["t1", "t2"], "left")
