@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import packed_blocks, small_batches, text_blocks, unpacked
+from .base import input_bytes, packed_blocks, small_batches, text_blocks, unpacked
 
 #: UTF-8 bytes of text in a block.
 BLOCK_BYTES = 16 << 20
 #: Texts of lower code points are split by a pattern made from the library's own classes; others by the library.
 COMMON = 0x250
-#: So many frequent words, found in so many rows, are encoded beforehand and sent to all tasks: a table of
+#: So many frequent words, found in a sample of so many bytes, are encoded beforehand and sent to all tasks: a table of
 #: bounded size that spares the shuffle its most repeated rows. All other words go through the shuffle.
-HOT_WORDS, HOT_ROWS = 100_000, 4000
+HOT_WORDS, HOT_BYTES = 200_000, 16 << 20
 
 
 @lru_cache(maxsize=4)
@@ -96,7 +96,7 @@ class Codec:
 
 
 def _hot_words(rows: DataFrame, path: str) -> dict[str, bytes]:
-    """Ids of the words that some rows hold most often: any other choice gives the same results."""
+    """Ids of the words that a sample holds most often: any other choice gives the same results."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, counts = load(path), Counter()
@@ -106,7 +106,9 @@ def _hot_words(rows: DataFrame, path: str) -> dict[str, bytes]:
         words = [w for w, n in counts.most_common(HOT_WORDS) if n > 1]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(codec.encode_words(words), pa.binary())], names=["word", "ids"])
 
-    found = rows.select("text").limit(HOT_ROWS).mapInArrow(count, "word string, ids binary").toArrow()
+    share = min(1.0, HOT_BYTES / max(input_bytes(rows), 1))
+    sample = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    found = sample.repartition(1).mapInArrow(count, "word string, ids binary").toArrow()
     return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True))
 
 
