@@ -52,7 +52,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size of df, from file sizes: no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 # ---------------------------------------------------------------- hashes
