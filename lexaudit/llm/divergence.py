@@ -7,8 +7,8 @@ not judged. References are the sums over all documents of a language.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ class Limits:
 
 
 def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
-    """id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes and commons (counts)."""
+    """id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes and commons (counts), and the sums of these."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     count = lambda pattern: F.length(F.regexp_replace("text", f"[^{pattern}]+", ""))
     rows = docs.select(F.col(id_col).alias("id"), (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("lang"), text.alias("text"))
@@ -50,13 +50,16 @@ def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None)
         "id", "lang", "text", F.regexp_extract_all("text", F.lit(f"([^{SPACE}]+)"), F.lit(1)).alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("lines"),
     )
-    starts = F.when(F.size("words") >= 5, F.transform(F.sequence(F.lit(1), F.size("words") - 4), lambda i: F.xxhash64(F.slice("words", i, F.lit(5)))))
+    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    five = lambda h, i: F.xxhash64(h, *(F.get("hashes", i + d) for d in range(1, 5)))
+    starts = F.when(F.size("words") >= 5, F.transform(F.slice("hashes", F.lit(1), F.size("words") - 4), five))
     common = F.filter("words", lambda w: F.lower(w).isin(*WORDS))
     rows = rows.select(
         "id", "lang", F.size("words").cast("long").alias("n_words"), F.length("text").alias("length"),
         count(rf"{SPACE}").alias("space"), count(r"\p{L}").alias("letter"), count(r"\p{Lu}").alias("capital"), count(r"\p{Nd}").alias("digit"),
         count(r"#*$%&|<>").cast("long").alias("n_symbols"), count(r"!@^~_=+\\/\[\]{}").alias("odd"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), starts.alias("starts"), F.transform(common, F.lower).alias("common"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), starts.alias("starts"),
+        F.size(common).cast("long").alias("n_common"), F.concat(F.lit("|"), F.array_join(F.transform(common, F.lower), "||"), F.lit("|")).alias("common"),
     )
     twice = F.size(F.array_distinct("starts")) < F.size("starts")
     in_order = F.when(twice, F.sort_array(F.transform("starts", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -68,31 +71,31 @@ def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None)
     covered = F.aggregate("places", start, lambda acc, x: F.struct(x.alias("last"), (acc["n"] + F.least(F.lit(5), x - acc["last"])).alias("n")), lambda acc: acc["n"])
     symbol = F.col("n_symbols") + F.col("odd")
     classes = F.array(*(x.cast("long") for x in (F.col("letter") - F.col("capital"), F.col("capital"), F.col("digit"), F.col("space"), symbol, F.col("length") - F.col("letter") - F.col("digit") - F.col("space") - symbol)))
-    commons = F.array(*((F.size("common") - F.size(F.array_remove("common", w))).cast("long") for w in WORDS))
+    # each common word stands between bars; taking it out tells how often it was there
+    times = lambda w: ((F.length("common") - F.length(F.replace(F.col("common"), F.lit(f"|{w}|"), F.lit("")))) / (len(w) + 2)).cast("long")
+    commons = F.array(*map(times, WORDS))
     return rows.select(
         "id", "lang", "n_words", (F.col("length") - F.col("space")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), classes.alias("classes"), commons.alias("commons"),
+        F.col("length").cast("long").alias("n_class"), "n_common",
     )
 
 
-def _sum(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+def _information(p: Column) -> Column:
+    """The sum of -p log2 p over an array."""
+    return F.aggregate(p, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log2(x)).otherwise(0.0))
 
 
-def distance(counts: Column, reference: list[int]) -> Column:
-    """Jensen-Shannon distance of two histograms; null if either is empty."""
-    whole, total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b), sum(reference)
-    if not total:
+def distance(counts: Column, total: Column, reference: list[int]) -> Column:
+    """Jensen-Shannon distance of a histogram, whose sum is given, from a reference; null if either is empty."""
+    whole = sum(reference)
+    if not whole:
         return F.lit(None).cast("double")
-    other = F.array(*(F.lit(x / total) for x in reference))
-
-    def part(p: Column, q: Column) -> Column:
-        m = (p + q) / 2
-        gain = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-        return (gain(p) + gain(q)) / 2
-
-    terms = F.zip_with(counts, other, lambda c, q: part(c / whole, q))
-    return F.when(whole > 0, F.sqrt(F.greatest(_sum(terms), F.lit(0.0))))
+    other = F.array(*(F.lit(x / whole) for x in reference))
+    own = -sum(x / whole * math.log2(x / whole) for x in reference if x)
+    between = _information(F.zip_with(counts, other, lambda c, q: (c / total + q) / 2))
+    divergence = between - (_information(F.transform(counts, lambda c: c / total)) + own) / 2
+    return F.when(total > 0, F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
 def judge(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -113,13 +116,11 @@ def judge(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", te
     found = rows.where(F.col("lang").isin(*COMMON) & ~F.col("base_failed")).groupBy("lang").agg(*sums).orderBy("lang").collect()
     references = [([r[f"classes{i}"] for i in range(len(CLASSES))], [r[f"commons{i}"] for i in range(len(WORDS))]) for r in found]
     if references:
-        near = F.array(*(F.struct(distance(F.col("commons"), w).alias("w"), distance(F.col("classes"), c).alias("c")) for c, w in references))
+        near = F.array(*(F.struct(distance(F.col("commons"), F.col("n_common"), w).alias("w"), distance(F.col("classes"), F.col("n_class"), c).alias("c")) for c, w in references))
     else:
         near = F.array(F.struct(F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("c")))
-    characters = F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
-    common = F.aggregate("commons", F.lit(0).cast("long"), lambda a, b: a + b)
     guard = lambda x, limit, enough: F.coalesce(x, F.lit(0.0)) / limit * F.when(enough, 1.0).otherwise(0.0)
-    rows = rows.withColumn("near", near).withColumn("many", characters >= limits.least_characters).withColumn("often", common >= limits.least_common)
+    rows = rows.withColumn("near", near).withColumn("many", F.col("n_class") >= limits.least_characters).withColumn("often", F.col("n_common") >= limits.least_common)
     over = F.array_min(F.transform("near", lambda x: F.greatest(guard(x["c"], limits.class_distance, F.col("many")), guard(x["w"], limits.word_distance, F.col("often")))))
     return rows.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
