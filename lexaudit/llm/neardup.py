@@ -32,7 +32,7 @@ ESTIMATE = 0.37
 #: Longer lists are not written out as pairs.
 LONG_LIST = 32
 #: Documents of a long list or of a component that are compared in one task at once.
-PART = 4096
+PART = 8192
 BLOCK_BYTES = 4 << 20
 
 
@@ -227,22 +227,22 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "
                     if ids[w.lo + i] in asked and s.count[i]:
                         out_id.append(ids[w.lo + i])
                         out_set.append(s.values[s.bounds[i] : s.bounds[i + 1]].tobytes())
-        return pa.table({"id": pa.array(out_id, pa.int64()), "sketch": pa.array([x[: 8 * k] for x in out_set], pa.binary()), "shingles": pa.array(out_set, pa.binary())})
+        return pa.table({"id": pa.array(out_id, pa.int64()), "sketch": pa.array([(np.frombuffer(x, np.uint64)[:k] >> np.uint64(32)).astype(np.uint32).tobytes() for x in out_set], pa.binary()), "shingles": pa.array(out_set, pa.binary())})
 
-    def unpack(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
-        return np.concatenate(found), np.append(0, np.cumsum([len(x) for x in found]))
+    def unpack(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.frombuffer(x.as_buffer(), kind) for x in column]
+        return np.concatenate(found).astype(np.uint64), np.append(0, np.cumsum([len(x) for x in found]))
 
     def compare(held: pa.Table) -> pa.Table:
-        """Links between full sets, or between sketches where there is no other column."""
+        """Links between full sets, or between sketches (upper halves of hashes) where there is no other column."""
         only = "sketch" in held.column_names
-        values, bounds = unpack(held["sketch" if only else "shingles"])
+        values, bounds = unpack(held["sketch"], np.uint32) if only else unpack(held["shingles"], np.uint64)
         pairs = links_within(held["id"].to_numpy(), values, bounds, percent, k, only)
         return pa.table({"a": pa.array([x[0] for x in pairs], pa.int64()), "b": pa.array([x[1] for x in pairs], pa.int64())})
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [union_sketch(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), k) >= ESTIMATE for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [union_sketch(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), k) >= ESTIMATE for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], names=["a", "b"])
 
     def parted(rows: DataFrame, sizes: DataFrame, on: str, what: str) -> DataFrame:
