@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
+from .binding import let
 from .entities import MONEY, ORGANISATION, PERSON, PLACE, PRODUCT, TIME
 from .spans import find_spans, longer_replaces
 
@@ -46,11 +47,13 @@ def _reason(before: Column, near: Column) -> Column:
     cause word (at most 20 characters), else the first 15 characters without punctuation."""
     inside = F.filter(near, lambda e: e["start"] < F.length(before))
 
-    cleaned = F.aggregate(inside, before, lambda t, e: _without_first(t, e["text"]))
-    after = lambda word: F.trim(F.when(cleaned.contains(word), F.substring_index(cleaned, word, -1)))
-    found = F.coalesce(*(F.when(F.length(after(w)) > 1, F.substring(after(w), 1, 20)) for w in ("因", "为", "由于", "因为")))
-    plain = F.trim(F.regexp_replace(cleaned, r"[，,。！？、]+", ""))
-    return F.when(F.trim(before) != "", F.coalesce(found, F.when(F.length(plain) >= 2, F.substring(plain, 1, 15))))
+    def cause(cleaned: Column) -> Column:
+        after = lambda word: F.trim(F.when(cleaned.contains(word), F.substring_index(cleaned, word, -1)))
+        found = F.coalesce(*(F.when(F.length(after(w)) > 1, F.substring(after(w), 1, 20)) for w in ("因", "为", "由于", "因为")))
+        plain = F.trim(F.regexp_replace(cleaned, r"[，,。！？、]+", ""))
+        return F.coalesce(found, F.when(F.length(plain) >= 2, F.substring(plain, 1, 15)))
+
+    return F.when(F.trim(before) != "", let(F.aggregate(inside, before, lambda t, e: _without_first(t, e["text"])), cause))
 
 
 def _without_first(text: Column, part: Column) -> Column:
@@ -64,20 +67,24 @@ def extract(text: Column, entities: Column, types: EventTypes = L.EVENT_TYPES) -
     declared = F.create_map(*(x for k, (_, slots) in types.items() for x in (F.lit(k), F.array(*map(F.lit, slots.split())))))
 
     def event(t: Column) -> Column:
-        slots = F.element_at(declared, t["type"])
-        has = lambda *names: F.arrays_overlap(slots, F.array(*map(F.lit, names)))
         near = F.filter(entities, lambda e: (F.abs(e["start"] - t["start"]) < NEAR) | (F.abs(e["end"] - t["end"]) < NEAR))
-        first = lambda kind: F.get(F.filter(near, lambda e: e["type"] == kind), F.lit(0))["text"]
         before = F.substring(text, F.greatest(t["start"] - BEFORE, F.lit(0)) + 1, F.least(t["start"], F.lit(BEFORE)))
         after = F.trim(F.substring(text, t["end"] + 1, F.lit(AFTER)))
-        cause = F.when(has("原因"), "原因").when(has("事由"), "事由").when(has("内容"), "内容")
-        filled = [
-            (F.lit("时间"), F.when(has("时间"), first(TIME))), (F.lit("地点"), F.when(has("地点"), first(PLACE))), (F.lit("金额"), F.when(has("金额"), first(MONEY))),
-            (F.lit("主体"), F.when(has("主体"), F.coalesce(first(ORGANISATION), first(PERSON)))), (F.lit("产品"), F.when(has("产品"), first(PRODUCT))),
-            (F.lit("动作"), F.when(has("动作"), t["text"])), (cause, _reason(before, near)), (F.lit("结果"), F.when(has("结果") & (after != ""), after)),
-        ]
-        pairs = F.filter(F.array(*(F.struct(k.alias("k"), v.alias("v")) for k, v in filled)), lambda p: p["k"].isNotNull() & p["v"].isNotNull())
-        return F.struct(t["type"].alias("type"), t["text"].alias("trigger"), t["start"].alias("start"), t["end"].alias("end"), F.map_from_entries(pairs).alias("slots"))
+        known = F.struct(F.element_at(declared, t["type"]).alias("slots"), near.alias("near"), before.alias("before"), after.alias("after"))
+
+        def filled(k: Column) -> Column:
+            has = lambda name: F.array_contains(k["slots"], name)
+            first = lambda kind: F.get(F.filter(k["near"], lambda e: e["type"] == kind), F.lit(0))["text"]
+            cause = F.when(has("原因"), "原因").when(has("事由"), "事由").when(has("内容"), "内容")
+            values = [
+                (F.lit("时间"), F.when(has("时间"), first(TIME))), (F.lit("地点"), F.when(has("地点"), first(PLACE))), (F.lit("金额"), F.when(has("金额"), first(MONEY))),
+                (F.lit("主体"), F.when(has("主体"), F.coalesce(first(ORGANISATION), first(PERSON)))), (F.lit("产品"), F.when(has("产品"), first(PRODUCT))),
+                (F.lit("动作"), F.when(has("动作"), t["text"])), (cause, F.when(cause.isNotNull(), _reason(k["before"], k["near"]))), (F.lit("结果"), F.when(has("结果") & (k["after"] != ""), k["after"])),
+            ]
+            pairs = F.filter(F.array(*(F.struct(n.alias("k"), v.alias("v")) for n, v in values)), lambda p: p["k"].isNotNull() & p["v"].isNotNull())
+            return F.struct(t["type"].alias("type"), t["text"].alias("trigger"), t["start"].alias("start"), t["end"].alias("end"), F.map_from_entries(pairs).alias("slots"))
+
+        return let(known, filled)
 
     return F.transform(triggers(text, types), event)
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 SPANS = "array<struct<text:string,type:string,start:int,end:int,rank:int>>"
 
 
@@ -18,18 +20,22 @@ def find_spans(text: Column, pattern: str, kind: str, rank: int = 0, group_ends_
     the span is the first group, which ends the match.
     """
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    said = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(2)) if group_ends_match else whole
-    gaps = F.split(text, pattern, -1)
-
-    def step(acc: Column, i: Column) -> Column:
-        end = acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(whole, i))
-        found = F.get(said, i)
-        span = F.struct(found.alias("text"), F.lit(kind).alias("type"), (end - F.length(found)).alias("start"), end.alias("end"), F.lit(rank).alias("rank"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), start, step, lambda acc: acc["spans"])
-    return F.when(F.size(whole) > 0, found).otherwise(F.array().cast(SPANS))
+    said = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(2)) if group_ends_match else F.array().cast("array<string>")
+    nothing = F.array().cast(SPANS)
+
+    def add_up(m: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            end = acc["at"] + F.length(F.get(m["gaps"], i)) + F.length(F.get(m["whole"], i))
+            found = F.get(m["said"], i) if group_ends_match else F.get(m["whole"], i)
+            span = F.struct(found.alias("text"), F.lit(kind).alias("type"), (end - F.length(found)).alias("start"), end.alias("end"), F.lit(rank).alias("rank"))
+            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+        start = F.struct(F.lit(0).alias("at"), nothing.alias("spans"))
+        found = F.aggregate(F.sequence(F.lit(0), F.size(m["whole"]) - 1), start, step, lambda acc: acc["spans"])
+        return F.when(F.size(m["whole"]) > 0, found).otherwise(nothing)
+
+    matched = let(F.struct(whole.alias("whole"), said.alias("said"), F.split(text, pattern, -1).alias("gaps")), add_up)
+    return F.when(text.rlike(pattern), matched).otherwise(nothing)
 
 
 def _sorted(spans: Column, *keys: str) -> Column:

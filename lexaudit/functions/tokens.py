@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
+from .binding import let
 
 LATIN = r"[\p{L}\p{N}]+"
 
@@ -44,12 +45,12 @@ def keep_content(tokens: Column, stopwords: Iterable[str] = L.STOPWORDS) -> Colu
         good = (t != "") & ~t.rlike(L.DROPPED_TOKEN_PATTERN) & ((F.length(t) >= 2) | t.rlike(r"^[\x{4e00}-\x{9fff}]$"))
         return good & ~t.isin(*listed) if listed else good
 
-    return F.filter(F.transform(tokens, F.trim), keep)
+    return F.filter(F.transform(tokens, lambda t: F.trim(t)), keep)
 
 
 def drop_repeats(tokens: Column) -> Column:
     """A token equal to the one before it goes."""
-    return F.filter(tokens, lambda t, i: (i == 0) | (t != F.get(tokens, i - 1)))
+    return let(tokens, lambda all_: F.filter(all_, lambda t, i: (i == 0) | (t != F.get(all_, i - 1))))
 
 
 def join_tokens(tokens: Column) -> Column:
@@ -63,9 +64,9 @@ def split_sentences(text: Column, least: int = 4, ideographs: bool = True) -> Co
     are kept; without it, . ! ? before a blank end a sentence too.
     """
     ends = r"[。！？\n；;]+" if ideographs else r"[。！？\n；;]+|(?<=[.!?])\s+"
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ends), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ends), lambda s: F.trim(s))
     return F.filter(parts, lambda s: (F.length(s) >= least) & (s.rlike(r"[\x{4e00}-\x{9fff}]") if ideographs else F.lit(True)))
 
 
 def split_clauses(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[。！？?；;，,\n]+"), F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[。！？?；;，,\n]+"), lambda c: F.trim(c)), lambda c: c != "")
