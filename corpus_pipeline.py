@@ -1,17 +1,20 @@
 """A corpus pipeline of the operators in lexaudit.llm: each stage works on all that the one before kept.
 
 run(spark, sf_dir) applies STAGES to the table documents; each result is written to the shared folder
-and read again. All stages but the last return the columns of documents. A null in any column, an
+and read again before the next stage is called, which first deletes what the ones before left there. All stages but the last return the columns of documents. A null in any column, an
 empty or very long text, repeated rows and an empty table are handled as the operators say.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaudit.llm import bpe, language, mixing, neardup, queries, substrings
-from lexaudit.llm.base import stored, table
+from lexaudit.llm.base import WRITTEN, discard, sent_if_small, stored, table
 
 #: Below this probability of its most likely language, or without any letter, a document goes.
 LEAST_CONFIDENCE = 0.5
@@ -22,6 +25,24 @@ MIX_FRACTION = 0.8
 ORACLE_SQL = None
 
 
+_left: list[str] = []
+
+
+def _stage(f: Callable) -> Callable:
+    """A stage that first deletes the scratch tables of the stage before: its result has been written by then."""
+
+    @wraps(f)
+    def called(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _left)
+        before = len(WRITTEN)
+        result = f(spark, docs, sf_dir)
+        _left[:] = WRITTEN[before:]
+        return result
+
+    return called
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those of no clear language. The model is fitted on the rows with a language."""
     model = language.fit(docs, F.lit(True))
@@ -29,36 +50,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CONFIDENCE)).select(*docs.columns)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, the one with the smallest doc_id; rows without a doc_id stay."""
-    kept = neardup.groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    gone = neardup.groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("not kept").select("doc_id").distinct()
+    return docs.join(sent_if_small(stored(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that a document with a smaller doc_id holds; a document of which nothing is left goes.
 
     A cut document's words are joined by single spaces and n_chars counts what is left; others stay as they are.
     """
     cut = substrings.repeats(docs).where("n_removed > 0").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "kept")
-    rows = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(cut, ["doc_id", "text_key"], "left")
-    rows = rows.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars")))
-    return rows.where("kept is null or kept <> ''").withColumn("text", F.coalesce("kept", "text")).select(*docs.columns)
+    cut = stored(cut, "cut")
+    changed = sent_if_small(cut.select("doc_id", "text_key"))
+    rows = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = rows.join(changed, ["doc_id", "text_key"], "left_anti").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    new = rows.select(*others, "text_key").join(cut.where("kept <> ''"), ["doc_id", "text_key"])
+    new = new.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
+    return same.unionByName(new.select(*docs.columns))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the domain-language-source tree's budgets choose, in one epoch."""
-    chosen, _ = mixing.select_mix(docs, queries.mix_domain(), queries.mix_weight, MIX_FRACTION, seed=7, epochs=1)
-    keys = chosen.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("k"), "digest", "leaf.domain", "leaf.lang", "leaf.source")
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
-    match = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(F.coalesce("text", F.lit("")), 256), name(queries.mix_domain()), name(F.col("lang")), name(F.col("source"))]
-    rows = docs
-    for i, c in enumerate(match):
-        rows = rows.withColumn(f"_m{i}", c)
-    on = [F.col(f"_m{i}") == keys[c] for i, c in enumerate(keys.columns)]
-    return rows.join(keys, on, "left_semi").select(*docs.columns)
+    plan, _ = mixing.plan_mix(docs, queries.mix_domain(), queries.mix_weight, MIX_FRACTION, seed=7, epochs=1)
+    return mixing.select_mix(docs, queries.mix_domain(), plan, seed=7).select(*docs.columns)
 
 
+@_stage
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe.round_trip(docs, queries.tokenizer_path())

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a kernel works on at once; a longer document is a chunk of its own.
@@ -38,13 +39,34 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: The tables that stored() has written in this process, in order.
+WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and outlives executors."""
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that stored() has written, once whatever reads them is written out itself."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Decisions on so many rows at most are sent to all tasks; more are joined by a shuffle.
+SMALL_ROWS = 1_000_000
+
+
+def sent_if_small(rows: DataFrame) -> DataFrame:
+    """rows, which are narrow and stored, marked for broadcast if a count finds them few enough."""
+    return F.broadcast(rows) if rows.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else rows
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows: one batch of whole texts must fit beside the JVM."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -3,7 +3,8 @@
 A node's budget is dealt to its children by their weights; a child that cannot use its share (its
 supply times the allowed epochs) leaves the rest to its siblings, and only what a whole subtree
 cannot use goes on to the subtree's own siblings. Each leaf then takes the longest run of its
-documents, in the order of a seeded digest, whose tokens fit its budget, epoch after epoch.
+documents, in the order of a seeded digest, whose tokens fit its budget, epoch after epoch: that run
+ends at one digest, so the choice is a comparison with it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD_PATTERN
+from .base import WORD_PATTERN, stored
 
 #: The tree's leaves are read by the driver; more of them than this is an error, not a cut.
 MOST_LEAVES = 100_000
@@ -71,40 +72,60 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long"))
 
 
-def select_mix(docs: DataFrame, domain: Column, weight: Callable[[Path], float], fraction: float, seed: int = 1, epochs: int = 1, id_col: str = "doc_id") -> tuple[DataFrame, dict[Path, tuple[int, int]]]:
-    """The chosen (id, digest, leaf, tokens, epoch, before) rows, and each leaf's (supply, budget).
+def _keyed(docs: DataFrame, domain: Column, id_col: str) -> DataFrame:
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    leaf = F.struct(name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"))
+    return docs.withColumn("_key", F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), digest)).withColumn("_leaf", leaf)
+
+
+def _order(seed: int, epoch: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("_key")))
+
+
+Plan = list[tuple[Path, int, str]]
 
-    docs has id_col, text, lang, source. fraction: the whole budget as a share of all tokens. A null
-    domain, language or source is a leaf named '?'. A leaf's order is by md5 of seed, epoch, id and
-    the text's digest. A document is taken if its tokens end within the leaf's budget; the first that
-    does not ends that leaf's epoch and the leaf. Documents without tokens are taken while budget is
-    left. Equal rows (same id, text and leaf) are taken or left together: their tokens count
-    for each. An empty table chooses nothing.
 
-    A leaf is cut by its order digests into bins; budgets are compared with prefix sums of the bins'
-    tokens, and only the one bin in which a leaf's budget ends is put in order.
+def plan_mix(docs: DataFrame, domain: Column, weight: Callable[[Path], float], fraction: float, seed: int = 1, epochs: int = 1, id_col: str = "doc_id") -> tuple[Plan, dict[Path, tuple[int, int]]]:
+    """How far each leaf is read, as (leaf, epoch, last order digest), and each leaf's (supply, budget).
+
+    A leaf is cut by its order digests into bins; its budget is compared with prefix sums of the bins'
+    tokens, and only the one bin in which it ends is put in order.
     """
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("digest"),
-        F.struct(name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source")).alias("leaf"), tokens_of(F.col("text")).alias("tokens"),
-    )
-    rows = rows.groupBy("id", "digest", "leaf").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    sums = rows.groupBy("leaf").agg(F.sum("tokens").alias("tokens")).limit(MOST_LEAVES + 1).collect()
+    spark = docs.sparkSession
+    rows = _keyed(docs.select(id_col, "text", "lang", "source"), domain, id_col).select("_key", "_leaf", tokens_of(F.col("text")).alias("tokens"))
+    rows = stored(rows.groupBy("_key", "_leaf").agg(F.sum("tokens").alias("tokens")), "mix")
+    sums = rows.groupBy("_leaf").agg(F.sum("tokens").alias("tokens")).limit(MOST_LEAVES + 1).collect()
     if len(sums) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaves")
-    supply = {(r.leaf.domain, r.leaf.lang, r.leaf.source): r.tokens for r in sums}
+    supply = {tuple(r._leaf): r.tokens for r in sums}
     got = budgets(supply, int(fraction * sum(supply.values())), weight, epochs)
-    spark = docs.sparkSession
-    limits = [(k, e, min(max(got[k] - e * supply[k], 0), supply[k])) for k in supply for e in range(epochs) if got[k] > e * supply[k] or (e == 0 and got[k] > 0)]
-    limits = spark.createDataFrame(limits, "leaf struct<domain:string,lang:string,source:string>, epoch int, budget long")
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("digest")))
-    dealt = rows.join(F.broadcast(limits), "leaf").withColumn("order", order).withColumn("bin", (F.conv(F.substring("order", 1, 6), 16, 10).cast("long") * BINS / (1 << 24)).cast("int"))
-    full = F.sum("tokens").over(Window.partitionBy("leaf", "epoch").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    bins = dealt.groupBy("leaf", "epoch", "bin").agg(F.sum("tokens").alias("tokens")).withColumn("upto", full).select("leaf", "epoch", "bin", "upto", (F.col("upto") - F.col("tokens")).alias("start"))
-    placed = dealt.join(bins, ["leaf", "epoch", "bin"]).where(F.col("start") < F.col("budget"))
-    whole = placed.where(F.col("upto") <= F.col("budget")).withColumn("end", F.lit(None).cast("long"))
-    running = F.col("start") + F.sum("tokens").over(Window.partitionBy("leaf", "epoch", "bin").orderBy("order", "id", "digest").rowsBetween(Window.unboundedPreceding, 0))
-    cut = placed.where(F.col("upto") > F.col("budget")).withColumn("end", running).where(F.col("end") <= F.col("budget"))
-    chosen = whole.unionByName(cut).select("id", "digest", "leaf", "tokens", "n", "epoch")
-    return chosen, {k: (supply[k], got[k]) for k in supply}
+    limits = [(k, e, min(got[k] - e * supply[k], supply[k])) for k in supply for e in range(epochs) if got[k] > e * supply[k]]
+    told = {k: (supply[k], got[k]) for k in supply}
+    if not limits:
+        return [], told
+    frame = spark.createDataFrame(limits, "_leaf struct<domain:string,lang:string,source:string>, epoch int, budget long")
+    bin_ = (F.conv(F.substring("order", 1, 6), 16, 10).cast("long") * BINS / (1 << 24)).cast("int")
+    dealt = rows.join(F.broadcast(frame), "_leaf").withColumn("order", _order(seed, F.col("epoch"))).withColumn("bin", bin_)
+    in_leaf = Window.partitionBy("_leaf", "epoch").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = dealt.groupBy("_leaf", "epoch", "budget", "bin").agg(F.sum("tokens").alias("tokens"), F.max("order").alias("last")).withColumn("upto", F.sum("tokens").over(in_leaf))
+    whole = bins.where(F.col("upto") <= F.col("budget")).select("_leaf", "epoch", "last")
+    ends = bins.where((F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("tokens") <= F.col("budget"))).select("_leaf", "epoch", "bin", (F.col("upto") - F.col("tokens")).alias("start"))
+    in_bin = Window.partitionBy("_leaf", "epoch", "bin").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    cut = dealt.join(ends, ["_leaf", "epoch", "bin"]).withColumn("end", F.col("start") + F.sum("tokens").over(in_bin)).where(F.col("end") <= F.col("budget")).select("_leaf", "epoch", F.col("order").alias("last"))
+    last = whole.unionByName(cut).groupBy("_leaf", "epoch").agg(F.max("last").alias("last")).collect()
+    return [(tuple(r._leaf), r.epoch, r.last) for r in last], told
+
+
+def select_mix(docs: DataFrame, domain: Column, plan: Plan, seed: int = 1, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that the plan chooses, with _leaf and epoch: one for each epoch that a row is in.
+
+    docs has id_col, text, lang, source; all columns are kept. A null domain, language or source is a
+    leaf named '?'. A leaf's order is by md5 of seed, epoch, id and the text's digest. A document is
+    taken if its tokens end within the leaf's budget; the first that does not ends the leaf. Equal
+    rows (same id, text and leaf) are taken or left together: their tokens count for each. An empty
+    table chooses nothing. The plan has a row for each leaf and epoch, so nothing is shuffled.
+    """
+    frame = docs.sparkSession.createDataFrame(plan, "_leaf struct<domain:string,lang:string,source:string>, epoch int, _last string")
+    rows = _keyed(docs, domain, id_col).join(F.broadcast(frame), "_leaf")
+    return rows.where(_order(seed, F.col("epoch")) <= F.col("_last")).drop("_key", "_last")

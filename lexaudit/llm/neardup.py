@@ -200,7 +200,9 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "
             for w in word_chunks(held["text"], fold=True):
                 s = Shingles(w, shingle)
                 one, two = s.marks()
-                yield pa.RecordBatch.from_arrays([ids.slice(w.lo, w.hi - w.lo), pa.array(np.full(w.hi - w.lo, block)), pa.array(s.count.astype(np.int64)), pa.array(signed(one)), pa.array(signed(two))], names=["id", "block", "n", "m1", "m2"])
+                upper = (s.values >> np.uint64(32)).astype(np.uint32)
+                sketch = [upper[a : min(a + k, b)].tobytes() for a, b in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(w.lo, w.hi - w.lo), pa.array(np.full(w.hi - w.lo, block)), pa.array(s.count.astype(np.int64)), pa.array(signed(one)), pa.array(signed(two)), pa.array(sketch, pa.binary())], names=["id", "block", "n", "m1", "m2", "sketch"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,20 +216,24 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(ids[w.lo + owner]), pa.array(signed(s.marks()[0])[owner])], names=["key", "id", "m1"])
 
     def sets(left: pa.Table, right: pa.Table) -> pa.Table:
-        out_id, out_set = [], []
+        """The full set of each asked document, once for each task that it is asked for."""
+        out: list[list] = [[] for _ in range(5)]
         if right.num_rows:
             if not left.num_rows:
                 raise RuntimeError("a block has changed between two readings of its table")
             held = unpacked(left["rows"][0])
-            asked = set(right["id"].to_pylist())
+            asked: dict[int, list] = {}
+            for i, *where in zip(*(right[c].to_pylist() for c in ("id", "task", "lo", "hi")), strict=True):
+                asked.setdefault(i, []).append(where)
             ids = held["id"].to_pylist()
             for w in word_chunks(held["text"], fold=True):
                 s = Shingles(w, shingle)
                 for i in range(w.hi - w.lo):
-                    if ids[w.lo + i] in asked and s.count[i]:
-                        out_id.append(ids[w.lo + i])
-                        out_set.append(s.values[s.bounds[i] : s.bounds[i + 1]].tobytes())
-        return pa.table({"id": pa.array(out_id, pa.int64()), "sketch": pa.array([(np.frombuffer(x, np.uint64)[:k] >> np.uint64(32)).astype(np.uint32).tobytes() for x in out_set], pa.binary()), "shingles": pa.array(out_set, pa.binary())})
+                    for where in asked.get(ids[w.lo + i], ()) if s.count[i] else ():
+                        for column, x in zip(out, (*where, ids[w.lo + i], s.values[s.bounds[i] : s.bounds[i + 1]].tobytes()), strict=True):
+                            column.append(x)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        return pa.table({n: pa.array(x, k) for n, x, k in zip(("task", "lo", "hi", "id", "shingles"), out, kinds, strict=True)})
 
     def unpack(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
         found = [np.frombuffer(x.as_buffer(), kind) for x in column]
@@ -245,21 +251,20 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "
             keep = [union_sketch(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), k) >= ESTIMATE for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], names=["a", "b"])
 
-    def parted(rows: DataFrame, sizes: DataFrame, on: str, what: str) -> DataFrame:
-        """Groups of more than part members in parts, each pair of parts a group of its own: (on, lo, hi, id, what)."""
-        sized = rows.join(sizes, on).withColumn("parts", F.ceil(F.col("n") / part).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        return sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(on, "n", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", what)
+    def parted(members: DataFrame, sizes: DataFrame, on: str) -> DataFrame:
+        """Members of groups of more than part members in parts, each pair of parts a group of its own: (on, n, lo, hi, id)."""
+        sized = members.join(sizes, on).withColumn("parts", F.ceil(F.col("n") / part).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        return sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(on, "n", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id")
 
-    texts = stored(rows.mapInArrow(profile, "id long, block long, n long, m1 long, m2 long"), "profile")
+    texts = stored(rows.mapInArrow(profile, "id long, block long, n long, m1 long, m2 long, sketch binary"), "profile")
     kinds = stored(texts.where("id is not null and n > 0").groupBy("m1", "m2", "n").agg(F.min("id").alias("first")), "kinds")
     found = rows.mapInArrow(keys, "key long, id long, m1 long")
     shared = found.groupBy("key").agg(F.min("m1").alias("a"), F.max("m1").alias("b")).where("a <> b").select("key")
     postings = found.select("key", "id").join(shared, "key", "left_semi").join(kinds.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
     postings = stored(postings.select("key", "id"), "postings")
 
-    wanted = texts.join(kinds.select(F.col("first").alias("id"), "m1", "m2", "n"), ["id", "m1", "m2", "n"], "left_semi").select("id", "block").join(postings.select("id").distinct(), "id", "left_semi")
-    full = packed_blocks(rows, 1, BLOCK_BYTES).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sets, "id long, sketch binary, shingles binary")
-    full = stored(full, "sets")
+    firsts = texts.join(kinds.select(F.col("first").alias("id"), "m1", "m2", "n"), ["id", "m1", "m2", "n"], "left_semi")
+    sketches = firsts.select("id", "sketch").join(postings.select("id").distinct(), "id", "left_semi")
 
     lengths = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     listed = postings.join(lengths.where(F.col("n").between(2, LONG_LIST)), "key").select("key", "id")
@@ -270,20 +275,21 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "
     exempt = long.select(F.col("id").alias("a")).unionByName(kinds.where(F.col("n") < SMALL_SET).select(F.col("first").alias("a")))
     exempt = exempt.distinct().withColumn("exempt", F.lit(True))
     pairs = pairs.join(exempt, "a", "left").where((F.col("lists") >= LEAST_LISTS) | F.col("exempt")).select("a", "b")
-    sketches = full.select("id", "sketch")
     pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("p")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("q")), "b")
     likely = pairs.select("a", "b", "p", "q").mapInArrow(estimate, "a long, b long")
-    in_parts = parted(long.join(sketches, "id"), lengths, "key", "sketch").drop("n")
+    in_parts = parted(long, lengths, "key").join(sketches, "id").select("key", "lo", "hi", "id", "sketch")
     likely = likely.unionByName(in_parts.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long"))
     likely = components(likely, "candidates")
 
     sizes = likely.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     several_in_one = max(1, likely.count() // (part // 4))  # small components share tasks, of about as many documents each
     task = F.when(F.col("n") <= part // 8, F.lit(-1) - F.pmod(F.xxhash64("component"), F.lit(several_in_one))).otherwise(F.col("component"))
-    whole = parted(full.select("id", "shingles").join(likely.select(F.col("node").alias("id"), "component"), "id"), sizes, "component", "shingles")
-    links = whole.select(task.alias("task"), "lo", "hi", "id", "shingles").groupBy("task", "lo", "hi").applyInArrow(compare, "a long, b long")
+    dealt = parted(likely.select(F.col("node").alias("id"), "component"), sizes, "component").select("id", task.cast("long").alias("task"), "lo", "hi")
+    wanted = firsts.select("id", "block").join(dealt, "id")
+    whole = packed_blocks(rows, 1, BLOCK_BYTES).groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(sets, "task long, lo int, hi int, id long, shingles binary")
+    links = whole.groupBy("task", "lo", "hi").applyInArrow(compare, "a long, b long")
 
-    named = texts.join(kinds, ["m1", "m2", "n"], "left")
+    named = texts.drop("sketch").join(kinds, ["m1", "m2", "n"], "left")
     several = named.where("first is not null").groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b")
     several = named.join(several.select("id", "a"), "id").select("a", F.col("first").alias("b"))
     joined = components(links.unionByName(several), "links")

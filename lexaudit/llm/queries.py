@@ -79,8 +79,10 @@ def mix_domain():
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, domain, lang, source, tokens and epoch of what is chosen: half of all tokens, two epochs at most."""
-    chosen, _ = mixing.select_mix(table(spark, sf_dir, "documents"), mix_domain(), mix_weight, 0.5, seed=7, epochs=2)
-    return chosen.select(F.col("id").alias("doc_id"), "leaf.domain", "leaf.lang", "leaf.source", "tokens", "epoch")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    plan, _ = mixing.plan_mix(docs, mix_domain(), mix_weight, 0.5, seed=7, epochs=2)
+    chosen = mixing.select_mix(docs, mix_domain(), plan, seed=7)
+    return chosen.select("doc_id", "_leaf.domain", F.col("_leaf.lang").alias("lang"), F.col("_leaf.source").alias("source"), mixing.tokens_of(F.col("text")).alias("tokens"), "epoch")
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

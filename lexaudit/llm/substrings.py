@@ -21,6 +21,8 @@ from .base import Words, packed_blocks, signed, small_batches, stored, text_bloc
 WINDOW = 50
 #: A perfect difference set: every non-zero remainder modulo 31 is a difference of two of them. Fixed values.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: Bits of a text's hash that tell whether two texts share an anchor, and of a window's second hash.
+MARK, HALF = np.uint64((1 << 44) - 1), np.uint64((1 << 32) - 1)
 #: Bytes of text that are read, compared and cut together.
 BLOCK_BYTES = 4 << 20
 
@@ -72,7 +74,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     words than a window loses nothing. An empty table gives an empty one; other columns are ignored.
 
     Copies of a whole text are settled by its smallest id: of each text one copy is compared in full.
-    Hashes of compared windows have 128 bits.
+    Hashes of compared windows have 96 bits.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k"), F.col(text_col).alias("text"))
@@ -95,7 +97,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             for w in word_chunks(held["text"]):
                 d = _Doc(w, window, period, cover, has_id[w.lo : w.hi])
                 hashes.append(d.hashes)
-                marks.append(w.spans(w.first[:-1], w.first[1:])[d.doc[d.anchors]])
+                marks.append((w.spans(w.first[:-1], w.first[1:]) & MARK)[d.doc[d.anchors]])
             h, m = np.concatenate(hashes), signed(np.concatenate(marks))
             order = np.lexsort((m, h))
             h, m = h[order], m[order]
@@ -123,7 +125,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 start = np.flatnonzero(_spread(hit, len(w.hash), window - length, 0) & d.starts)
                 if len(start):
                     doc = d.doc[start]
-                    for column, x in zip(out, (signed(w.windows(start, window)), signed(w.windows(start, window, second=True)), ids[w.lo + doc], np.full(len(start), block), ((w.lo + doc) << 32) | (start - w.first[:-1][doc])), strict=True):
+                    for column, x in zip(out, (signed(w.windows(start, window)), signed(w.windows(start, window, second=True) & HALF), ids[w.lo + doc], np.full(len(start), block), ((w.lo + doc) << 32) | (start - w.first[:-1][doc])), strict=True):
                         column.append(x)
         return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64()) for c, x in zip(("w1", "w2", "id", "block", "at"), out, strict=True)})
 
