@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, language, mixing, neardup, quality, reputation, sharding, substrings, topk
+from . import bpe, divergence, language, mixing, neardup, oracles, quality, reputation, sharding, substrings, topk
 from .base import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -100,4 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_url_reputation": oracles.url_reputation(URL_RULES),
+        "op7_topk": oracles.top_k(),
+        "op8_substrings": oracles.substrings(),
+        "op10_neardup": oracles.near_duplicates(),
+    }
