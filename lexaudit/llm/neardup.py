@@ -294,5 +294,5 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "
     several = named.join(several.select("id", "a"), "id").select("a", F.col("first").alias("b"))
     joined = components(links.unionByName(several), "links")
     result = named.join(joined.select(F.col("node").alias("first"), "component"), "first", "left")
-    component = F.coalesce(F.col("component"), F.col("first"), F.col("id"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce(F.col("component"), F.col("first"), F.col("id")))
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

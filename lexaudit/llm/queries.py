@@ -74,7 +74,7 @@ def mix_weight(path: tuple[str, ...]) -> float:
 
 def mix_domain():
     """Sources with an odd number are press, all others forum."""
-    return F.when(F.regexp_extract(F.coalesce(F.col("source"), F.lit("")), "([0-9]+)$", 1).cast("long") % 2 == 1, "press").otherwise("forum")
+    return F.when(F.regexp_extract(F.coalesce(F.col("source"), F.lit("")), "([0-9])$", 1).isin("1", "3", "5", "7", "9"), "press").otherwise("forum")
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
