@@ -32,7 +32,7 @@ ESTIMATE = 0.37
 #: Longer lists are not written out as pairs.
 LONG_LIST = 32
 #: Documents of a long list or of a component that are compared in one task at once.
-PART = 8192
+PART = 4096
 BLOCK_BYTES = 4 << 20
 
 
@@ -76,10 +76,13 @@ def run_keys(values: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
     Sets of 4 and 5 are the only ones that may differ and be alike by 0.8 without sharing a run: they
     share a key made of all four values, or of four of the five. Smaller sets are alike only if equal.
     """
+    if len(bounds) > 1 and int(np.diff(bounds).max()) > k:
+        at, bounds = _ranges(bounds[:-1], np.minimum(np.diff(bounds), k))
+        values = values[at]
     count = np.diff(bounds)
     sets = np.repeat(np.arange(len(count)), count)
     rank = np.arange(len(values)) - bounds[:-1][sets]
-    start = np.flatnonzero((rank + RUN <= np.minimum(count, k)[sets]) & (count > RUN)[sets])
+    start = np.flatnonzero((rank + RUN <= count[sets]) & (count > RUN)[sets])
     keys = values[start]
     for step in range(1, RUN):
         keys = mix(keys) ^ values[start + step]
@@ -117,7 +120,7 @@ def links_within(ids: np.ndarray, values: np.ndarray, bounds: np.ndarray, percen
     list_bounds = np.searchsorted(group, np.arange(group[-1] + 2))
     by_set = np.lexsort((group, owner))
     lists_of, set_bounds = group[by_set], np.searchsorted(owner[by_set], np.arange(n + 1))
-    _, local = np.unique(values, return_inverse=True)
+    local = np.unique(values, return_inverse=True)[1].astype(np.int32)
     count = np.diff(bounds)
     head = np.minimum(count, k)
     here = np.zeros(int(local.max()) + 1, dtype=bool)
