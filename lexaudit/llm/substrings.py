@@ -149,12 +149,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         return pa.table({"block": pa.array(block, pa.int64()), "row": pa.array(row, pa.int32()), "gone": pa.array(gone, pa.int64()), "cut_sha": pa.array(sha, pa.string()), "cut": pa.array(left_over, pa.binary()).cast(pa.string())})
 
     texts = stored(rows.mapInArrow(profile, "block long, row int, id long, k long, t1 long, t2 long, n long, sha string"), "profile")
-    blobs = packed_blocks(rows, 2, BLOCK_BYTES)
+    blobs = packed_blocks(rows, 2, BLOCK_BYTES, level=6)
     leads = texts.where("id is not null").groupBy("t1", "t2").agg(F.min("id").alias("lead"))
     led = texts.join(leads, ["t1", "t2"], "left")
-    found = rows.mapInArrow(anchors, "hash long, block long, a long, b long")
-    shared = found.groupBy("hash").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("hash")
-    hits = found.select("hash", "block").join(shared, "hash", "left_semi").select("block", F.col("hash").alias("value"), F.lit(False).alias("is_copy"))
+    # A block holds an anchor once, so that no anchor has more rows than there are blocks. Both readers
+    # of this exchange ask for all of its columns: otherwise it would be made twice, once for each.
+    found = rows.mapInArrow(anchors, "hash long, block long, a long, b long").where("hash is not null").repartition("hash")
+    shared = found.groupBy("hash").agg(F.min("a").alias("least"), F.max("b").alias("most"), F.count("block").alias("blocks")).where("least <> most and blocks > 0").select("hash")
+    hits = found.join(shared, "hash").select("block", F.col("hash").alias("value"), (F.col("a") > F.col("b")).alias("is_copy"))
     copies = led.where((F.col("id") > F.col("lead")) & (F.col("n") >= window)).select("block", F.col("id").alias("value"), F.lit(True).alias("is_copy"))
     candidates = blobs.groupBy("block").cogroup(hits.unionByName(copies).groupBy("block")).applyInArrow(windows, "w1 long, w2 long, id long, block long, at long")
     smallest = candidates.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w1", "w2", "least")
