@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df under spark.checkpoint.dir (a temporary folder where that is unset) and reads it again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, as in tests on one machine, a temporary folder that goes at exit."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lexaudit-")
+        path = tempfile.mkdtemp(prefix="lexaudit-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        where = f"file://{path}"
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts the lineage and outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

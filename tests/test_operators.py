@@ -86,6 +86,9 @@ def test_topics(spark):
     assert sum(t[3] for t in topics.describe_topics(words, theta, phi)) == pytest.approx(1, abs=1e-3)
     new = topics.lda_fold_in(spark.createDataFrame([(1, ["cat"] * 5), (2, ["none"])], "doc_id long, tokens array<string>"), words, phi).collect()
     assert new[1].theta == [0.5, 0.5] and max(new[0].theta) > 0.8
+    assert {r.word: r.total for r in topics.topic_vocabulary(df).collect()} == {"cat": 12, "dog": 6, "sun": 12, "moon": 6}
+    made = topics.text_vectors(df, ["cat", "moon"]).orderBy("doc_id").collect()
+    assert made[1].v == pytest.approx([2 / 3, 0]) and made[0].v == pytest.approx([0, 1 / 3])
     v = spark.createDataFrame([(i, [1.0, 0.1 * i] if i < 5 else [0.1 * i, -1.0]) for i in range(10)] + [(10, [0.0, 0.0])], "id long, v array<double>")
     found, centres = topics.kmeans(v, np.array([[1.0, 0.0], [0.0, -1.0]]))
     got = {r.id: (r.cluster, r.distance) for r in found.collect()}
