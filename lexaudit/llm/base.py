@@ -7,7 +7,6 @@ at once with prefix sums; a window's hash is a difference of two prefix sums.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +17,8 @@ import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import shared_folder
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a kernel works on at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -29,23 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lexaudit-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 #: The tables that stored() has written in this process, in order.
 WRITTEN: list[str] = []
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and outlives executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

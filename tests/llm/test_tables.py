@@ -1,6 +1,7 @@
 """Sharding, URL reputation, top-k, mixing, components and the pipeline."""
 
 import collections
+import re
 import zlib
 
 import numpy as np
@@ -119,12 +120,9 @@ def test_mix_is_a_prefix_of_each_leaf(docs, rows, nothing):
         leaves["u" if source == "src1" else "v", lang or "?", source or "?"][hashlib.md5(f"3:0:{key}".encode()).hexdigest(), d, t] += 1
     want = collections.Counter()
     for leaf, members in leaves.items():
-        supply, budget = told[leaf]
-        assert supply == sum(n * len((t or "").split()) if t != "\u2003wide\u00a0space é É" else n * 3 for (_, _, t), n in members.items()) or True
+        _, budget = told[leaf]
         used = 0
         for (_, d, t), n in sorted(members.items(), key=lambda x: x[0][0]):
-            import re
-
             used += n * len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
             if used > budget:
                 break
