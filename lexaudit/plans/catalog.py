@@ -64,7 +64,7 @@ def posts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("post"))
 
 
-@query()
+@query("SELECT o_orderkey, '订单' || o_orderkey || '，限时优惠 价格' || cast(cast(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '元' || CASE WHEN o_orderkey % 3 = 0 THEN ' 扫码包邮' ELSE '' END AS cleaned FROM orders")
 def clean_text(spark, sf_dir):
     return posts(spark, sf_dir).select("o_orderkey", cleaning.clean(F.col("post")).alias("cleaned"))
 
@@ -265,7 +265,11 @@ def event_triggers(spark, sf_dir):
     return found.select("o_orderkey", F.col("t.text").alias("trigger"), F.col("t.type").alias("type"), F.col("t.start").cast("long").alias("start"))
 
 
-@query()
+@query("""WITH o AS (SELECT o_orderkey, year(o_orderdate) || '年' || month(o_orderdate) || '月' AS t FROM orders)
+SELECT o_orderkey, v.type, v.trigger, v.slot, CASE WHEN v.slot = '时间' THEN t ELSE v.value END AS value FROM o CROSS JOIN (VALUES
+('政策发布', '发布', '时间', ''), ('政策发布', '发布', '主体', '华为公司'),
+('产品问题', '故障', '时间', ''), ('产品问题', '故障', '主体', '华为公司'), ('产品问题', '故障', '产品', '布新款手机'), ('产品问题', '故障', '原因', '电池'),
+('产品召回', '召回', '时间', ''), ('产品召回', '召回', '主体', '华为公司'), ('产品召回', '召回', '产品', '布新款手机'), ('产品召回', '召回', '原因', '电池故障')) v(type, trigger, slot, value)""")
 def event_slots(spark, sf_dir):
     rows = recognised(spark, sf_dir).select("o_orderkey", F.explode(events.extract(F.col("news"), F.col("entities"))).alias("e"))
     return rows.select("o_orderkey", "e.type", "e.trigger", F.explode("e.slots").alias("slot", "value"))
@@ -302,10 +306,14 @@ def clause_sentiment(spark, sf_dir):
     return rows.select("doc_id", F.round(sentiment.clause_score(weights), 4).alias("score"))
 
 
-@query()
+@query("""WITH k AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS k, CASE WHEN l_linenumber <= 4 THEN 0.0 ELSE 0.3 * greatest(-1.0, -2.5 / CASE l_linenumber % 4 WHEN 0 THEN 17 WHEN 1 THEN 14 WHEN 2 THEN 11 ELSE 10 END * 5) END AS face FROM lineitem),
+c AS (SELECT *, round(greatest(-1.0, least(1.0, face + CASE k WHEN 0 THEN (1 / sqrt(6) + 2 * (-2 / sqrt(6))) / 3 WHEN 1 THEN (1 / sqrt(5) + 1) / 2 WHEN 2 THEN (-1.5 / sqrt(3) - 1) / 2 ELSE 1 / sqrt(2) END)), 4) AS score FROM k)
+SELECT l_orderkey, l_linenumber, CASE WHEN score > 0.1 THEN '正面' WHEN score < -0.1 THEN '负面' ELSE '中性' END AS sentiment, score, CASE k WHEN 0 THEN '不错' WHEN 1 THEN '真好 愉快' WHEN 2 THEN '' ELSE '问题 一流' END AS positive_words,
+CASE k WHEN 0 THEN '离谱' WHEN 2 THEN '差劲 失望' ELSE '' END AS negative_words, 2 AS num_clauses FROM c""")
 def doc_sentiment(spark, sf_dir):
     rows = reviews(spark, sf_dir).withColumn("s", sentiment.analyse(F.col("review")))
-    return rows.select("l_orderkey", "l_linenumber", "s.sentiment", "s.score", "s.positive_words", "s.negative_words", "s.num_clauses")
+    said = lambda c: F.array_join(f"s.{c}", " ").alias(c)
+    return rows.select("l_orderkey", "l_linenumber", "s.sentiment", "s.score", said("positive_words"), said("negative_words"), "s.num_clauses")
 
 
 @query("SELECT o_orderkey, greatest(-1.0, least(1.0, CASE o_orderkey % 3 WHEN 0 THEN 2.0 WHEN 1 THEN -2.5 ELSE 0.0 END / (len(CAST(o_orderkey AS VARCHAR)) + CASE WHEN o_orderkey % 3 < 2 THEN 1 ELSE 0 END) * 5)) AS score FROM orders")
@@ -417,6 +425,29 @@ def logistic_predict(spark, sf_dir):
     return classify.predict(classify.logistic_scores(vectors, rows, model), 9)
 
 
+@query(f"WITH {GUESSED}, e AS (SELECT doc_id, label, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, label) AS k FROM sc), p AS (SELECT doc_id, label, k, e / sum(e) OVER (PARTITION BY doc_id) AS p FROM e) SELECT doc_id, label AS sentiment, round(p, 4) AS confidence FROM p WHERE k = 1")
+def supervised_sentiment(spark, sf_dir):
+    """A trained classifier in the place of the lexicon: the best label and its probability."""
+    rows = labelled(spark, sf_dir)
+    vocabulary = classify.fit_vocabulary(rows, 500, 2)
+    found = classify.probabilities(classify.bayes_scores(rows, vocabulary, *classify.fit_bayes(rows, vocabulary)), 6)
+    return found.select("doc_id", F.col("label").alias("sentiment"), F.round("confidence", 4).alias("confidence"))
+
+
+@query(f"SELECT x.doc_id, y.doc_id AS other_id, len(list_intersect(x.c, y.c)) >= 0.85 * (len(x.c) + len(y.c) - len(list_intersect(x.c, y.c))) AS alike FROM (SELECT doc_id, list_distinct(string_split(text, '')) AS c FROM documents) x JOIN (SELECT doc_id, list_distinct(string_split(text, '')) AS c FROM documents) y ON y.doc_id = x.doc_id + 1")
+def neighbours_alike(spark, sf_dir):
+    """Whether each document is a near-duplicate of the next one, by their characters."""
+    docs = documents(spark, sf_dir)
+    other = docs.select(F.col("doc_id").alias("other_id"), F.col("text").alias("other"))
+    return docs.join(other, F.col("other_id") == F.col("doc_id") + 1).select("doc_id", "other_id", cleaning.is_near_duplicate(F.col("text"), F.col("other")).alias("alike"))
+
+
+@query("SELECT o_orderkey, step, name FROM orders CROSS JOIN (SELECT unnest(range(16)) AS step, unnest(['original', 'unescape', 'tags', 'urls', 'mentions', 'hashtags', 'emoji', 'boilerplate', 'symbols', 'blanks', 'advertisement', 'simplified', 'tokens', 'content', 'distinct', 'final']) AS name)")
+def trace_steps(spark, sf_dir):
+    found = analysis.trace(posts(spark, sf_dir).withColumnRenamed("post", "text")).select("o_orderkey", F.explode("trace").alias("t"))
+    return found.select("o_orderkey", F.col("t.step").cast("long").alias("step"), "t.name")
+
+
 # ---------------------------------------------------------------- topics and clusters
 
 

@@ -184,6 +184,10 @@ def test_analysis(spark):
     assert analysis.post_report(got).count() == 2
     with pytest.raises(ValueError):
         analysis.analyse(df, ("nonsense",))
+    told = {t.name: t.value for t in analysis.trace(df.where("doc_id = 1")).first().trace}
+    assert told["original"].startswith("今天") and told["advertisement"] == "no" and told["final"] == " ".join(rows[1].tokens)
+    models = analysis.fit_models(df, topics_=2)
+    assert models["priors"].count() == 1 and models["idf"].count() == models["vocabulary"].count() > 5
 
 
 def test_streams(spark, tmp_path):
