@@ -623,7 +623,7 @@ def waves(spark, sf_dir) -> DataFrame:
     """Each user's values, in order of time, as a wave around their middle."""
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("x"))
     wave = F.flatten(F.array_repeat(F.transform("x", lambda r: (r["value"] - 50) / 100), 120))
-    return rows.select(F.col("user_id").cast("string").alias("media_id"), F.lit(16_000).alias("sr"), F.slice(wave, 1, 4096).cast("array<float>").alias("samples")).where(F.size("samples") >= 1024)
+    return rows.select(F.col("user_id").cast("string").alias("media_id"), F.lit(16_000).alias("sr"), F.slice(wave, 1, 12_000).cast("array<float>").alias("samples")).where(F.size("samples") >= 1024)
 
 
 @query()
@@ -633,7 +633,8 @@ def wave_features(spark, sf_dir):
 
 @query()
 def wave_anomalies(spark, sf_dir):
-    return signal.find_anomalies(waves(spark, sf_dir), noise=0.05, synthetic=3.0)
+    found = signal.find_anomalies(waves(spark, sf_dir))
+    return found.select("media_id", "label", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.round("confidence", 6).alias("confidence"))
 
 
 # ---------------------------------------------------------------- whole analyses
