@@ -7,6 +7,8 @@ at once with prefix sums; a window's hash is a difference of two prefix sums.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -68,6 +70,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: worker processes live on from stage to stage, beside each other."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- hashes
 
 _MASK = (1 << 64) - 1

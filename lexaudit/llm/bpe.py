@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import input_bytes, packed_blocks, small_batches, text_blocks, unpacked
+from .base import input_bytes, packed_blocks, small_batches, text_blocks, tidy, unpacked
 
 #: UTF-8 bytes of text in a block.
 BLOCK_BYTES = 16 << 20
@@ -129,6 +129,7 @@ def code(docs: DataFrame, path: str, finish: Callable[[Codec, list[int]], tuple]
                 words.update(codec.words(text or ""))
             listed = list(words - hot.value.keys())
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(listed), pa.int64()), pa.array(listed, pa.string())], names=["block", "word"])
+        tidy()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by word: each is encoded when it is first met."""
@@ -143,10 +144,12 @@ def code(docs: DataFrame, path: str, finish: Callable[[Codec, list[int]], tuple]
                     last, ids = w, next(fresh)
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "word", "ids"])
+        tidy()
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
         codec = load(path)
-        ids_of = hot.value | dict(zip(right["word"].to_pylist(), right["ids"].to_pylist(), strict=True))
+        ids_of = dict(zip(right["word"].to_pylist(), right["ids"].to_pylist(), strict=True))
+        ids_of.update(hot.value)
         keys: list = []
         out: list[tuple] = []
         for blob in left["rows"]:
@@ -161,6 +164,8 @@ def code(docs: DataFrame, path: str, finish: Callable[[Codec, list[int]], tuple]
                     ids = b"".join([ids_of[w] for w in words])
                 keys.append(key)
                 out.append(finish(codec, np.frombuffer(ids, codec.kind).tolist()))
+        del ids_of
+        tidy()
         columns = {"id": pa.array(keys, left_id_type)}
         for i, (name, _, kind) in enumerate(schema):
             columns[name] = pa.array([x[i] for x in out], kind)

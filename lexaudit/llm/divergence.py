@@ -34,11 +34,11 @@ class Limits:
     least_words: int = 10
     most_repeated_percent: int = 20
     #: Guards: below so many characters or common words, the histogram is not judged.
-    least_characters: int = 200
+    least_characters: int = 300
     least_common: int = 40
     #: The largest distance from the nearest language that is kept.
     class_distance: float = 0.22
-    word_distance: float = 0.6
+    word_distance: float = 0.68
 
 
 def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import small_batches, total
+from .base import small_batches, tidy, total
 
 UNKNOWN = "und"
 
@@ -198,6 +198,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
                     names.append(m.names[i])
                     scores.append(float(p[i]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+        tidy()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(rate, f"{kept}, lang_pred string, score double")

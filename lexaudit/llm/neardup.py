@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, binary_lists, mix, packed_blocks, signed, small_batches, stored, text_blocks, unpacked, word_chunks
+from .base import Words, binary_lists, mix, packed_blocks, signed, small_batches, stored, text_blocks, tidy, unpacked, word_chunks
 from .graph import components
 
 #: Values retained.
@@ -247,6 +247,8 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "
         only = "sketch" in held.column_names
         values, bounds = unpack(held["sketch"], np.uint32) if only else unpack(held["shingles"], np.uint64)
         pairs = links_within(held["id"].to_numpy(), values, bounds, percent, k, only)
+        del values
+        tidy()
         return pa.table({"a": pa.array([x[0] for x in pairs], pa.int64()), "b": pa.array([x[1] for x in pairs], pa.int64())})
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

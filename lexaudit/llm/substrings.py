@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, packed_blocks, signed, small_batches, stored, text_blocks, unpacked, word_chunks
+from .base import Words, packed_blocks, signed, small_batches, stored, text_blocks, tidy, unpacked, word_chunks
 
 WINDOW = 50
 #: A perfect difference set: every non-zero remainder modulo 31 is a difference of two of them. Fixed values.
@@ -127,6 +127,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                     doc = d.doc[start]
                     for column, x in zip(out, (signed(w.windows(start, window)), signed(w.windows(start, window, second=True) & HALF), ids[w.lo + doc], np.full(len(start), block), ((w.lo + doc) << 32) | (start - w.first[:-1][doc])), strict=True):
                         column.append(x)
+        tidy()
         return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64()) for c, x in zip(("w1", "w2", "id", "block", "at"), out, strict=True)})
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -146,6 +147,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                         gone.append(int(lost.sum()))
                         sha.append(hashlib.sha256(kept).hexdigest())
                         left_over.append(kept)
+        tidy()
         return pa.table({"block": pa.array(block, pa.int64()), "row": pa.array(row, pa.int32()), "gone": pa.array(gone, pa.int64()), "cut_sha": pa.array(sha, pa.string()), "cut": pa.array(left_over, pa.binary()).cast(pa.string())})
 
     texts = stored(rows.mapInArrow(profile, "block long, row int, id long, k long, t1 long, t2 long, n long, sha string"), "profile")
