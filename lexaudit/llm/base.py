@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.ipc
+from pyarrow import ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,13 +211,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def binary_lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A binary column whose row i holds the bytes of values[bounds[i]:bounds[i+1]]."""
-    values = np.ascontiguousarray(values)
-    offsets = (np.asarray(bounds, dtype=np.int64) * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
-
-
 # ---------------------------------------------------------------- blocks of text
 
 
@@ -261,13 +254,13 @@ def _numbered(held: list[pa.RecordBatch]) -> tuple[int, pa.Table]:
 
 def packed(rows: pa.Table, level: int) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as writer:
+    with ipc.new_stream(out, rows.schema, options=ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as writer:
         writer.write_table(rows)
     return out.getvalue().to_pybytes()
 
 
 def unpacked(blob: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
+    return ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
 
 
 def packed_blocks(rows: DataFrame, text_at: int, size: int, level: int = 3) -> DataFrame:

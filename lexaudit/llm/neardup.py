@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, binary_lists, mix, packed_blocks, signed, small_batches, stored, text_blocks, tidy, unpacked, word_chunks
+from .base import Words, mix, packed_blocks, signed, small_batches, stored, text_blocks, tidy, unpacked, word_chunks
 from .graph import components
 
 #: Values retained.
