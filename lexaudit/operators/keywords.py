@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """(id, word, cnt, first_pos, n_tokens), one row for each word of a document."""
-    long = docs.select(id_col, F.size(tokens_col).alias("n_tokens"), F.posexplode(tokens_col).alias("pos", "word"))
+    # the outer generator: for the inner one, the optimizer adds a filter that computes the tokens again
+    long = docs.select(id_col, F.size(tokens_col).alias("n_tokens"), F.posexplode_outer(tokens_col).alias("pos", "word")).where("word is not null")
     return long.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"), F.first("n_tokens").alias("n_tokens"))
 
 
@@ -42,6 +43,8 @@ def top_words(scores: DataFrame, n: int = 10, id_col: str = "doc_id", digits: in
 
 def tfidf(docs: DataFrame, n: int = 10, max_features: int | None = 5000, smooth: bool = True, sublinear: bool = False, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     idf = fit_idf(docs, max_features, smooth, id_col, tokens_col)
+    if max_features is not None:
+        idf = F.broadcast(idf)  # max_features rows at most
     return top_words(score_tfidf(docs, idf, sublinear, id_col, tokens_col), n, id_col)
 
 
