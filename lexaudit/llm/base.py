@@ -23,7 +23,7 @@ from ..operators.scratch import shared_folder
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a kernel works on at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Rows of text in an Arrow batch, so that a batch of long documents stays small.
 BATCH_ROWS = 500
 

@@ -28,7 +28,8 @@ BLOCK_BYTES = 16 << 20
 COMMON = 0x250
 #: So many frequent words, found in a sample of so many bytes, are encoded beforehand and sent to all tasks: a table of
 #: bounded size that spares the shuffle its most repeated rows. All other words go through the shuffle.
-HOT_WORDS, HOT_BYTES = 200_000, 16 << 20
+HOT_WORDS, HOT_BYTES = 150_000, 10 << 20
+ENCODE_WORDS = 2000
 
 
 @lru_cache(maxsize=4)
@@ -87,7 +88,10 @@ class Codec:
         return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        out: list[bytes] = []
+        for lo in range(0, len(words), ENCODE_WORDS):  # the library's own results are large
+            out += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words[lo : lo + ENCODE_WORDS], add_special_tokens=False)]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Joins ids to their pieces."""
@@ -95,6 +99,12 @@ class Codec:
         return b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
 
 
+def _texts(column: pa.ChunkedArray) -> Iterator[str | None]:
+    """The strings of a column, some at a time."""
+    for lo in range(0, len(column), 256):
+        yield from column.slice(lo, 256).to_pylist()
+
+
 def _hot_words(rows: DataFrame, path: str) -> dict[str, bytes]:
     """Ids of the words that a sample holds most often: any other choice gives the same results."""
 
@@ -104,7 +114,10 @@ def _hot_words(rows: DataFrame, path: str) -> dict[str, bytes]:
             for text in batch.column(0).to_pylist():
                 counts.update(codec.words(text or ""))
         words = [w for w, n in counts.most_common(HOT_WORDS) if n > 1]
+        del counts
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(codec.encode_words(words), pa.binary())], names=["word", "ids"])
+        del words
+        tidy()
 
     share = min(1.0, HOT_BYTES / max(input_bytes(rows), 1))
     sample = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
@@ -125,7 +138,7 @@ def code(docs: DataFrame, path: str, finish: Callable[[Codec, list[int]], tuple]
         codec = load(path)
         for block, held in text_blocks(batches, 1, block_bytes):
             words: set[str] = set()
-            for text in held["text"].to_pylist():
+            for text in _texts(held["text"]):
                 words.update(codec.words(text or ""))
             listed = list(words - hot.value.keys())
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(listed), pa.int64()), pa.array(listed, pa.string())], names=["block", "word"])
@@ -154,7 +167,7 @@ def code(docs: DataFrame, path: str, finish: Callable[[Codec, list[int]], tuple]
         out: list[tuple] = []
         for blob in left["rows"]:
             held = unpacked(blob)
-            for key, text in zip(held["id"].to_pylist(), held["text"].to_pylist(), strict=True):
+            for key, text in zip(held["id"].to_pylist(), _texts(held["text"]), strict=True):
                 words = codec.words(text or "")
                 try:
                     ids = b"".join([ids_of[w] for w in words])
