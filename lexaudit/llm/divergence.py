@@ -1,8 +1,9 @@
 """Quality rules: how far a text's histograms of character classes and common words are from any language's.
 
 DataFrame functions only. A text is compared with each reference language by the Jensen-Shannon
-distance (base 2, 0 to 1) of both histograms; a histogram of too few characters or common words is
-not judged. References are the sums over all documents of a language.
+distance (base 2, 0 to 1) of both histograms. All words that are not common share one bin, so a long
+text with few common words is far from every language. A text of too few characters or words is not
+judged by that histogram. References are the sums over all documents of a language.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ CLASSES = ("small", "capital", "digit", "space", "symbol", "mark")
 class Limits:
     least_words: int = 10
     most_repeated_percent: int = 20
-    #: Guards: below so many characters or common words, the histogram is not judged.
+    #: Guards: below so many characters or words, the histogram is not judged.
     least_characters: int = 300
-    least_common: int = 40
+    least_length: int = 100
     #: The largest distance from the nearest language that is kept.
     class_distance: float = 0.22
-    word_distance: float = 0.68
+    #: A text without any common word is at about 0.34.
+    word_distance: float = 0.26
 
 
 def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
@@ -73,11 +75,11 @@ def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None)
     classes = F.array(*(x.cast("long") for x in (F.col("letter") - F.col("capital"), F.col("capital"), F.col("digit"), F.col("space"), symbol, F.col("length") - F.col("letter") - F.col("digit") - F.col("space") - symbol)))
     # each common word stands between bars; taking it out tells how often it was there
     times = lambda w: ((F.length("common") - F.length(F.replace(F.col("common"), F.lit(f"|{w}|"), F.lit("")))) / (len(w) + 2)).cast("long")
-    commons = F.array(*map(times, WORDS))
+    commons = F.array(*map(times, WORDS), F.col("n_words") - F.col("n_common"))
     return rows.select(
         "id", "lang", "n_words", (F.col("length") - F.col("space")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), classes.alias("classes"), commons.alias("commons"),
-        F.col("length").cast("long").alias("n_class"), "n_common",
+        F.col("length").cast("long").alias("n_class"),
     )
 
 
@@ -112,15 +114,15 @@ def judge(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", te
     """
     failed = (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.most_repeated_percent * F.col("n_words"))
     rows = stored(measures(docs, id_col, text_col, lang_col).withColumn("base_failed", failed), "measures")
-    sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in (("classes", len(CLASSES)), ("commons", len(WORDS))) for i in range(n)]
+    sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in (("classes", len(CLASSES)), ("commons", len(WORDS) + 1)) for i in range(n)]
     found = rows.where(F.col("lang").isin(*COMMON) & ~F.col("base_failed")).groupBy("lang").agg(*sums).orderBy("lang").collect()
-    references = [([r[f"classes{i}"] for i in range(len(CLASSES))], [r[f"commons{i}"] for i in range(len(WORDS))]) for r in found]
+    references = [([r[f"classes{i}"] for i in range(len(CLASSES))], [r[f"commons{i}"] for i in range(len(WORDS) + 1)]) for r in found]
     if references:
-        near = F.array(*(F.struct(distance(F.col("commons"), F.col("n_common"), w).alias("w"), distance(F.col("classes"), F.col("n_class"), c).alias("c")) for c, w in references))
+        near = F.array(*(F.struct(distance(F.col("commons"), F.col("n_words"), w).alias("w"), distance(F.col("classes"), F.col("n_class"), c).alias("c")) for c, w in references))
     else:
         near = F.array(F.struct(F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("c")))
     guard = lambda x, limit, enough: F.coalesce(x, F.lit(0.0)) / limit * F.when(enough, 1.0).otherwise(0.0)
-    rows = rows.withColumn("near", near).withColumn("many", F.col("n_class") >= limits.least_characters).withColumn("often", F.col("n_common") >= limits.least_common)
+    rows = rows.withColumn("near", near).withColumn("many", F.col("n_class") >= limits.least_characters).withColumn("often", F.col("n_words") >= limits.least_length)
     over = F.array_min(F.transform("near", lambda x: F.greatest(guard(x["c"], limits.class_distance, F.col("many")), guard(x["w"], limits.word_distance, F.col("often")))))
     return rows.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -198,3 +198,12 @@ def test_rules_reject_what_is_far_from_every_language(spark):
     rows = [(i, " ".join(random.Random(i).sample(clean.split() * 8, 120)), "en") for i in range(30)] + [(99, " ".join(random.Random(99).sample(shouted.split() * 8, 120)), None)]
     got = {r.doc_id: r.kept for r in divergence.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[i] for i in range(30)) and not got[99]
+
+
+def test_rules_reject_long_texts_with_few_common_words(spark):
+    """Guarded by the words of a text, not by the common ones found: none at all is the farthest case."""
+    draw = lambda seed, n, common: " ".join(r.choice(("the", "of", "and", "to", "in", "is")) if r.random() < common else "".join(r.choice("bdeilmnorst") for _ in range(6)) for r in [random.Random(seed)] for _ in range(n))
+    rows = [(i, draw(i, 200, 0.4), "en") for i in range(30)] + [(90, draw(90, 300, 0.0), None), (91, draw(91, 300, 0.05), None), (92, draw(92, 60, 0.0), None)]
+    got = {r.doc_id: r for r in divergence.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(30)) and got[92].kept
+    assert not got[90].kept and not got[91].kept and got[90].word_distance > got[91].word_distance > 0.26
