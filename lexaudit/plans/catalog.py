@@ -480,7 +480,7 @@ def kmeans_keywords(spark, sf_dir):
 @query()
 def lda_topics(spark, sf_dir):
     rows = tokenised(spark, sf_dir).select("doc_id", tokens.keep_content(F.col("tokens"), ENGLISH_STOPWORDS).alias("tokens"))
-    _, described = topics.lda_large(rows, 4, rounds=2)
+    _, described = topics.lda_large(rows)
     return described.select("topic_id", F.explode("words").alias("word"))
 
 

@@ -95,6 +95,15 @@ def test_topics(spark):
     assert got[0][0] == 0 and got[9][0] == 1 and got[10] == (0, 1.0)
 
 
+def test_lda_uses_every_document_and_word(spark):
+    rows = [(i, [f"w{i}"] * 1000) for i in range(14)] + [(14, ["once"])]
+    theta, described = topics.lda_large(spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(2), 2)
+    found = described.collect()
+    assert theta.count() == 15 and all(set(r.words) == {f"w{i}" for i in range(14)} for r in found)
+    share = {w: max(s / max(r.scores) for r in found for v, s in zip(r.words, r.scores, strict=True) if v == w) for w in found[0].words}
+    assert min(share.values()) > 0.05  # a document that is never drawn leaves its word thousands of times behind
+
+
 def test_duplicates(spark):
     texts = ["abcdefgh", "abcdefgi", "hgfedcba", "abcdefij", "zzz", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
