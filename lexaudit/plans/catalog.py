@@ -620,10 +620,10 @@ def islands(spark, sf_dir):
 
 
 def waves(spark, sf_dir) -> DataFrame:
-    """Each user's values, in order of time, as a wave around their middle."""
+    """Each user's values, in order of time, as a whole wave around their middle; a user is one row, however many events."""
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("x"))
     wave = F.flatten(F.array_repeat(F.transform("x", lambda r: (r["value"] - 50) / 100), 120))
-    return rows.select(F.col("user_id").cast("string").alias("media_id"), F.lit(16_000).alias("sr"), F.slice(wave, 1, 12_000).cast("array<float>").alias("samples")).where(F.size("samples") >= 1024)
+    return rows.select(F.col("user_id").cast("string").alias("media_id"), F.lit(16_000).alias("sr"), wave.cast("array<float>").alias("samples"))
 
 
 @query()

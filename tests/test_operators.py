@@ -104,6 +104,20 @@ def test_lda_uses_every_document_and_word(spark):
     assert min(share.values()) > 0.05  # a document that is never drawn leaves its word thousands of times behind
 
 
+def test_waves_are_whole(spark, tmp_path):
+    from lexaudit.plans import catalog
+
+    events = spark.range(151).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "if(id < 150, 1L, 2L) AS user_id", "CAST(id * 37 % 101 AS DOUBLE) AS value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.media_id: len(r.samples) for r in catalog.waves(spark, str(tmp_path)).collect()} == {"1": 150 * 120, "2": 120}
+    got = {(r.media_id, r.feature): r.frames for r in catalog.QUERIES["wave_features"](spark, str(tmp_path)).collect()}
+    spectra = (150 * 120 - 1024) // 512 + 1
+    short = -(-(150 * 120 - 256) // 128)
+    # a wave shorter than a spectrum is one frame of it; one shorter than a frame has no other features
+    assert got == {("1", "zcr"): short, ("1", "rms_energy"): short, ("1", "spectral_centroid"): spectra, ("1", "spectral_entropy"): spectra, ("2", "spectral_centroid"): 1, ("2", "spectral_entropy"): 1}
+    assert catalog.QUERIES["wave_anomalies"](spark, str(tmp_path)).where("media_id = '2'").count() == 0
+
+
 def test_duplicates(spark):
     texts = ["abcdefgh", "abcdefgi", "hgfedcba", "abcdefij", "zzz", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
