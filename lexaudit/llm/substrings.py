@@ -117,7 +117,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             held, block = opened(left, right), right["block"][0].as_py()
             known = np.sort(value[~is_copy].view(np.uint64))
             ids = held["id"].combine_chunks().fill_null(0).to_numpy()
-            use = np.asarray(held["id"].combine_chunks().is_valid()) & ~np.isin(ids, value[is_copy])
+            use = np.asarray(held["id"].combine_chunks().is_valid()) & ~np.isin(np.arange(len(ids)), value[is_copy])
             for w in word_chunks(held["text"]):
                 d = _Doc(w, window, period, cover, use[w.lo : w.hi])
                 at = np.minimum(np.searchsorted(known, d.hashes), max(len(known) - 1, 0))
@@ -159,7 +159,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     found = rows.mapInArrow(anchors, "hash long, block long, a long, b long").where("hash is not null").repartition("hash")
     shared = found.groupBy("hash").agg(F.min("a").alias("least"), F.max("b").alias("most"), F.count("block").alias("blocks")).where("least <> most and blocks > 0").select("hash")
     hits = found.join(shared, "hash").select("block", F.col("hash").alias("value"), (F.col("a") > F.col("b")).alias("is_copy"))
-    copies = led.where((F.col("id") > F.col("lead")) & (F.col("n") >= window)).select("block", F.col("id").alias("value"), F.lit(True).alias("is_copy"))
+    copies = led.where((F.col("id") > F.col("lead")) & (F.col("n") >= window)).select("block", F.col("row").cast("long").alias("value"), F.lit(True).alias("is_copy"))
     candidates = blobs.groupBy("block").cogroup(hits.unionByName(copies).groupBy("block")).applyInArrow(windows, "w1 long, w2 long, id long, block long, at long")
     smallest = candidates.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w1", "w2", "least")
     repeated = candidates.join(smallest, ["w1", "w2"]).where("id > least").select("block", "at")

@@ -207,3 +207,10 @@ def test_rules_reject_long_texts_with_few_common_words(spark):
     got = {r.doc_id: r for r in divergence.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[i].kept for i in range(30)) and got[92].kept
     assert not got[90].kept and not got[91].kept and got[90].word_distance > got[91].word_distance > 0.26
+
+
+def test_a_row_that_shares_its_id_with_a_copy_is_judged_on_its_own_text(spark):
+    one, two, tail = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    rows = [(1, one), (2, two), (3, one), (3, f"{two} {tail}"), (4, tail)]
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {(1, 60): 0, (2, 60): 0, (3, 60): 60, (3, 120): 60, (4, 60): 60}
