@@ -14,20 +14,20 @@ from .entities import MONEY, ORGANISATION, PERSON, PLACE, PRODUCT, TIME
 from .spans import find_spans, longer_replaces
 
 NEAR, BEFORE, AFTER = 60, 30, 30
-EventTypes = dict[str, tuple[str, str]]
+EventTypes = dict[str, tuple[tuple[str, ...], tuple[str, ...]]]
 
 
 def load_types(path: str) -> EventTypes:
-    """More event types, from a JSON file: {type: [triggers separated by spaces, slots separated by spaces]}."""
+    """Event types from a JSON file: {type: [[trigger, ...], [slot, ...]]}."""
     with open(path, encoding="utf-8") as f:
-        return {k: (v[0], v[1]) for k, v in json.load(f).items()}
+        return {k: (tuple(v[0]), tuple(v[1])) for k, v in json.load(f).items()}
 
 
 def owners(types: EventTypes = L.EVENT_TYPES) -> dict[str, str]:
     """The first type that lists a trigger owns it."""
     out: dict[str, str] = {}
     for name, (triggers, _) in types.items():
-        for t in triggers.split():
+        for t in triggers:
             out.setdefault(t, name)
     return out
 
@@ -64,7 +64,7 @@ def _without_first(text: Column, part: Column) -> Column:
 def extract(text: Column, entities: Column, types: EventTypes = L.EVENT_TYPES) -> Column:
     """Array of (type, trigger, start, end, slots): slots is a map of those that could be filled."""
     text = F.coalesce(text, F.lit(""))
-    declared = F.create_map(*(x for k, (_, slots) in types.items() for x in (F.lit(k), F.array(*map(F.lit, slots.split())))))
+    declared = F.create_map(*(x for k, (_, slots) in types.items() for x in (F.lit(k), F.array(*map(F.lit, slots)))))
 
     def event(t: Column) -> Column:
         near = F.filter(entities, lambda e: (F.abs(e["start"] - t["start"]) < NEAR) | (F.abs(e["end"] - t["end"]) < NEAR))
