@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +18,7 @@ from pyarrow import ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.scratch import shared_folder
+from ..operators.scratch import discard, scope, stored  # noqa: F401 - the operators import them from here
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a kernel works on at once; a longer document is a chunk of its own.
@@ -32,25 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The tables that stored() has written in this process, in order.
-WRITTEN: list[str] = []
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage and outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables that stored() has written, once whatever reads them is written out itself."""
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Decisions on so many rows at most are sent to all tasks; more are joined by a shuffle.
 SMALL_ROWS = 1_000_000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import discard, stored
 
 
 def components(edges: DataFrame, label: str = "links") -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("m").alias("a"), "b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("lo"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("hi"))
-        links = stored(small.select(F.col("lo").alias("a"), F.col("hi").alias("b")).where("a <> b").distinct(), label)
+        last, links = links, stored(small.select(F.col("lo").alias("a"), F.col("hi").alias("b")).where("a <> b").distinct(), label)
+        discard(last)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

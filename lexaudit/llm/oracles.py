@@ -44,7 +44,7 @@ def url_reputation(rules: list[tuple[str, str, str]], p: Reputation = Reputation
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{t}'" for f, (_, h, t) in zip(fits, order, strict=True)) + " END"
     said = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, order, strict=True)) + " END"
     moments = lambda by: f"SELECT count(*) AS k, sum(n) AS n, sum(bad) AS bad, sum(n * n) AS nn, sum(bad * bad / n) AS bb FROM (SELECT {by}, sum(n) AS n, sum(bad) AS bad FROM known GROUP BY {by})"
-    strength = lambda by: f"""(SELECT CASE WHEN coalesce(n, 0) = 0 OR k < 2 THEN {p.least_strength} WHEN n - nn / n <= 0 OR bad = 0 OR bad = n THEN {p.most_strength} WHEN between_ <= 0 THEN {p.most_strength}
+    strength = lambda by: f"""(SELECT CASE WHEN coalesce(n, 0) = 0 OR k < 2 THEN {p.most_strength} WHEN n - nn / n <= 0 OR bad = 0 OR bad = n THEN {p.most_strength} WHEN between_ <= 0 THEN {p.most_strength}
         ELSE least(greatest(bad / n * (1 - bad / n) / between_ - 1, {p.least_strength}), {p.most_strength}) END
         FROM (SELECT *, (bb - n * (bad / n) * (bad / n) - (k - 1) * (bad / n) * (1 - bad / n)) / (n - nn / n) AS between_ FROM ({moments(by)})))"""
     return f"""WITH p AS (SELECT page_id, url, CASE WHEN contains(coalesce(url, ''), '://') THEN translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '{ascii_uppercase}', '{ascii_lowercase}') ELSE '' END AS host,
@@ -52,9 +52,9 @@ def url_reputation(rules: list[tuple[str, str, str]], p: Reputation = Reputation
     known AS MATERIALIZED (SELECT host, regexp_extract(host, '(?:[^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS bad
         FROM p JOIN labels ON doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1), '') AS BIGINT) GROUP BY host),
     k AS MATERIALIZED (SELECT {strength('suffix')} AS k1, {strength('domain')} AS k2, {strength('host')} AS k3, (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM known) AS overall),
-    su AS (SELECT suffix, (sum(bad) + any_value(k1) * any_value(overall)) / (sum(n) + any_value(k1)) AS suffix_mean FROM known, k GROUP BY suffix),
-    dom AS (SELECT domain, (sum(bad) + any_value(k2) * any_value(suffix_mean)) / (sum(n) + any_value(k2)) AS domain_mean FROM known JOIN su USING (suffix), k GROUP BY domain),
-    x AS (SELECT p.*, coalesce(known.bad, 0) AS bad, coalesce(known.n, 0) AS n, coalesce(domain_mean, suffix_mean, overall) AS prior, k3 FROM p LEFT JOIN known USING (host)
+    su AS (SELECT suffix, m AS suffix_mean, m * (1 - m) / (n + k1 + 1) AS suffix_doubt FROM (SELECT suffix, sum(n) AS n, any_value(k1) AS k1, (sum(bad) + any_value(k1) * any_value(overall)) / (sum(n) + any_value(k1)) AS m FROM known, k GROUP BY suffix)),
+    dom AS (SELECT domain, m AS domain_mean, m * (1 - m) / (n + k2 + 1) + (k2 / (n + k2)) * (k2 / (n + k2)) * suffix_doubt AS domain_doubt FROM (SELECT domain, sum(n) AS n, any_value(k2) AS k2, any_value(suffix_doubt) AS suffix_doubt, (sum(bad) + any_value(k2) * any_value(suffix_mean)) / (sum(n) + any_value(k2)) AS m FROM known JOIN su USING (suffix), k GROUP BY domain)),
+    x AS (SELECT p.*, coalesce(known.bad, 0) AS bad, coalesce(known.n, 0) AS n, coalesce(domain_mean, suffix_mean, overall) AS prior, coalesce(domain_doubt, suffix_doubt, 0) AS doubt, k3, overall FROM p LEFT JOIN known USING (host)
         LEFT JOIN dom ON dom.domain = regexp_extract(p.host, '(?:[^.]*\\.)?[^.]*$') LEFT JOIN su ON su.suffix = regexp_extract(p.host, '[^.]*$'), k),
     y AS (SELECT *, (bad + k3 * prior) / (n + k3) AS m FROM x)
-    SELECT page_id, host, path, {rule} AS rule, coalesce({said}, CASE WHEN m - {p.z} * sqrt(m * (1 - m) / (n + k3 + 1)) > {p.limit} THEN 'block' ELSE 'allow' END) AS verdict FROM y"""
+    SELECT page_id, host, path, {rule} AS rule, coalesce({said}, CASE WHEN m - {p.z} * sqrt(m * (1 - m) / (n + k3 + 1) + (k3 / (n + k3)) * (k3 / (n + k3)) * doubt) > {p.times_overall} * overall THEN 'block' ELSE 'allow' END) AS verdict FROM y"""

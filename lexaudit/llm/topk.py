@@ -1,28 +1,37 @@
-"""Exact top-k by integer inner product over an impact-ordered index, score at a time.
-
-A block of vectors keeps its postings (row, dimension, component) in segments by the component's
-quantised impact: the power of two that its size reaches. Segments are read by descending impact for
-a batch of queries at once, adding to the rows' sums and to the query weight already met. What a row
-can still gain is bounded by the weight not met times the largest impact not read; a row whose bound
-is under the k-th best exact score found so far is out for certain. A query stops reading when the
-rows not ruled out are few enough, and those are rescored exactly.
+"""Exact top-k by integer inner product over an impact-ordered inverted index, score at a time.
+
+A block of vectors is kept as postings: for each dimension, the rows whose component there is not
+zero, in segments by quantised impact, the power of two that the component's size reaches. Segments
+are read by descending impact for a batch of queries at once, adding to the sums of the rows listed.
+What a row can still gain is bounded by the query's length times the length of the row's components
+that are not read yet (Cauchy and Schwarz); a row whose bound is under the k-th best exact score
+known is out for certain. A query stops reading when the rows not ruled out are few enough, and
+those are rescored exactly.
 """
 
 from __future__ import annotations
 
+import io
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW_BLOCK = 32_768
-QUERY_BLOCK = 512
+from .base import discard, stored, tidy
+
+ROW_BLOCK = 8192
+#: Bytes of query vectors that are sent to all tasks at once; more queries take more rounds.
+ROUND_BYTES = 32 << 20
 #: Reading stops once so small a share of a block's rows is not ruled out.
-RESCORE_SHARE = 0.05
+RESCORE_SHARE = 0.2
 #: Queries that a block reads its segments for at once.
 QUERY_BATCH = 64
+#: While more of the rows' squared length is unread, no rows are ruled out: they could not be many.
+LOOK_FROM = 0.25
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -32,69 +41,104 @@ def quantised(vector: Column, scale: int) -> Column:
 
 
 class Index:
-    """Impact-ordered segments of one block: segment c holds the components of size edges[c] up to edges[c-1]."""
+    """The postings of one block. Segment (level, dimension) lists the rows whose component has bit length
+    levels - level there; level 0 holds the largest impacts."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
-        self.size = np.abs(self.rows)
-        self.most = int(self.size.max(initial=0))
-        self.edges = [1 << e for e in range(max(self.most.bit_length() - 2, 0), -1, -1)] if self.most else []
-        self.kind: type = np.float32
-
-    def segment(self, c: int) -> tuple[np.ndarray, np.ndarray]:
-        """The segment's components and where they are."""
-        there = self.size >= self.edges[c]
-        if c:
-            there &= self.size < self.edges[c - 1]
-        return np.where(there, self.rows, 0).astype(self.kind), there.astype(self.kind)
-
-    def exact(self, which: np.ndarray, query: np.ndarray) -> np.ndarray:
-        return self.rows[which] @ query
-
-    def search(self, own: np.ndarray, queries: np.ndarray, k: int, share: float = RESCORE_SHARE) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query, the ids and scores of the k best rows but its own, by score, then smaller id."""
-        n = len(self.ids)
+        n, self.width = rows.shape
+        bits = np.frexp(np.abs(self.rows).astype(np.float64))[1]  # sizes of 2**53 and more may count one level up
+        self.levels = int(bits.max(initial=0))
+        row, dim = np.nonzero(self.rows)
+        segment = (self.levels - bits[row, dim]) * self.width + dim
+        by_segment = np.argsort(segment, kind="stable")
+        self.row = row[by_segment].astype(np.int32)
+        self.start = np.searchsorted(segment[by_segment], np.arange(self.levels * self.width + 1))
+        squares = self.rows.astype(np.float64) ** 2
+        #: Length of each row's components in the levels after a level.
+        self.tail = np.sqrt(np.array([np.where(bits < self.levels - level, squares, 0).sum(axis=1) for level in range(self.levels)]).reshape(self.levels, n))
+        self.energy = float(squares.sum())
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, ids=self.ids, rows=self.rows.astype(np.min_scalar_type(-int(np.abs(self.rows).max(initial=1)))), row=self.row.astype(np.min_scalar_type(len(self.ids))), start=self.start, tail=self.tail.astype(np.float64), energy=self.energy, levels=self.levels)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, blob: bytes) -> "Index":
+        held, self = np.load(io.BytesIO(blob)), cls.__new__(cls)
+        self.ids, self.rows, self.row, self.start, self.tail = (held[c] for c in ("ids", "rows", "row", "start", "tail"))
+        self.rows = self.rows.astype(np.int64)
+        self.energy, self.levels, self.width = float(held["energy"]), int(held["levels"]), self.rows.shape[1]
+        return self
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, share: float = RESCORE_SHARE, floors: np.ndarray | None = None, floor_ids: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, the ids and scores of the k best rows but its own, by score, then smaller id.
+
+        With floors, rows of a smaller score than a query's, or of the same and a greater id than
+        floor_ids, are left out. reads has the levels that each query has read.
+        """
+        n, m = len(self.ids), len(own)
+        width = max(self.width, queries.shape[1])
+        largest = int(np.abs(self.rows).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, width)
+        if largest >= 1 << 63:
+            raise OverflowError("inner products do not fit 64 bits")
+        kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else np.int64  # sums are exact in each
+        exact = self.rows.astype(kind)
+        asked = np.zeros((m, self.width), dtype=kind)
+        shown = min(self.width, queries.shape[1])
+        asked[:, :shown] = queries[:, :shown]
         at = np.searchsorted(self.ids, own)
         me = np.where((at < n) & (self.ids[np.minimum(at, n - 1)] == own), at, -1)
-        largest = self.most * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
-        out: list = [None] * len(own)
-        live = np.arange(len(own))
-        if largest < 1 << 53 and n > 4 * k + 2:  # beyond that, floating-point sums are not exact
-            self.kind = np.float32 if largest < 1 << 24 else np.float64
-            live = self._read(live, me, queries, k, share, out)
-        for i in live:
-            out[i] = self._rank(np.arange(n), me[i], queries[i], k)
-        return out
-
-    def _read(self, live: np.ndarray, me: np.ndarray, queries: np.ndarray, k: int, share: float, out: list) -> np.ndarray:
-        n = len(self.ids)
-        asked = queries.astype(self.kind)
-        sums = np.zeros((len(live), n), dtype=self.kind)
-        met = np.zeros((len(live), n), dtype=self.kind)
-        floor = np.full(len(live), -np.inf)
-        for c, edge in enumerate(self.edges):
-            values, there = self.segment(c)
-            weight = np.abs(asked[live])
-            sums += asked[live] @ values.T
-            met += weight @ there.T
+        floor = np.full(m, -np.inf) if floors is None else floors.astype(np.float64)
+        length = np.sqrt((asked.astype(np.float64) ** 2).sum(axis=1))
+        out: list = [None] * m
+        self.reads = np.zeros(m, dtype=np.int64)
+        live = np.arange(m)
+        sums = np.zeros((n, m), dtype=kind)
+        for level in range(self.levels):
+            self._read(level, sums, exact, asked[live])
+            self.reads[live] += 1
+            last = level + 1 == self.levels
+            left = self.tail[level]
+            if not last and (left @ left) > LOOK_FROM * self.energy:
+                continue
+            by_query = np.ascontiguousarray(sums.T)
             going = []
             for r, i in enumerate(live):
-                first = np.argpartition(sums[r], n - 2 * k - 1)[n - 2 * k - 1 :]
-                floor[i] = max(floor[i], np.sort(self.exact(first[first != me[i]], queries[i]))[-k])
-                maybe = np.flatnonzero(sums[r] + (weight[r].sum() - met[r]) * (edge - 1) >= floor[i])
-                if len(maybe) <= share * n or edge == 1:
-                    out[i] = self._rank(maybe, me[i], queries[i], k)
+                if n > 4 * k + 2:
+                    first = np.argpartition(by_query[r], n - 2 * k - 1)[n - 2 * k - 1 :]
+                    floor[i] = max(floor[i], np.sort(exact[first[first != me[i]]] @ asked[i])[-k])
+                # a little slack for the rounding of lengths
+                maybe = np.flatnonzero(by_query[r] + left * (length[i] * (1 + 1e-9)) + 1e-3 >= floor[i])
+                if last or len(maybe) <= share * n:
+                    out[i] = self._rank(maybe, me[i], exact, asked[i], k)
                 else:
                     going.append(r)
-            live, sums, met = live[going], sums[going], met[going]
+            if len(going) < len(live):
+                live, sums = live[going], np.ascontiguousarray(sums[:, going])
             if not len(live):
                 break
-        return live
+        for i in live if not self.levels else ():
+            out[i] = self._rank(np.arange(n), me[i], exact, asked[i], k)
+        if floors is not None:
+            for i, (ids, score) in enumerate(out):
+                keep = (score > floors[i]) | ((score == floors[i]) & (ids < floor_ids[i]))
+                out[i] = ids[keep], score[keep]
+        return out
+
+    def _read(self, level: int, sums: np.ndarray, exact: np.ndarray, asked: np.ndarray) -> None:
+        """Adds what one level's postings give to the rows they list; a segment lists a row once."""
+        for dim in range(self.width):
+            a, b = self.start[level * self.width + dim], self.start[level * self.width + dim + 1]
+            if a < b:
+                listed = self.row[a:b]
+                sums[listed] += exact[listed, dim, None] * asked[:, dim]
 
-    def _rank(self, which: np.ndarray, me: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _rank(self, which: np.ndarray, me: int, exact: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         which = which[which != me]
-        score = self.exact(which, query)
+        score = (exact[which] @ query).astype(np.int64)
         if len(which) > k:
             keep = score >= np.partition(score, len(score) - k)[len(score) - k]
             which, score = which[keep], score[keep]
@@ -117,44 +161,97 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _waves(blocks: int, first: int) -> list[tuple[int, int]]:
+    """Ranges of block numbers: first so many, then as many as all before, and so on."""
+    ends = [0, min(first, blocks)]
+    while ends[-1] < blocks:
+        ends.append(min(2 * ends[-1], blocks))
+    return list(zip(ends, ends[1:], strict=False))
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", row_block: int = ROW_BLOCK, round_bytes: int = ROUND_BYTES, first_wave: int | None = None) -> DataFrame:
     """query_id, rank from 1, id_col and score: the k best other rows of each query row (all, if fewer).
 
     is_query is a condition on id_col. Rows with a null id, a null vector or a null or non-finite
     component take no part. Of rows that share an id, the one with the smallest quantised vector
     counts. Shorter vectors count as padded with zeros; an empty table or no query gives no rows.
-    Equal scores go to the smaller id. Other columns are ignored. Scores must fit 64 bits.
+    Equal scores go to the smaller id. Other columns are ignored. Scores that may not fit 64 bits
+    are an error.
 
-    Rows and queries are dealt by their ids to blocks of bounded size; each pair of a row block and a
-    query block is one task's index and work, and only k rows of each pair and query go on.
+    Each row goes once to a block of bounded size, whose index is built and written once. Queries are
+    sent to the blocks' tasks in rounds of round_bytes. Blocks answer in waves, each as large as all
+    before: what the k best rows so far score is a floor for the next wave, so that a query gets
+    about k rows from each wave instead of k rows from each block.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
+    rows = stored(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
     flag = F.expr("true") if is_query is None else is_query
-    counted = rows.select(F.col("id").alias(id_col)).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(flag, 1)).alias("q")).first()
-    row_blocks, query_blocks = max(1, math.ceil(counted.n / row_block)), max(1, math.ceil(counted.q / query_block))
-    deal = lambda salt, n: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = rows.withColumnRenamed("id", id_col).where(flag).withColumnRenamed(id_col, "id")
-    left = queries.select(deal(2, query_blocks).alias("qb"), every(row_blocks).alias("rb"), "id", "v")
-    right = rows.select(deal(1, row_blocks).alias("rb"), every(query_blocks).alias("qb"), "id", "v")
-
-    def search(asked: pa.Table, block: pa.Table) -> pa.Table:
-        out = {"query_id": [], "id": [], "score": []}
-        if block.num_rows and asked.num_rows:
-            found, query = _matrix(block["v"]), _matrix(asked["v"])
-            width = max(found.shape[1], query.shape[1])
-            found, query = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (found, query))
-            index = Index(block["id"].to_numpy(), found)
-            own = asked["id"].to_numpy()
-            for lo in range(0, len(own), QUERY_BATCH):
-                found_here = index.search(own[lo : lo + QUERY_BATCH], query[lo : lo + QUERY_BATCH], k)
-                for i, (ids, score) in enumerate(found_here, lo):
-                    out["query_id"].append(np.full(len(ids), own[i]))
-                    out["id"].append(ids)
-                    out["score"].append(score)
-        return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64()) for c, x in out.items()})
-
-    parts = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(search, "query_id long, id long, score long")
+    asked = rows.withColumnRenamed("id", id_col).where(flag).withColumnRenamed(id_col, "id")
+    n = rows.count()
+    told = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    blocks, rounds = max(1, math.ceil(n / row_block)), max(1, math.ceil(told.n * 8 * (told.width or 1) / round_bytes))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for x in batches if x.num_rows]
+        if held:
+            some = pa.Table.from_batches(held)
+            blob = Index(some["id"].to_numpy(), _matrix(some["v"])).dump()
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([blob], pa.binary())], names=["block", "blob"])
+
+    index = stored(rows.repartition(blocks).mapInArrow(build, "block int, blob binary"), "index")
+    waves = _waves(blocks, first_wave or spark.sparkContext.defaultParallelism)
+    found: list[DataFrame] = []
+    for r in range(rounds if told.n else 0):
+        sent = asked.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).toArrow()  # about round_bytes
+        if sent.num_rows:
+            found += _answers(index, sent, waves, k)
+    discard(rows, index)
+    if not found:
+        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
+    parts = found[0]
+    for x in found[1:]:
+        parts = parts.unionByName(x)
+    return _best(parts, k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def _best(parts: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return parts.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _answers(index: DataFrame, sent: pa.Table, waves: list[tuple[int, int]], k: int) -> list[DataFrame]:
+    """(query_id, id, score) of one round's queries, a written table for each wave."""
+    spark = index.sparkSession
+    own, query = sent["id"].to_numpy(), _matrix(sent["v"])
+    order = np.argsort(own)
+    own, query = own[order], query[order]
+    floors, floor_ids, found = np.full(len(own), -np.inf), np.zeros(len(own), np.int64), []
+    for w, (lo, hi) in enumerate(waves):
+        shared = spark.sparkContext.broadcast((own, query, floors if w else None, floor_ids))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, query, floors, floor_ids = shared.value
+            for batch in batches:
+                for blob in batch.column(0):
+                    block = Index.load(blob.as_py())
+                    for a in range(0, len(own), QUERY_BATCH):
+                        some = slice(a, a + QUERY_BATCH)
+                        got = block.search(own[some], query[some], k, floors=None if floors is None else floors[some], floor_ids=floor_ids[some])
+                        ids, score = (np.concatenate(x) for x in zip(*got, strict=True))
+                        asker = np.repeat(own[some], [len(x) for x, _ in got])
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (asker, ids, score)], names=["query_id", "id", "score"])
+                tidy()
+
+        wave = index.where((F.col("block") >= lo) & (F.col("block") < hi)).select("blob")
+        found.append(stored(wave.mapInArrow(search, "query_id long, id long, score long"), "answers"))
+        if hi < waves[-1][1]:
+            so_far = found[0]
+            for x in found[1:]:
+                so_far = so_far.unionByName(x)
+            known = _best(so_far, k).where(F.col("rank") == k).select("query_id", "id", "score").toArrow()  # one row a query
+            at = np.searchsorted(own, known["query_id"].to_numpy())
+            floors = np.full(len(own), -np.inf)
+            floors[at], floor_ids[at] = known["score"].to_numpy(), known["id"].to_numpy()
+        shared.unpersist()
+    return found

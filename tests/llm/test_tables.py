@@ -61,6 +61,35 @@ def test_reputation_shrinks_and_blocks(spark):
     assert all(r.bad_bound < r.bad_mean for r in got.values())
 
 
+def test_verdicts_where_hosts_differ_match_sql(spark, tmp_path):
+    """Hosts of every kind (bad, good, bad domain without outcomes of its own, repeated and null rows): both verdicts, as the SQL has them."""
+    import random
+
+    import duckdb
+
+    r = random.Random(8)
+    share = {"bad.one.org": 0.9, "worse.one.org": 0.8, "fine.two.org": 0.05, "good.two.org": 0.1, "a.three.com": 0.15, "b.three.com": 0.2, "c.three.com": 0.85, "x.four.com": 0.1}
+    pages, labels = [], []
+    for i in range(800):
+        host = r.choice(list(share))
+        pages.append((i, f"https://{host}/x/{i}"))
+        if i % 3:
+            labels.append((i, 0 if r.random() < share[host] else 1, 0))
+    pages += [pages[0], (None, pages[1][1]), (900, None), (901, "https://new.one.org/x"), (902, "https://new.two.org/x"), (903, "https://elsewhere.zz/"), (904, "https://bad.one.org/fr/7777")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op6_url_reputation(spark, str(tmp_path)).collect()
+    base = duckdb.connect()
+    for name in ("pages", "labels"):
+        base.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = base.execute(f"SELECT page_id, host, path, rule, verdict FROM ({queries.oracle_sql()['op6_url_reputation']})").fetchall()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+    said = {x.host: x.verdict for x in got if x.rule is None}
+    assert {h for h, v in said.items() if v == "block"} >= {"bad.one.org", "worse.one.org", "c.three.com"}
+    assert all(said[h] == "allow" for h in ("fine.two.org", "good.two.org", "a.three.com", "x.four.com", "elsewhere.zz", "new.two.org", ""))
+    assert [x.verdict for x in got if x.page_id == 904] == ["allow"]  # a rule goes first
+
+
 def brute_top(ids, x, is_query, k):
     out = []
     for i in np.flatnonzero(is_query):
@@ -78,23 +107,51 @@ def test_top_k(spark, n, spread):
     frame = spark.createDataFrame([(i, v[i].tolist(), "x") for i in range(n)], "vec_id long, embedding array<float>, score string")
     odd = spark.createDataFrame([(9000, None, ""), (9020, [None] * 16, ""), (9040, [float("nan")] * 16, ""), (9060, [float("inf")] * 16, ""), (None, [0.5] * 16, "")], frame.schema)
     x = np.floor(64 * v.astype(np.float64)).astype(np.int64)
-    got = topk.top_k(frame.unionByName(odd), F.col("vec_id") % 20 == 0, row_block=100, query_block=5)
-    assert sorted(tuple(r) for r in got.collect()) == brute_top(np.arange(n), x, np.arange(n) % 20 == 0, 20)
+    want = brute_top(np.arange(n), x, np.arange(n) % 20 == 0, 20)
+    for sizes in ({"row_block": 100}, {"row_block": 30, "round_bytes": 1000, "first_wave": 1}):
+        got = topk.top_k(frame.unionByName(odd), F.col("vec_id") % 20 == 0, **sizes)
+        assert sorted(tuple(r) for r in got.collect()) == want
 
 
 def test_top_k_of_nothing(spark):
-    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.top_k(none, F.lit(True)).count() == 0
+    some = spark.createDataFrame([(1, [1.0])], none.schema)
+    assert topk.top_k(some, F.lit(False)).columns == topk.top_k(some, F.lit(True)).columns and topk.top_k(some, F.lit(True)).count() == 0
+
+
+def test_top_k_of_vectors_of_unequal_width_and_repeated_ids(spark):
+    vectors = [(0, [1.0, 2.0, 0.5]), (1, [1.0]), (2, []), (3, [0.0, 1.0]), (3, [0.0, -1.0]), (4, [3.0, 3.0, 3.0, 3.0])]
+    got = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=4, scale=2, row_block=2)
+    assert [tuple(r)[1:] for r in got.orderBy("rank").collect()] == [(1, 4, 42), (2, 1, 4), (3, 2, 0), (4, 3, -8)]
+
+
+def test_scores_beyond_64_bits_are_an_error():
+    x = np.array([[1 << 40, 1], [3, 1 << 39]])
+    with pytest.raises(OverflowError):
+        topk.Index(np.arange(2), x).search(np.arange(2), x, 1)
+    x = np.array([[(1 << 30) + 1, 3], [5, 1 << 29]])  # beyond exact floating-point sums
+    assert [s.tolist() for _, s in topk.Index(np.arange(2), x).search(np.arange(2), x, 1)] == [[int(x[0] @ x[1])]] * 2
+
+
+def test_waves_of_blocks_double():
+    assert topk._waves(1, 8) == [(0, 1)] and topk._waves(20, 3) == [(0, 3), (3, 6), (6, 12), (12, 20)]
 
 
 def test_segments_rule_rows_out_only_with_proof():
     r = np.random.default_rng(7)
     x = np.floor(r.normal(0, 8, (5000, 32))).astype(np.int64)
-    index = topk.Index(np.arange(5000), x)
+    index = topk.Index.load(topk.Index(np.arange(5000), x).dump())
+    want = [[j for j in np.lexsort((np.arange(5000), -(x @ x[i]))) if j != i][:20] for i in range(8)]
+    read = []
     for share in (0.0, 0.02, 0.5):
         for i, (ids, score) in enumerate(index.search(np.arange(8), x[:8], 20, share)):
-            full = x @ x[i]
-            want = [j for j in np.lexsort((np.arange(5000), -full)) if j != i][:20]
-            assert ids.tolist() == want and score.tolist() == full[want].tolist()
+            assert ids.tolist() == want[i] and score.tolist() == (x @ x[i])[want[i]].tolist()
+        read.append(index.reads.sum())
+    assert read[0] > read[1] > read[2] and index.reads.max() < index.levels  # some postings are never read
+    best = [(x @ x[i])[want[i][9]] for i in range(8)]
+    for i, (ids, _) in enumerate(index.search(np.arange(8), x[:8], 20, floors=np.array(best, float), floor_ids=np.array([w[9] for w in want]))):
+        assert ids.tolist() == want[i][:9]
 
 
 def test_budgets():
