@@ -14,7 +14,7 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     Large-star and small-star steps by turns: each node's neighbours are linked to the smallest of
     them, until nothing changes. Each round is written to the shared folder; a node of very many
     edges only ever costs one row per edge. Edges with a null end, and from a node to itself, don't
-    count; no edges give no rows.
+    count; no edges give no rows. The result is a stored table; finished rounds are deleted.
     """
     links = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)
     before = None
@@ -30,4 +30,6 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
         if now == before:
             break
         before = now
-    return links.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    found = stored(links.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()), label)
+    discard(links)
+    return found

@@ -173,7 +173,7 @@ def fit(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col: s
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """The columns of keep, lang_pred and score for each row.
+    """The columns of keep, lang_pred and score for each row; keep must not hold these two names.
 
     A null text, or one without a letter, is 'und' with score 0, as is all text if there is no model.
     Equal probabilities go to the language first in alphabetical order.
@@ -181,26 +181,27 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # buckets times languages: its size does not grow with the rows
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    names = keep if text_col in keep else [*keep, text_col]
+    rows, text_at = docs.select(*names), names.index(text_col)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(len(keep)).to_pylist():
+            found_names, scores = [], []
+            for text in batch.column(text_at).to_pylist():
                 found = buckets(text, s) if text and m else None
                 if found is None:
-                    names.append(UNKNOWN)
+                    found_names.append(UNKNOWN)
                     scores.append(0.0)
                 else:
                     p = _softmax(m.logits(*found) / m.temperature)
                     i = int(p.argmax())
-                    names.append(m.names[i])
+                    found_names.append(m.names[i])
                     scores.append(float(p[i]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found_names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
         tidy()
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     return rows.mapInArrow(rate, f"{kept}, lang_pred string, score double")
 
 

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD_PATTERN, stored
+from .base import WORD_PATTERN, discard, stored
 
 #: The tree's leaves are read by the driver; more of them than this is an error, not a cut.
 MOST_LEAVES = 100_000
@@ -72,15 +72,16 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long"))
 
 
-def _keyed(docs: DataFrame, domain: Column, id_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, domain: Column, id_col: str, *also: Column) -> DataFrame:
+    """(key, leaf) of each row and what else is asked of it; no other column of docs stays, so that no name can clash."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     leaf = F.struct(name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"))
-    return docs.withColumn("_key", F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), digest)).withColumn("_leaf", leaf)
+    return docs.select(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), digest).alias("key"), leaf.alias("leaf"), *also)
 
 
 def _order(seed: int, epoch: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("_key")))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("key")))
 
 
 Plan = list[tuple[Path, int, str]]
@@ -93,39 +94,41 @@ def plan_mix(docs: DataFrame, domain: Column, weight: Callable[[Path], float], f
     tokens, and only the one bin in which it ends is put in order.
     """
     spark = docs.sparkSession
-    rows = _keyed(docs.select(id_col, "text", "lang", "source"), domain, id_col).select("_key", "_leaf", tokens_of(F.col("text")).alias("tokens"))
-    rows = stored(rows.groupBy("_key", "_leaf").agg(F.sum("tokens").alias("tokens")), "mix")
-    sums = rows.groupBy("_leaf").agg(F.sum("tokens").alias("tokens")).limit(MOST_LEAVES + 1).collect()
+    rows = _keyed(docs, domain, id_col, tokens_of(F.col("text")).alias("tokens"))
+    rows = stored(rows.groupBy("key", "leaf").agg(F.sum("tokens").alias("tokens")), "mix")
+    sums = rows.groupBy("leaf").agg(F.sum("tokens").alias("tokens")).limit(MOST_LEAVES + 1).collect()
     if len(sums) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaves")
-    supply = {tuple(r._leaf): r.tokens for r in sums}
+    supply = {tuple(r.leaf): r.tokens for r in sums}
     got = budgets(supply, int(fraction * sum(supply.values())), weight, epochs)
     limits = [(k, e, min(got[k] - e * supply[k], supply[k])) for k in supply for e in range(epochs) if got[k] > e * supply[k]]
     told = {k: (supply[k], got[k]) for k in supply}
     if not limits:
+        discard(rows)
         return [], told
-    frame = spark.createDataFrame(limits, "_leaf struct<domain:string,lang:string,source:string>, epoch int, budget long")
+    frame = spark.createDataFrame(limits, "leaf struct<domain:string,lang:string,source:string>, epoch int, budget long")
     bin_ = (F.conv(F.substring("order", 1, 6), 16, 10).cast("long") * BINS / (1 << 24)).cast("int")
-    dealt = rows.join(F.broadcast(frame), "_leaf").withColumn("order", _order(seed, F.col("epoch"))).withColumn("bin", bin_)
-    in_leaf = Window.partitionBy("_leaf", "epoch").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = dealt.groupBy("_leaf", "epoch", "budget", "bin").agg(F.sum("tokens").alias("tokens"), F.max("order").alias("last")).withColumn("upto", F.sum("tokens").over(in_leaf))
-    whole = bins.where(F.col("upto") <= F.col("budget")).select("_leaf", "epoch", "last")
-    ends = bins.where((F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("tokens") <= F.col("budget"))).select("_leaf", "epoch", "bin", (F.col("upto") - F.col("tokens")).alias("start"))
-    in_bin = Window.partitionBy("_leaf", "epoch", "bin").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
-    cut = dealt.join(ends, ["_leaf", "epoch", "bin"]).withColumn("end", F.col("start") + F.sum("tokens").over(in_bin)).where(F.col("end") <= F.col("budget")).select("_leaf", "epoch", F.col("order").alias("last"))
-    last = whole.unionByName(cut).groupBy("_leaf", "epoch").agg(F.max("last").alias("last")).collect()
-    return [(tuple(r._leaf), r.epoch, r.last) for r in last], told
+    dealt = rows.join(F.broadcast(frame), "leaf").withColumn("order", _order(seed, F.col("epoch"))).withColumn("bin", bin_)
+    in_leaf = Window.partitionBy("leaf", "epoch").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = dealt.groupBy("leaf", "epoch", "budget", "bin").agg(F.sum("tokens").alias("tokens"), F.max("order").alias("last")).withColumn("upto", F.sum("tokens").over(in_leaf))
+    whole = bins.where(F.col("upto") <= F.col("budget")).select("leaf", "epoch", "last")
+    ends = bins.where((F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("tokens") <= F.col("budget"))).select("leaf", "epoch", "bin", (F.col("upto") - F.col("tokens")).alias("start"))
+    in_bin = Window.partitionBy("leaf", "epoch", "bin").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    cut = dealt.join(ends, ["leaf", "epoch", "bin"]).withColumn("end", F.col("start") + F.sum("tokens").over(in_bin)).where(F.col("end") <= F.col("budget")).select("leaf", "epoch", F.col("order").alias("last"))
+    last = whole.unionByName(cut).groupBy("leaf", "epoch").agg(F.max("last").alias("last")).collect()
+    discard(rows)
+    return [(tuple(r.leaf), r.epoch, r.last) for r in last], told
 
 
 def select_mix(docs: DataFrame, domain: Column, plan: Plan, seed: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that the plan chooses, with _leaf and epoch: one for each epoch that a row is in.
+    """(doc, leaf, epoch) of the rows of docs that the plan chooses: one for each epoch that a row is in.
 
-    docs has id_col, text, lang, source; all columns are kept. A null domain, language or source is a
+    docs has id_col, text, lang, source; doc is a struct of all its columns, whatever their names. A null domain, language or source is a
     leaf named '?'. A leaf's order is by md5 of seed, epoch, id and the text's digest. A document is
     taken if its tokens end within the leaf's budget; the first that does not ends the leaf. Equal
     rows (same id, text and leaf) are taken or left together: their tokens count for each. An empty
     table chooses nothing. The plan has a row for each leaf and epoch, so nothing is shuffled.
     """
-    frame = docs.sparkSession.createDataFrame(plan, "_leaf struct<domain:string,lang:string,source:string>, epoch int, _last string")
-    rows = _keyed(docs, domain, id_col).join(F.broadcast(frame), "_leaf")
-    return rows.where(_order(seed, F.col("epoch")) <= F.col("_last")).drop("_key", "_last")
+    frame = docs.sparkSession.createDataFrame(plan, "leaf struct<domain:string,lang:string,source:string>, epoch int, last string")
+    rows = _keyed(docs, domain, id_col, F.struct(*docs.columns).alias("doc")).join(F.broadcast(frame), "leaf")
+    return rows.where(_order(seed, F.col("epoch")) <= F.col("last")).select("doc", "leaf", "epoch")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, mix, packed_blocks, signed, small_batches, stored, text_blocks, tidy, unpacked, word_chunks
+from .base import Words, discard, mix, packed_blocks, signed, small_batches, stored, text_blocks, tidy, unpacked, word_chunks
 from .graph import components
 
 #: Values retained.
@@ -298,6 +298,7 @@ def groups(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "
     several = named.where("first is not null").groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b")
     several = named.join(several.select("id", "a"), "id").select("a", F.col("first").alias("b"))
     joined = components(links.unionByName(several), "links")
+    discard(postings, likely)
     result = named.join(joined.select(F.col("node").alias("first"), "component"), "first", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce(F.col("component"), F.col("first"), F.col("id")))
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -82,7 +82,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     plan, _ = mixing.plan_mix(docs, mix_domain(), mix_weight, 0.5, seed=7, epochs=2)
     chosen = mixing.select_mix(docs, mix_domain(), plan, seed=7)
-    return chosen.select("doc_id", "_leaf.domain", F.col("_leaf.lang").alias("lang"), F.col("_leaf.source").alias("source"), mixing.tokens_of(F.col("text")).alias("tokens"), "epoch")
+    return chosen.select("doc.doc_id", "leaf.domain", "leaf.lang", "leaf.source", mixing.tokens_of(F.col("doc.text")).alias("tokens"), "epoch")
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,7 +170,7 @@ def test_mix_is_a_prefix_of_each_leaf(docs, rows, nothing):
     domain = F.when(F.col("source") == "src1", "u").otherwise("v")
     weight = lambda p: 1.0
     plan, told = mixing.plan_mix(docs, domain, weight, 0.4, seed=3)
-    got = collections.Counter((r.doc_id, r.text, tuple(r._leaf)) for r in mixing.select_mix(docs, domain, plan, seed=3).collect())
+    got = collections.Counter((r.doc.doc_id, r.doc.text, tuple(r.leaf)) for r in mixing.select_mix(docs, domain, plan, seed=3).collect())
     leaves = collections.defaultdict(collections.Counter)
     for d, t, lang, source, _ in rows:
         key = f"{'null' if d is None else d}:{hashlib.sha256((t or '').encode()).hexdigest()}"
@@ -217,19 +217,113 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_pipeline(spark, rows, tmp_path, data):
+CLASHES = ("score", "lang_pred", "__text", "epoch", "_key", "key", "leaf", "doc", "text_key", "kept", "block", "rows", "id", "k", "last", "c0", "hash", "component_id", "n", "first", "m1")
+
+
+def test_mix_of_clashing_columns(spark, docs):
+    odd = docs.select("doc_id", "text", "lang", "source", *(F.lit("x").alias(c) for c in ("key", "leaf", "doc", "epoch", "last", "_key", "_leaf", "_last", "tokens", "budget", "bin", "order")))
+    plan, _ = mixing.plan_mix(odd, F.lit("one"), lambda p: 1.0, 0.5)
+    plain = mixing.select_mix(docs, F.lit("one"), plan).select("doc.doc_id").collect()
+    got = mixing.select_mix(odd, F.lit("one"), plan).select("doc.*")
+    assert got.columns == odd.columns and sorted(map(str, got.select("doc_id").collect())) == sorted(map(str, plain)) and plain
+
+
+def test_scopes_free_tables(spark):
+    import os
+
+    from lexaudit.operators.scratch import discard, scope, stored
+
+    there = lambda df: os.path.exists(df.inputFiles()[0].removeprefix("file://"))
+    with scope(spark) as outer:
+        a = stored(spark.range(3), "a")
+        with scope(spark) as inner:
+            b, c = stored(spark.range(3), "b"), inner.keep(stored(spark.range(4), "c"))
+            file_b = b.inputFiles()[0].removeprefix("file://")
+        assert there(a) and not os.path.exists(file_b) and c.count() == 4
+        discard(a, spark.range(1))
+        d = outer.keep(stored(spark.range(5), "d"))
+        file_c = c.inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(file_c) and d.count() == 5
+    discard(d)
+
+
+def plain_pipeline(rows, model):
+    """Stages 3, 10, 8 and 9 by plain Python, with the given language model; rows: (doc_id, text, lang, source)."""
+    import hashlib
+
+    from lexaudit.llm import language
+
+    from .test_text import WORD, brute_groups, shingles
+
+    kept = []
+    for row in rows:
+        found = language.buckets(row[1], language.Settings()) if row[1] else None
+        if found is not None and language._softmax(model.logits(*found) / model.temperature).max() >= 0.5:
+            kept.append(row)
+    root = brute_groups([(r[0], shingles(r[1])) for r in kept])
+    kept = [r for r in kept if root[r[0]] == r[0]]
+    least: dict = {}
+    for d, t, *_ in kept:
+        w = WORD.findall(t)
+        for i in range(len(w) - 49):
+            least[tuple(w[i : i + 50])] = min(d, least.get(tuple(w[i : i + 50]), d))
+    cut = []
+    for d, t, lang, source in kept:
+        w, gone = WORD.findall(t), set()
+        for i in range(len(w) - 49):
+            if least[tuple(w[i : i + 50])] < d:
+                gone.update(range(i, i + 50))
+        left = " ".join(x for i, x in enumerate(w) if i not in gone) if gone else t
+        if left:
+            cut.append((d, left, lang, source))
+    leaves = collections.defaultdict(list)
+    for d, t, lang, source in cut:
+        domain = "press" if (source or "")[-1:] in set("13579") else "forum"
+        key = f"{d}:{hashlib.sha256(t.encode()).hexdigest()}"
+        leaves[domain, lang or "?", source or "?"].append((hashlib.md5(f"7:0:{key}".encode()).hexdigest(), d, t, len(WORD.findall(t))))
+    supply = {k: sum(x[3] for x in v) for k, v in leaves.items()}
+    got = mixing.budgets(supply, int(0.8 * sum(supply.values())), queries.mix_weight, 1)
+    out = []
+    for leaf, members in leaves.items():
+        used = 0
+        for _, d, t, n in sorted(members):
+            used += n
+            if used > got[leaf]:
+                break
+            if got[leaf]:
+                out.append((d, t))
+    return sorted(out)
+
+
+def test_pipeline_against_plain_python(spark, tmp_path, data):
+    """Every stage's decisions on the supplied documents, beside extra columns with the operators' own names."""
+    import hashlib
+
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
+    from lexaudit.llm import language
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit("x"))
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    want = plain_pipeline(rows, language.fit(docs, F.lit(True)))
+    assert 20 < len(want) < len(rows)
     for name, stage in corpus_pipeline.STAGES:
         before = docs
-        out = stage(spark, before, data)
-        out.write.parquet(str(tmp_path / name))
+        stage(spark, before, data).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
+        if name == "mix_sources":
+            assert sorted((r.doc_id, r.text) for r in docs.collect()) == want
         if name != "bpe_round_trip":
             assert docs.columns == before.columns and 0 < docs.count() <= before.count()
-    assert corpus_pipeline.run(spark, data).count() == docs.count()
-    assert docs.select("doc_id").distinct().count() == docs.count()
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    ids = [library.encode(t, add_special_tokens=False).ids for _, t in want]
+    coded = [(d, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for (d, _), x in zip(want, ids, strict=True)]
+    assert sorted(tuple(r)[:3] for r in docs.collect()) == sorted(coded)
+    again = corpus_pipeline.run(spark, data)
+    assert sorted(tuple(r)[:3] for r in again.collect()) == sorted(coded)
 
 
 def test_pipeline_on_odd_rows_and_none(spark, rows, tmp_path):
@@ -237,6 +331,9 @@ def test_pipeline_on_odd_rows_and_none(spark, rows, tmp_path):
 
     from .conftest import SCHEMA
 
-    for i, frame in enumerate((spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA))):
+    odd = spark.createDataFrame(rows, SCHEMA)
+    for c in CLASHES:
+        odd = odd.withColumn(c, F.lit(None).cast("double"))
+    for i, frame in enumerate((odd, spark.createDataFrame([], SCHEMA))):
         frame.write.parquet(str(tmp_path / str(i) / "documents.parquet"))
         assert corpus_pipeline.run(spark, str(tmp_path / str(i))).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
