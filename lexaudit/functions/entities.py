@@ -3,50 +3,77 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .spans import SPANS, find_spans, longest_of_chain
+from .kernels import SPAN, Span, longest_of_chain, matches, over_text, over_text_and, python_pattern
+from .spans import SPANS
 
 TIME, MONEY, PERSON, PLACE, ORGANISATION, PRODUCT = "时间", "金额", "人名", "地名", "机构名", "产品名"
 
 
-def _any(words: Iterable[str]) -> str:
+def _pattern(words: Iterable[str]) -> str:
     return "|".join(map(re.escape, sorted(set(words), key=lambda w: (-len(w), w))))
 
 
+def _times(text: str) -> list[Span]:
+    found = [(t.strip(), *rest) for t, *rest in matches(text, python_pattern(L.TIME_PATTERN), TIME, 1)]
+    return found + matches(text, python_pattern(_pattern(L.WEEKDAYS)), TIME, 2) + matches(text, python_pattern(_pattern(L.RELATIVE_TIMES)), TIME, 3)
+
+
+def _money(text: str) -> list[Span]:
+    return matches(text, python_pattern(L.MONEY_PATTERN), MONEY, 4) + matches(text, python_pattern(L.PERCENT_PATTERN), MONEY, 5)
+
+
+def _products(text: str, suffixes: tuple[str, ...] = L.PRODUCT_SUFFIXES) -> list[Span]:
+    return matches(text, python_pattern(rf"[\x{{4e00}}-\x{{9fff}}]{{1,3}}(?:{_pattern(suffixes)})"), PRODUCT, 9)
+
+
+def _names(text: str, words: tuple[str, ...], kind: str, rank: int) -> list[Span]:
+    places = ((text.find(w), w) for w in words)
+    return [(w, kind, at, at + len(w), rank) for at, w in places if at >= 0]
+
+
+def _all(text: str, people: tuple, places: tuple, organisations: tuple) -> list[Span]:
+    named = _names(text, people, PERSON, 6) + _names(text, places, PLACE, 7) + _names(text, organisations, ORGANISATION, 8)
+    return _times(text) + _money(text) + named + _products(text)
+
+
+def _spans(find: Callable[[str], list[Span]], text: Column) -> Column:
+    return over_text(lambda t: [dict(zip(SPAN.names, s, strict=True)) for s in find(t)], SPANS, pa.list_(SPAN))(text)
+
+
 def times(text: Column) -> Column:
-    found = F.transform(find_spans(text, L.TIME_PATTERN, TIME, 1), lambda s: s.withField("text", F.trim(s["text"])))
-    return F.concat(found, find_spans(text, _any(L.WEEKDAYS), TIME, 2), find_spans(text, _any(L.RELATIVE_TIMES), TIME, 3))
+    return _spans(_times, text)
 
 
 def money(text: Column) -> Column:
-    return F.concat(find_spans(text, L.MONEY_PATTERN, MONEY, 4), find_spans(text, L.PERCENT_PATTERN, MONEY, 5))
+    return _spans(_money, text)
 
 
 def products(text: Column, suffixes: Iterable[str] = L.PRODUCT_SUFFIXES) -> Column:
-    return find_spans(text, rf"[\x{{4e00}}-\x{{9fff}}]{{1,3}}(?:{_any(suffixes)})", PRODUCT, 9)
+    listed = tuple(suffixes)
+    return _spans(lambda t: _products(t, listed), text)
 
 
 def names(text: Column, words: Iterable[str], kind: str, rank: int) -> Column:
     """Words of a list, each at its first place in the text: the stand-in for a tagger of names."""
-    out = F.array().cast(SPANS)
-    for w in words:
-        at = F.locate(w, text)
-        span = F.struct(F.lit(w).alias("text"), F.lit(kind).alias("type"), (at - 1).alias("start"), (at - 1 + len(w)).alias("end"), F.lit(rank).alias("rank"))
-        out = F.concat(out, F.when(at > 0, F.array(span)).otherwise(F.array().cast(SPANS)))
-    return out
+    listed = tuple(words)
+    return _spans(lambda t: _names(t, listed, kind, rank), text)
 
 
 def recognise(text: Column, people: Iterable[str] = (), places: Iterable[str] = (), organisations: Iterable[str] = (), extra: Column | None = None) -> Column:
     """All entities in order of their start; overlapping ones are absorbed by the longest of their chain,
-    and a text of a type counts once. extra: spans from another recogniser."""
-    text = F.coalesce(text, F.lit(""))
-    parts = [times(text), money(text), names(text, people, PERSON, 6), names(text, places, PLACE, 7), names(text, organisations, ORGANISATION, 8), products(text)]
-    return longest_of_chain(F.concat(*([extra] if extra is not None else []), *parts))
+    and a text of a type counts once. extra: spans from another recogniser. A null text has none."""
+    lists = tuple(people), tuple(places), tuple(organisations)
+    told = lambda found: [dict(zip(SPAN.names, s, strict=True)) for s in longest_of_chain(found)]
+    if extra is None:
+        return over_text(lambda t: told(_all(t, *lists)), SPANS, pa.list_(SPAN))(text)
+    return over_text_and(lambda t, more: told([tuple(s[c] for c in SPAN.names) for s in more] + _all(t, *lists)), SPANS, pa.list_(SPAN))(text, extra)
 
 
 def show(entities: Column, text: Column) -> Column:

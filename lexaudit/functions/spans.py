@@ -56,37 +56,6 @@ def first_wins(spans: Column) -> Column:
     return F.aggregate(_sorted(spans, "start", "length", "rank"), start, step, lambda acc: acc["kept"])
 
 
-def longer_replaces(spans: Column) -> Column:
-    """By start, then the rank: a span that overlaps the last kept one takes its place if it is longer, else goes."""
-
-    def step(kept: Column, s: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        apart = (F.size(kept) == 0) | (s["start"] >= last["end"])
-        longer = F.length(s["text"]) > F.length(last["text"])
-        swapped = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(s))
-        return F.when(apart, F.concat(kept, F.array(s))).when(longer, swapped).otherwise(kept)
-
-    return F.aggregate(_sorted(spans, "start", "length", "rank"), F.array().cast(SPANS), step)
-
-
-def longest_of_chain(spans: Column) -> Column:
-    """By start, the longest first: overlapping spans are absorbed by the longest so far, whose end counts; then one of each text and type."""
-    current = "struct<text:string,type:string,start:int,end:int,rank:int>"
-
-    def push(kept: Column, s: Column) -> Column:
-        known = F.exists(kept, lambda k: (k["text"] == s["text"]) & (k["type"] == s["type"]))
-        return F.when(s.isNull() | known, kept).otherwise(F.concat(kept, F.array(s)))
-
-    def step(acc: Column, s: Column) -> Column:
-        now = acc["now"]
-        apart = now.isNull() | (s["start"] >= now["end"])
-        longer = (s["end"] - s["start"]) > (now["end"] - now["start"])
-        return F.struct(F.when(apart | longer, s).otherwise(now).alias("now"), F.when(apart, push(acc["kept"], now)).otherwise(acc["kept"]).alias("kept"))
-
-    start = F.struct(F.lit(None).cast(current).alias("now"), F.array().cast(SPANS).alias("kept"))
-    return F.aggregate(_sorted(spans, "start", "length", "rank"), start, step, lambda acc: push(acc["kept"], acc["now"]))
-
-
 def splice(text: Column, spans: Column, mask: str) -> Column:
     """The text with each of the spans, which are in order and apart, replaced."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

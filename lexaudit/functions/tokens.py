@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .binding import let
+from .kernels import lexicon, over_list, over_text
 
 LATIN = r"[\p{L}\p{N}]+"
 
@@ -20,15 +21,17 @@ def latin_tokens(text: Column, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(f"({LATIN})"), F.lit(1))
 
 
-def lexicon_pattern(words: Iterable[str]) -> str:
-    """One alternation: the longest word that fits, else a run of Latin letters and digits, else one character."""
-    longest_first = sorted(set(words), key=lambda w: (-len(w), w))
-    return "(" + "|".join([*map(re.escape, longest_first), "[A-Za-z0-9]+", r"[^\s]"]) + ")"
+def lexicon_tokens(text: Column, words: Iterable[str]) -> Column:
+    """The longest word of a list that fits, else a run of Latin letters and digits, else one character; for
+    text without spaces between words."""
+    listed = tuple(sorted(set(words)))
+    return over_text(lambda t: lexicon(listed).cut(t), "array<string>", pa.list_(pa.string()))(text)
 
 
-def lexicon_tokens(text: Column, words: Iterable[str]) -> Column:
-    """Longest match against a word list: for text without spaces between words."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(lexicon_pattern(words)), F.lit(1))
+def lexicon_tokens_each(texts: Column, words: Iterable[str]) -> Column:
+    """lexicon_tokens of each text of an array."""
+    known = tuple(sorted(set(words)))
+    return over_list(lambda each: [lexicon(known).cut(t or "") for t in each], "array<array<string>>", pa.list_(pa.list_(pa.string())))(texts)
 
 
 def sentiment_words() -> set[str]:
@@ -68,5 +71,8 @@ def split_sentences(text: Column, least: int = 4, ideographs: bool = True) -> Co
     return F.filter(parts, lambda s: (F.length(s) >= least) & (s.rlike(r"[\x{4e00}-\x{9fff}]") if ideographs else F.lit(True)))
 
 
+CLAUSE_ENDS = r"[。！？?；;，,\n]+"
+
+
 def split_clauses(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[。！？?；;，,\n]+"), lambda c: F.trim(c)), lambda c: c != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), CLAUSE_ENDS), lambda c: F.trim(c)), lambda c: c != "")
