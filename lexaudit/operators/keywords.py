@@ -48,17 +48,35 @@ def tfidf(docs: DataFrame, n: int = 10, max_features: int | None = 5000, smooth:
     return top_words(score_tfidf(docs, idf, sublinear, id_col, tokens_col), n, id_col)
 
 
+def near_pairs(tokens: list[str], window: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens in order of their first place, and (src, dst, weight) of the different ones that
+    stand within the window, both ways."""
+    number: dict[str, int] = {}
+    ids = np.array([number.setdefault(t, len(number)) for t in tokens], dtype=np.int64)
+    steps = range(1, min(window, len(ids) - 1) + 1)
+    a = np.concatenate([ids[:0], *(ids[:-d] for d in steps)])
+    b = np.concatenate([ids[:0], *(ids[d:] for d in steps)])
+    a, b = a[(keep := a != b)], b[keep]
+    n = max(len(number), 1)
+    edges, weight = np.unique(np.concatenate([a * n + b, b * n + a]), return_counts=True)
+    return list(number), edges // n, edges % n, weight
+
+
 def cooccurrence(docs: DataFrame, window: int = 3, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    """(id, src, dst, weight): how often two different words of a document stand within the window, both ways.
+    """(id, src, dst, weight): how often two different words of a document, a row, stand within the window, both ways.
 
-    The neighbours of each position are taken from its own row's array: nothing is joined or shuffled
-    before the counts are.
+    A document's pairs are counted in its own row: nothing is shuffled.
     """
-    tokens = F.col(tokens_col)
-    near = F.flatten(F.transform(tokens, lambda t, i: F.transform(F.slice(tokens, i + 2, F.lit(window)), lambda u: F.struct(t.alias("src"), u.alias("dst")))))
-    pairs = docs.select(id_col, F.explode(near).alias("p")).where("p.src <> p.dst")
-    both = pairs.select(id_col, F.explode(F.array(F.col("p"), F.struct(F.col("p.dst").alias("src"), F.col("p.src").alias("dst")))).alias("p"))
-    return both.groupBy(id_col, "p.src", "p.dst").agg(F.count(F.lit(1)).alias("weight"))
+    rows = docs.select(id_col, tokens_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, tokens in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words, src, dst, weight = near_pairs([t for t in tokens or () if t is not None], window)
+                said = pa.array(words, pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(key, len(src)), said.take(pa.array(src)), said.take(pa.array(dst)), pa.array(weight, pa.int64())], names=[id_col, "src", "dst", "weight"])
+
+    return rows.mapInArrow(work, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, src string, dst string, weight long")
 
 
 def rank_graph(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, damping: float = 0.85, most: int = 100, tolerance: float = 1e-4) -> np.ndarray:
@@ -81,16 +99,10 @@ def rank_graph(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, dam
 
 def rank_tokens(tokens: list[str], window: int, damping: float, most: int, tolerance: float) -> tuple[list[str], np.ndarray]:
     """Distinct tokens in order of their first place, and their scores."""
-    number: dict[str, int] = {}
-    ids = np.array([number.setdefault(t, len(number)) for t in tokens], dtype=np.int64)
-    words = list(number)
+    words, src, dst, weight = near_pairs(tokens, window)
     if len(words) < 2:
         return words, np.ones(len(words))
-    a = np.concatenate([ids[:-d] for d in range(1, window + 1) if d < len(ids)])
-    b = np.concatenate([ids[d:] for d in range(1, window + 1) if d < len(ids)])
-    a, b = a[(keep := a != b)], b[keep]
-    edges, weight = np.unique(np.concatenate([a * len(words) + b, b * len(words) + a]), return_counts=True)
-    return words, rank_graph(len(words), edges // len(words), edges % len(words), weight.astype(float), damping, most, tolerance)
+    return words, rank_graph(len(words), src, dst, weight.astype(float), damping, most, tolerance)
 
 
 def textrank(docs: DataFrame, n: int = 10, window: int = 3, damping: float = 0.85, most: int = 100, tolerance: float = 1e-4, digits: int = 6, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
