@@ -15,27 +15,12 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, entities, events, pii, sentiment, tokens, transcripts
 from ..functions import lexicons as L
 from ..operators import classify, duplicates, keywords, signal, summaries, timeline, topics
-from . import analysis
+from . import analysis, chinese, phrases
+from .registry import QUERIES, SQL, query, table  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 ENGLISH_STOPWORDS = ("the", "of", "and", "to", "in", "is", "a", "that", "for", "on", "with", "as")
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -55,42 +40,6 @@ def strip_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(plain).alias("digest"))
 
 
-POST_SQL = "SELECT o_orderkey, '转发微博 #订单' || o_orderkey || '# @店铺_' || o_custkey || '，限时优惠！！ &lt;b&gt;价格' || cast(cast(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '元&lt;/b&gt; https://t.cn/' || o_orderkey || ' 查看图片' || CASE WHEN o_orderkey % 3 = 0 THEN '扫码包邮' ELSE '' END AS post FROM orders"
-
-
-def posts(spark, sf_dir) -> DataFrame:
-    c = lambda x: F.col(x).cast("string")
-    text = F.concat(F.lit("转发微博 #订单"), c("o_orderkey"), F.lit("# @店铺_"), c("o_custkey"), F.lit("，限时优惠！！ &lt;b&gt;价格"), F.col("o_totalprice").cast("long").cast("string"), F.lit("元&lt;/b&gt; https://t.cn/"), c("o_orderkey"), F.lit(" 查看图片"), F.when(F.col("o_orderkey") % 3 == 0, "扫码包邮").otherwise(""))
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("post"))
-
-
-@query("SELECT o_orderkey, '订单' || o_orderkey || '，限时优惠 价格' || cast(cast(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '元' || CASE WHEN o_orderkey % 3 = 0 THEN ' 扫码包邮' ELSE '' END AS cleaned FROM orders")
-def clean_text(spark, sf_dir):
-    return posts(spark, sf_dir).select("o_orderkey", cleaning.clean(F.col("post")).alias("cleaned"))
-
-
-@query()
-def clean_steps(spark, sf_dir):
-    """One column for each step's result, and whether the text is an advertisement: it is told, not dropped."""
-    rows = posts(spark, sf_dir).withColumn("text", F.col("post"))
-    kept = ["o_orderkey"]
-    for name, step in cleaning.STEPS:
-        rows = rows.withColumn("text", step(F.col("text"))).withColumn(f"after_{name}", F.col("text"))
-        kept.append(f"after_{name}")
-    return rows.withColumn("is_ad", cleaning.is_ad(F.col("text"))).select(*kept, "is_ad")
-
-
-@query(f"SELECT o_orderkey, ((post LIKE '%限时优惠%')::INT + (post LIKE '%扫码%')::INT + (post LIKE '%包邮%')::INT) >= 2 AS is_ad FROM ({POST_SQL})")
-def ad_filter(spark, sf_dir):
-    return posts(spark, sf_dir).select("o_orderkey", cleaning.is_ad(F.col("post")).alias("is_ad"))
-
-
-@query("SELECT o_orderkey, '与' || o_orderkey || '万' AS simplified FROM orders")
-def simplified(spark, sf_dir):
-    text = F.concat(F.lit("與"), F.col("o_orderkey").cast("string"), F.lit("萬"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", cleaning.simplify(text).alias("simplified"))
-
-
 @query(f"SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM ({TOKENS})")
 def tokens_long(spark, sf_dir):
     return tokenised(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "token", F.col("pos").cast("long").alias("pos"))
@@ -129,7 +78,9 @@ def char_jaccard_pairs(spark, sf_dir):
     return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split(text, ''), lambda c: c <> ''))) AS chars FROM documents),
+k AS (SELECT list_reduce(list({'id': doc_id, 'chars': chars} ORDER BY doc_id), lambda acc, x: CASE WHEN list_bool_or(list_transform(acc, lambda y: len(list_intersect(y.chars, x.chars)) >= 0.85 * (len(y.chars) + len(x.chars) - len(list_intersect(y.chars, x.chars))))) THEN acc ELSE list_append(acc, x) END, CAST([] AS STRUCT(id BIGINT, chars VARCHAR[])[])) AS kept FROM s WHERE len(chars) > 0)
+SELECT x.id AS doc_id FROM (SELECT unnest(kept) AS x FROM k)""")
 def greedy_dedup(spark, sf_dir):
     return duplicates.greedy(documents(spark, sf_dir), 0.85)
 
@@ -195,12 +146,6 @@ def sentences(spark, sf_dir) -> DataFrame:
     return rows.withColumn("sentence_tokens", F.transform("sentences", lambda s: tokens.latin_tokens(s)))
 
 
-@query("SELECT o_orderkey, list_filter(list_transform(regexp_split_to_array('订单' || o_orderkey || '已经发货。请耐心等待！谢谢；abcd', '[。！？\n；;]+'), lambda s: trim(s)), lambda s: len(s) >= 4 AND regexp_matches(s, '[\\x{4e00}-\\x{9fff}]')) AS sentences FROM orders")
-def sentence_split(spark, sf_dir):
-    text = F.concat(F.lit("订单"), F.col("o_orderkey").cast("string"), F.lit("已经发货。请耐心等待！谢谢；abcd"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", tokens.split_sentences(text).alias("sentences"))
-
-
 @query()
 def summary_tfidf(spark, sf_dir):
     return summaries.summarise(sentences(spark, sf_dir), "tfidf", 3)
@@ -211,91 +156,9 @@ def summary_textrank(spark, sf_dir):
     return summaries.summarise(sentences(spark, sf_dir), "textrank", 3)
 
 
-# ---------------------------------------------------------------- entities and events
-
-NEWS_SQL = "SELECT o_orderkey, year(o_orderdate) || '年' || month(o_orderdate) || '月，华为公司在上海发布新款手机，售价' || cast(cast(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '元，今天因电池故障召回，涨幅' || (o_orderkey % 90 + 10) || '%。' AS news FROM orders"
-
-
-def news(spark, sf_dir) -> DataFrame:
-    s = lambda x: x.cast("string")
-    text = F.concat(s(F.year("o_orderdate")), F.lit("年"), s(F.month("o_orderdate")), F.lit("月，华为公司在上海发布新款手机，售价"), s(F.col("o_totalprice").cast("long")), F.lit("元，今天因电池故障召回，涨幅"), s(F.col("o_orderkey") % 90 + 10), F.lit("%。"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("news"))
-
-
-def _places(pattern: str) -> str:
-    return f"SELECT o_orderkey, regexp_extract(news, '{pattern}') AS entity, instr(news, regexp_extract(news, '{pattern}')) - 1 AS start FROM ({NEWS_SQL})"
-
-
-@query(f"{_places('[0-9]{4}年[0-9]+月')} UNION ALL {_places('今天')}")
-def ner_time(spark, sf_dir):
-    found = news(spark, sf_dir).select("o_orderkey", F.explode(entities.times(F.col("news"))).alias("e"))
-    return found.select("o_orderkey", F.col("e.text").alias("entity"), F.col("e.start").cast("long").alias("start"))
-
-
-@query(f"{_places('[0-9]+元')} UNION ALL {_places('[0-9]+%')}")
-def ner_money(spark, sf_dir):
-    found = news(spark, sf_dir).select("o_orderkey", F.explode(entities.money(F.col("news"))).alias("e"))
-    return found.select("o_orderkey", F.col("e.text").alias("entity"), F.col("e.start").cast("long").alias("start"))
-
-
-@query(_places("布新款手机"))
-def ner_product(spark, sf_dir):
-    found = news(spark, sf_dir).select("o_orderkey", F.explode(entities.products(F.col("news"))).alias("e"))
-    return found.select("o_orderkey", F.col("e.text").alias("entity"), F.col("e.start").cast("long").alias("start"))
-
-
-def recognised(spark, sf_dir) -> DataFrame:
-    return news(spark, sf_dir).withColumn("entities", entities.recognise(F.col("news"), (), ("上海",), ("华为公司",)))
-
-
-@query("SELECT * FROM (VALUES ('时间', 2), ('金额', 2), ('产品名', 1), ('地名', 1), ('机构名', 1)) v(type, k) JOIN (SELECT count(*) AS orders FROM orders) ON true".replace("SELECT *", "SELECT type, k * orders AS n"))
-def entity_type_counts(spark, sf_dir):
-    return recognised(spark, sf_dir).select(F.explode("entities").alias("e")).groupBy("e.type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def entity_lines(spark, sf_dir):
-    rows = recognised(spark, sf_dir)
-    return rows.select("o_orderkey", entities.show(F.col("entities"), F.col("news")).alias("lines"))
-
-
-@query(f"SELECT o_orderkey, t.w AS trigger, t.k AS type, instr(news, t.w) - 1 AS start FROM ({NEWS_SQL}), (VALUES ('发布', '政策发布'), ('故障', '产品问题'), ('召回', '产品召回')) t(w, k)")
-def event_triggers(spark, sf_dir):
-    found = news(spark, sf_dir).select("o_orderkey", F.explode(events.triggers(F.col("news"))).alias("t"))
-    return found.select("o_orderkey", F.col("t.text").alias("trigger"), F.col("t.type").alias("type"), F.col("t.start").cast("long").alias("start"))
-
-
-@query("""WITH o AS (SELECT o_orderkey, year(o_orderdate) || '年' || month(o_orderdate) || '月' AS t FROM orders)
-SELECT o_orderkey, v.type, v.trigger, v.slot, CASE WHEN v.slot = '时间' THEN t ELSE v.value END AS value FROM o CROSS JOIN (VALUES
-('政策发布', '发布', '时间', ''), ('政策发布', '发布', '主体', '华为公司'),
-('产品问题', '故障', '时间', ''), ('产品问题', '故障', '主体', '华为公司'), ('产品问题', '故障', '产品', '布新款手机'), ('产品问题', '故障', '原因', '电池'),
-('产品召回', '召回', '时间', ''), ('产品召回', '召回', '主体', '华为公司'), ('产品召回', '召回', '产品', '布新款手机'), ('产品召回', '召回', '原因', '电池故障')) v(type, trigger, slot, value)""")
-def event_slots(spark, sf_dir):
-    rows = recognised(spark, sf_dir).select("o_orderkey", F.explode(events.extract(F.col("news"), F.col("entities"))).alias("e"))
-    return rows.select("o_orderkey", "e.type", "e.trigger", F.explode("e.slots").alias("slot", "value"))
-
-
-@query("SELECT k AS type, count(*) AS n FROM orders, (VALUES ('政策发布'), ('产品问题'), ('产品召回')) t(k) GROUP BY k")
-def event_type_counts(spark, sf_dir):
-    return news(spark, sf_dir).select(F.explode(events.triggers(F.col("news"))).alias("t")).groupBy("t.type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def event_summaries(spark, sf_dir):
-    rows = recognised(spark, sf_dir)
-    return rows.select("o_orderkey", F.to_json(events.summary(events.extract(F.col("news"), F.col("entities")))).alias("summary"))
-
-
 # ---------------------------------------------------------------- sentiment
 
 
-def reviews(spark, sf_dir) -> DataFrame:
-    """A review for each line item: its kind follows from the line number."""
-    kinds = ["这个产品功能不错，但是价格太离谱了", "今天天气真好，心情特别愉快", "服务很差劲，非常失望", "没有问题，质量一流"]
-    text = F.concat(F.get(F.array(*map(F.lit, kinds)), F.col("l_linenumber").cast("int") % 4), F.when(F.col("l_linenumber") > 4, "😡").otherwise(""))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("review"))
-
-
 @query("""SELECT doc_id, round(greatest(-1, least(1, s / sqrt(n))), 4) AS score FROM (
 SELECT doc_id, len(tokens) AS n, CAST(list_sum(list_transform(range(1, len(tokens) + 1), lambda i: CASE WHEN tokens[i] = 'tion' THEN 1.0 WHEN tokens[i] = 'er' THEN -1.0 ELSE 0.0 END
 * CASE WHEN i > 1 AND tokens[i - 1] = 'the' THEN 2.0 ELSE 1.0 END * CASE WHEN i > 1 AND tokens[i - 1] = 'of' THEN -1.0 ELSE 1.0 END)) AS DOUBLE) AS s0, greatest(-5.0, least(5.0, coalesce(s0, 0.0))) AS s FROM (""" + TOKENS + """)) WHERE n > 0""")
@@ -306,35 +169,6 @@ def clause_sentiment(spark, sf_dir):
     return rows.select("doc_id", F.round(sentiment.clause_score(weights), 4).alias("score"))
 
 
-@query("""WITH k AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS k, CASE WHEN l_linenumber <= 4 THEN 0.0 ELSE 0.3 * greatest(-1.0, -2.5 / CASE l_linenumber % 4 WHEN 0 THEN 17 WHEN 1 THEN 14 WHEN 2 THEN 11 ELSE 10 END * 5) END AS face FROM lineitem),
-c AS (SELECT *, round(greatest(-1.0, least(1.0, face + CASE k WHEN 0 THEN (1 / sqrt(6) + 2 * (-2 / sqrt(6))) / 3 WHEN 1 THEN (1 / sqrt(5) + 1) / 2 WHEN 2 THEN (-1.5 / sqrt(3) - 1) / 2 ELSE 1 / sqrt(2) END)), 4) AS score FROM k)
-SELECT l_orderkey, l_linenumber, CASE WHEN score > 0.1 THEN '正面' WHEN score < -0.1 THEN '负面' ELSE '中性' END AS sentiment, score, CASE k WHEN 0 THEN '不错' WHEN 1 THEN '真好 愉快' WHEN 2 THEN '' ELSE '问题 一流' END AS positive_words,
-CASE k WHEN 0 THEN '离谱' WHEN 2 THEN '差劲 失望' ELSE '' END AS negative_words, 2 AS num_clauses FROM c""")
-def doc_sentiment(spark, sf_dir):
-    rows = reviews(spark, sf_dir).withColumn("s", sentiment.analyse(F.col("review")))
-    said = lambda c: F.array_join(f"s.{c}", " ").alias(c)
-    return rows.select("l_orderkey", "l_linenumber", "s.sentiment", "s.score", said("positive_words"), said("negative_words"), "s.num_clauses")
-
-
-@query("SELECT o_orderkey, greatest(-1.0, least(1.0, CASE o_orderkey % 3 WHEN 0 THEN 2.0 WHEN 1 THEN -2.5 ELSE 0.0 END / (len(CAST(o_orderkey AS VARCHAR)) + CASE WHEN o_orderkey % 3 < 2 THEN 1 ELSE 0 END) * 5)) AS score FROM orders")
-def emoji_sentiment(spark, sf_dir):
-    face = F.when(F.col("o_orderkey") % 3 == 0, "😀").when(F.col("o_orderkey") % 3 == 1, "😡").otherwise("")
-    return table(spark, sf_dir, "orders").select("o_orderkey", sentiment.emoji_score(F.concat(F.col("o_orderkey").cast("string"), face)).alias("score"))
-
-
-@query("SELECT '愤怒' AS emotion, 2 * count(*) AS n FROM orders UNION ALL SELECT '喜悦', count(*) FROM orders WHERE o_orderkey % 2 = 0")
-def fine_grained(spark, sf_dir):
-    text = F.concat(F.lit("让人愤怒，令人生气，编号"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "，开心").otherwise(""))
-    found = table(spark, sf_dir, "orders").select(F.explode(sentiment.emotions(sentiment.tokens(text))).alias("emotion", "n"))
-    return found.groupBy("emotion").agg(F.sum("n").alias("n"))
-
-
-@query()
-def aspect_sentiment(spark, sf_dir):
-    rows = reviews(spark, sf_dir).withColumn("a", sentiment.aspects(F.col("review"))).withColumn("base", sentiment.analyse(F.col("review"))["sentiment"])
-    return rows.select("l_orderkey", "l_linenumber", F.transform("a", lambda x: F.concat_ws(":", x["aspect"], x["sentiment"])).alias("aspects"), sentiment.overall(F.col("a"), F.col("base")).alias("overall"))
-
-
 # ---------------------------------------------------------------- classification
 
 
@@ -442,16 +276,13 @@ def neighbours_alike(spark, sf_dir):
     return docs.join(other, F.col("other_id") == F.col("doc_id") + 1).select("doc_id", "other_id", cleaning.is_near_duplicate(F.col("text"), F.col("other")).alias("alike"))
 
 
-@query("SELECT o_orderkey, step, name FROM orders CROSS JOIN (SELECT unnest(range(16)) AS step, unnest(['original', 'unescape', 'tags', 'urls', 'mentions', 'hashtags', 'emoji', 'boilerplate', 'symbols', 'blanks', 'advertisement', 'simplified', 'tokens', 'content', 'distinct', 'final']) AS name)")
-def trace_steps(spark, sf_dir):
-    found = analysis.trace(posts(spark, sf_dir).withColumnRenamed("post", "text")).select("o_orderkey", F.explode("trace").alias("t"))
-    return found.select("o_orderkey", F.col("t.step").cast("long").alias("step"), "t.name")
+# ---------------------------------------------------------------- topics and clusters
 
 
-# ---------------------------------------------------------------- topics and clusters
+ASSIGNED = "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), c AS (SELECT vec_id AS k, v FROM v WHERE vec_id < 8), d AS (SELECT v.vec_id, c.k, round(1 - list_cosine_similarity(v.v, c.v), 9) AS distance FROM v CROSS JOIN c) SELECT vec_id, CAST(k AS INT) AS cluster, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, k) = 1"
 
 
-@query(f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), c AS (SELECT vec_id AS k, v FROM v WHERE vec_id < 8), d AS (SELECT v.vec_id, c.k, round(1 - list_cosine_similarity(v.v, c.v), 9) AS distance FROM v CROSS JOIN c) SELECT vec_id, CAST(k AS INT) AS cluster, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, k) = 1")
+@query(ASSIGNED)
 def kmeans_assign(spark, sf_dir):
     """Nearest of eight given centres: the vectors with the smallest ids."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
@@ -469,11 +300,12 @@ def kmeans_clusters(spark, sf_dir):
 
 
 @query(f"""WITH t AS ({TOKENS}), c AS (SELECT doc_id, word, count(*) / any_value(n) AS tf FROM (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS word FROM t) GROUP BY doc_id, word),
-k AS (SELECT doc_id, CAST(doc_id % 5 AS INT) AS cluster FROM documents), z AS (SELECT cluster, count(*) AS size FROM k GROUP BY cluster), w AS (SELECT cluster, word, sum(tf) AS s FROM c JOIN k USING (doc_id) GROUP BY ALL), g AS (SELECT word, sum(tf) AS g FROM c GROUP BY word),
+k AS MATERIALIZED (SELECT vec_id AS doc_id, cluster FROM ({ASSIGNED}) WHERE vec_id IN (SELECT doc_id FROM documents)), z AS (SELECT cluster, count(*) AS size FROM k GROUP BY cluster), w AS (SELECT cluster, word, sum(tf) AS s FROM c JOIN k USING (doc_id) GROUP BY ALL), g AS (SELECT word, sum(tf) AS g FROM c JOIN k USING (doc_id) GROUP BY word),
 x AS (SELECT cluster, word, round(s / size / sqrt(g + 0.01), 6) AS score, size FROM w JOIN z USING (cluster) JOIN g USING (word))
 SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY score DESC, word) AS INT) AS rank, word, score, size FROM x QUALIFY rank <= 15""")
 def kmeans_keywords(spark, sf_dir):
-    clusters = documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 5).cast("int").alias("cluster"))
+    """Words of the clusters that k-means gives the documents' vectors."""
+    clusters = kmeans_assign(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "cluster").join(documents(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
     return topics.cluster_keywords(tokenised(spark, sf_dir), clusters)
 
 
@@ -486,33 +318,6 @@ def lda_topics(spark, sf_dir):
 
 # ---------------------------------------------------------------- personal data
 
-CONTACT_SQL = "SELECT c_custkey, '客户' || c_custkey || '的手机138' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '，邮箱user' || c_custkey || '@example.com，身份证110101' || lpad(CAST(c_custkey AS VARCHAR), 12, '1') || '。' AS contact FROM customer"
-
-
-def contacts(spark, sf_dir) -> DataFrame:
-    key = F.col("c_custkey").cast("string")
-    text = F.concat(F.lit("客户"), key, F.lit("的手机138"), F.lpad(key, 8, "0"), F.lit("，邮箱user"), key, F.lit("@example.com，身份证110101"), F.lpad(key, 12, "1"), F.lit("。"))
-    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("contact"))
-
-
-def _pii(kind: str, value: str) -> str:
-    return f"SELECT c_custkey, '{kind}' AS category, {value} AS original, instr(contact, {value}) - 1 AS start FROM ({CONTACT_SQL})"
-
-
-PHONE, MAIL, CARD = "'138' || lpad(CAST(c_custkey AS VARCHAR), 8, '0')", "'user' || c_custkey || '@example.com'", "'110101' || lpad(CAST(c_custkey AS VARCHAR), 12, '1')"
-
-
-@query(f"{_pii('mobile_phone', PHONE)} UNION ALL {_pii('email', MAIL)} UNION ALL {_pii('id_card', CARD)}")
-def pii_spans(spark, sf_dir):
-    found = contacts(spark, sf_dir).select("c_custkey", F.explode(pii.records(F.col("contact"))).alias("r"))
-    return found.select("c_custkey", "r.category", "r.original", F.col("r.start").cast("long").alias("start"))
-
-
-@query("SELECT c_custkey, '客户' || c_custkey || '的手机[PII-REDACTED]，邮箱[PII-REDACTED]，身份证[PII-REDACTED]。' AS redacted FROM customer")
-def pii_redact(spark, sf_dir):
-    return contacts(spark, sf_dir).select("c_custkey", pii.redact(F.col("contact")).alias("redacted"))
-
-
 @query("SELECT doc_id, len(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')) AS emails FROM documents WHERE regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')")
 def pii_emails(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", F.size(pii.find(F.col("text"), ["email"])).cast("long").alias("emails"))
@@ -529,41 +334,26 @@ def pii_category_counts(spark, sf_dir):
 
 
 def segments(spark, sf_dir) -> DataFrame:
-    """A conversation as a recording of a second for each turn."""
+    """A conversation as a recording of a second for each turn, with spoken Chinese made from its key."""
     t = F.col("turn").cast("double")
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("media_id"), F.col("turn").cast("int").alias("seg_idx"), t.alias("start"), (t + 1).alias("end"), "text", ((F.col("turn") % 10) / 10).alias("confidence"))
+    said = phrases.column(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), phrases.SPEECH)
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("media_id"), F.col("turn").cast("int").alias("seg_idx"), t.alias("start"), (t + 1).alias("end"), said.alias("text"), ((F.col("turn") % 10) / 10).alias("confidence"))
 
 
-SEGMENTS = "SELECT CAST(conv_id AS VARCHAR) AS media_id, CAST(turn AS INT) AS seg_idx, CAST(turn AS DOUBLE) AS start, CAST(turn AS DOUBLE) + 1 AS stop, text, (turn % 10) / 10 AS confidence FROM conversations"
+SAID = phrases.sql("CAST(conv_id AS VARCHAR) || chr(45) || CAST(turn AS VARCHAR)", phrases.SPEECH)
+SEGMENTS = f"SELECT CAST(conv_id AS VARCHAR) AS media_id, CAST(turn AS INT) AS seg_idx, CAST(turn AS DOUBLE) AS start, CAST(turn AS DOUBLE) + 1 AS stop, {SAID} AS text, (turn % 10) / 10 AS confidence FROM conversations"
 
 
 def odd_events(spark, sf_dir) -> DataFrame:
-    """Anomalies of the recordings, from the table of events."""
+    """Anomalies of the recordings: one of every event, spread over all conversations."""
+    recordings = table(spark, sf_dir, "conversations").agg(F.countDistinct("conv_id").alias("n"))
     t = F.col("event_id") % 7
     label = F.when(F.col("event_id") % 2 == 0, L.NOISE_LABEL).otherwise(L.SYNTHETIC_LABEL)
-    return table(spark, sf_dir, "events").where("event_id % 5 = 0").select((F.col("event_id") / 5 % 200).cast("long").cast("string").alias("media_id"), (t + 0.25).cast("double").alias("start"), (t + 0.95).cast("double").alias("end"), label.alias("label"), ((F.col("event_id") % 11) / 10).alias("confidence"))
-
-
-ODD = f"SELECT CAST(CAST(floor(event_id / 5) % 200 AS BIGINT) AS VARCHAR) AS media_id, CAST(event_id % 7 AS DOUBLE) + 0.25 AS start, CAST(event_id % 7 AS DOUBLE) + 0.95 AS stop, CASE WHEN event_id % 2 = 0 THEN '{L.NOISE_LABEL}' ELSE '{L.SYNTHETIC_LABEL}' END AS label, (event_id % 11) / 10 AS confidence FROM events WHERE event_id % 5 = 0"
+    media = F.floor(F.col("event_id") / 3).cast("long") % F.greatest("n", F.lit(1))
+    return table(spark, sf_dir, "events").join(F.broadcast(recordings)).select(media.cast("string").alias("media_id"), (t + 0.25).cast("double").alias("start"), (t + 0.95).cast("double").alias("end"), label.alias("label"), ((F.col("event_id") % 11) / 10).alias("confidence"))
 
 
-@query("SELECT o_orderkey, '这么个文件' || o_orderkey || '要作得很好 明天再联系。' AS corrected FROM orders")
-def rule_correct(spark, sf_dir):
-    text = F.concat(F.lit("这个文件"), F.col("o_orderkey").cast("string"), F.lit("要做的很好，明天在联系"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", transcripts.correct(text).alias("corrected"))
-
-
-@query(f"SELECT media_id, seg_idx, confidence < 0.7 AS open FROM ({SEGMENTS})")
-def low_conf_gate(spark, sf_dir):
-    """Which segments the gate leaves open to correction: all others keep their text."""
-    rows = segments(spark, sf_dir)
-    c = transcripts.corrected(F.col("text"), F.col("confidence"), 0.7)
-    return rows.withColumn("c", c).select("media_id", "seg_idx", ((F.col("confidence") < 0.7) & (F.col("c.original_text") == F.col("text"))).alias("open"))
-
-
-@query("SELECT doc_id, CASE WHEN len(text) > 200 THEN '转写内容正常，未发现明显安全问题' ELSE '音频内容正常，未检测到明显异常' END AS summary FROM documents")
-def security_summary(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", transcripts.security_summary(F.col("text")).alias("summary"))
+ODD = f"SELECT CAST(CAST(floor(event_id / 3) AS BIGINT) % (SELECT greatest(count(DISTINCT conv_id), 1) FROM conversations) AS VARCHAR) AS media_id, CAST(event_id % 7 AS DOUBLE) + 0.25 AS start, CAST(event_id % 7 AS DOUBLE) + 0.95 AS stop, CASE WHEN event_id % 2 = 0 THEN '{L.NOISE_LABEL}' ELSE '{L.SYNTHETIC_LABEL}' END AS label, (event_id % 11) / 10 AS confidence FROM events"
 
 
 @query("SELECT l_orderkey, l_linenumber, round(least(1, greatest(0, exp(coalesce(CASE WHEN l_linenumber = 3 THEN NULL ELSE -l_discount END, -1.0)))), 9) AS confidence FROM lineitem")
@@ -577,26 +367,54 @@ def timeline_overlap(spark, sf_dir):
     return timeline.overlaps(segments(spark, sf_dir), odd_events(spark, sf_dir)).select("media_id", "seg_idx", "label", "a_start")
 
 
-@query()
+def _reports_sql(corrected: bool) -> str:
+    """CTEs down to r: (media_id, summary, pii_redactions, anomaly_events, total_segments, display_text, parts of the full report)."""
+    fixed = f"CASE WHEN confidence < 0.75 THEN {chinese.corrected_sql('text')} ELSE text END" if corrected else "text"
+    key = "media_id, seg_idx"
+    return f"""s AS MATERIALIZED ({SEGMENTS}), a AS MATERIALIZED ({ODD}), pers AS MATERIALIZED (SELECT media_id, seg_idx, category, {chinese.DIGITS} AS original FROM ({chinese.personal_sql('SELECT * FROM s', key)})),
+    orig AS (SELECT media_id, list(DISTINCT original) AS originals FROM pers GROUP BY media_id),
+    fix AS MATERIALIZED (SELECT s.* EXCLUDE (text), text AS before, {fixed} AS text FROM s), red AS ({chinese.redacted_sql('SELECT * FROM fix', key)}),
+    lab AS (SELECT media_id, seg_idx, list(label ORDER BY t, label) AS labels FROM (SELECT s.media_id, s.seg_idx, label, min(a.start) AS t FROM s JOIN a ON s.media_id = a.media_id AND s.stop + 0.1 >= a.start AND a.stop + 0.1 >= s.start WHERE a.confidence >= 0.3 GROUP BY ALL) GROUP BY ALL),
+    line AS (SELECT fix.media_id, fix.seg_idx, concat_ws(' ', printf('[%.2fs → %.2fs]', start, stop), nullif(concat_ws(' ', CASE WHEN contains(fix.text, '{L.REDACTED}') OR list_bool_or(list_transform(originals, lambda o: contains(fix.text, o))) THEN '{L.REDACTED}' END,
+        CASE WHEN before <> fix.text THEN '{L.CORRECTED_LABEL}' END, array_to_string(labels, ' ')), ''), redacted) AS line
+        FROM fix JOIN red USING (media_id, seg_idx) LEFT JOIN orig ON orig.media_id = fix.media_id LEFT JOIN lab ON lab.media_id = fix.media_id AND lab.seg_idx = fix.seg_idx),
+    shown AS (SELECT media_id, string_agg(line, chr(10) ORDER BY seg_idx) AS display_text, count(*) AS total_segments FROM line GROUP BY media_id),
+    cnt AS (SELECT media_id, label, count(*) AS n, min(start) AS t FROM a WHERE confidence >= 0.3 GROUP BY ALL),
+    x AS (SELECT media_id, string_agg(label || ' ' || n || ' 次', '、' ORDER BY t, label) AS said, string_agg('      - ' || label || '：' || n || ' 次', chr(10) ORDER BY t, label) AS counted FROM cnt GROUP BY media_id),
+    pn AS (SELECT media_id, count(*) AS pii_redactions FROM pers GROUP BY media_id), an AS (SELECT media_id, count(*) AS anomaly_events FROM a GROUP BY media_id),
+    r AS (SELECT media_id, coalesce(pii_redactions, 0) AS pii_redactions, coalesce(anomaly_events, 0) AS anomaly_events, total_segments, display_text, counted,
+        concat_ws('；', CASE WHEN pii_redactions > 0 THEN '检测到 ' || pii_redactions || ' 处敏感信息（已脱敏）' ELSE '未检测到敏感信息' END, CASE WHEN said IS NULL THEN '音频特征正常' ELSE '音频异常：' || said END, '共 ' || total_segments || ' 个转写片段') AS summary
+        FROM shown LEFT JOIN pn USING (media_id) LEFT JOIN an USING (media_id) LEFT JOIN x USING (media_id))"""
+
+
+@query(f"WITH {_reports_sql(False)} SELECT media_id, summary, pii_redactions, anomaly_events, total_segments, md5(display_text) AS display_digest FROM r")
 def fusion_reports(spark, sf_dir):
     rows = segments(spark, sf_dir)
     return timeline.reports(rows, odd_events(spark, sf_dir), None, rows).select("media_id", "summary", "pii_redactions", "anomaly_events", "total_segments", F.md5("display_text").alias("display_digest"))
 
 
-@query(f"""WITH s AS ({SEGMENTS}), a AS (SELECT media_id, label, count(*) AS n, min(start) AS t FROM ({ODD}) WHERE confidence >= 0.3 GROUP BY ALL),
-x AS (SELECT media_id, string_agg(label || ' ' || n || ' 次', '、' ORDER BY t, label) AS said FROM a GROUP BY media_id)
-SELECT s.media_id, '未检测到敏感信息；' || CASE WHEN max(said) IS NULL THEN '音频特征正常' ELSE '音频异常：' || max(said) END || '；共 ' || count(*) || ' 个转写片段' AS summary FROM s LEFT JOIN x USING (media_id) GROUP BY s.media_id""")
+@query(f"WITH {_reports_sql(False)} SELECT media_id, summary FROM r")
 def fusion_summary(spark, sf_dir):
-    rows = segments(spark, sf_dir).withColumn("text", F.lit(""))
-    return timeline.reports(rows, odd_events(spark, sf_dir)).select("media_id", "summary")
+    return timeline.reports(segments(spark, sf_dir), odd_events(spark, sf_dir)).select("media_id", "summary")
 
 
-@query()
+@query(f"WITH {_reports_sql(True)} SELECT media_id, summary, md5(display_text) AS display_digest FROM r")
 def audit_reports(spark, sf_dir):
     return analysis.audit(segments(spark, sf_dir), odd_events(spark, sf_dir), correct=True).select("media_id", "summary", F.md5("display_text").alias("display_digest"))
 
 
-@query()
+def _full_sql() -> str:
+    rule, thick, nl = "repeat('─', 60)", "repeat('=', 60)", "chr(10)"
+    section = lambda title, *body: f"concat_ws({nl}, {rule}, '{title}', {rule}, {', '.join(body)}, '')"
+    return f"""WITH {_reports_sql(False)}, det AS (SELECT media_id, string_agg(d, {nl} ORDER BY d) AS details FROM (SELECT DISTINCT media_id, '  · 类型：' || category || '  |  原文：' || original AS d FROM pers) GROUP BY media_id),
+    rec AS (SELECT media_id, string_agg(d, {nl} ORDER BY start, d) AS records FROM (SELECT media_id, start, '  · ' || label || '  |  时间：' || printf('%.2fs – %.2fs', start, stop) || '  |  置信度：' || CAST(round(confidence * 100) AS INT) || '%' AS d FROM a) GROUP BY media_id),
+    f AS (SELECT media_id, concat_ws({nl}, {thick}, '        ASR 安全审计报告  (ASR Security Audit Report)', {thick}, '生成时间：2026-01-01 00:00:00', '', {section('一、转写结果（原文）', "'（无）'")}, {section('二、转写结果（脱敏后）', 'display_text')}, {section('三、安全审计摘要', 'summary')},
+        {section('五、详细统计', "'  · 转写片段总数：' || total_segments", "'  · 隐私信息泄露点：' || pii_redactions || ' 处'", "'  · 音频异常事件：' || anomaly_events || ' 个'", 'counted')},
+        CASE WHEN details IS NOT NULL THEN {section('六、脱敏详情', 'details')} END, CASE WHEN records IS NOT NULL THEN {section('七、音频异常记录', 'records')} END, {thick}, '报告完毕。', {thick}) AS report FROM r LEFT JOIN det USING (media_id) LEFT JOIN rec USING (media_id))
+    SELECT media_id, md5(report) AS digest, CAST(len(report) AS INT) AS n FROM f"""
+
+
+@query(_full_sql())
 def full_reports(spark, sf_dir):
     rows, odd = segments(spark, sf_dir), odd_events(spark, sf_dir)
     text = timeline.full_report(timeline.reports(rows, odd), timeline.redactions(rows), odd, "2026-01-01 00:00:00")
@@ -642,7 +460,7 @@ def wave_anomalies(spark, sf_dir):
 
 @query()
 def analyse_posts(spark, sf_dir):
-    """All row modules and keywords over posts made from the orders."""
-    o = analysis.Options(keyword_method="textrank", keywords=3, categories=(("订单", ("订单",)),))
-    rows = analysis.analyse(posts(spark, sf_dir).withColumnRenamed("o_orderkey", "doc_id").withColumnRenamed("post", "text"), ("preprocess", "keywords", "entities", "sentiment", "label"), o)
+    """All modules over the news made from the orders."""
+    o = analysis.Options(keyword_method="textrank", keywords=3, people=phrases.PEOPLE, places=phrases.PLACES, organisations=phrases.ORGANISATIONS, categories=(("价格", ("售价", "涨幅")), ("案件", ("涉案",))))
+    rows = analysis.analyse(chinese.news(spark, sf_dir).withColumnRenamed("o_orderkey", "doc_id"), analysis.MODULES, o)
     return analysis.post_report(rows).select("doc_id", F.md5("report").alias("digest"))
