@@ -30,15 +30,21 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which the open scope will delete."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if (scope_ := _open.get()) is not None:
+        scope_.held.append(path)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = place(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
-    if (scope_ := _open.get()) is not None:
-        scope_.held.append(path)
     return out
 
 

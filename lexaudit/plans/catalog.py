@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning, entities, events, pii, sentiment, tokens, transcripts
 from ..functions import lexicons as L
-from ..operators import classify, duplicates, keywords, signal, summaries, timeline, topics
+from ..operators import classify, duplicates, keywords, scratch, signal, summaries, timeline, topics
+from ..sources import posts as sources
 from . import analysis, chinese, phrases
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -61,6 +62,28 @@ def consecutive_dedup(spark, sf_dir):
     return rows.select("doc_id", F.size("k").cast("long").alias("n"), F.md5(tokens.join_tokens(F.col("k"))).alias("digest"))
 
 
+# ---------------------------------------------------------------- sources and sinks
+
+
+@query("SELECT doc_id, coalesce(lang, '') AS topic, md5(text) AS digest FROM documents WHERE doc_id % 3 <> 0 AND trim(text) <> ''")
+def posts_jsonl(spark, sf_dir):
+    """Documents written as lines of JSON posts and read again; every third has no text and is left out."""
+    rows = table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 3 != 0, F.col("text"))
+    lines = rows.select("doc_id", F.struct(F.col("lang").alias("word")).alias("topic"), F.struct(F.struct(text.alias("text")).alias("selected_post")).alias("selection"))
+    path = scratch.place(spark, "posts")
+    sources.write_jsonl(lines, path)
+    return sources.read_posts(spark, path).select("doc_id", "topic", F.md5("text").alias("digest"))
+
+
+@query("SELECT DISTINCT trim(line) AS word FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE len(text) < 200) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')")
+def word_list(spark, sf_dir):
+    """The lines of short documents as a word list."""
+    path = scratch.place(spark, "words")
+    sources.write_text(table(spark, sf_dir, "documents").where("length(text) < 200"), "text", path)
+    return spark.createDataFrame([(w,) for w in sources.read_words(spark, path)], "word string")
+
+
 # ---------------------------------------------------------------- duplicates
 
 
@@ -133,7 +156,23 @@ def cooc_edges(spark, sf_dir):
     return edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("weight").alias("weight"))
 
 
-@query()
+def _ranked_sql(nodes: str, edges: str) -> str:
+    """CTEs down to ranked (doc_id, i, score): graph ranking of every document's nodes (doc_id, i) over edges
+    (doc_id, src, dst, weight) given both ways, until a sweep changes a document by less than 1e-4 in all."""
+    return f"""nd AS MATERIALIZED ({nodes}), ed AS MATERIALIZED ({edges}), size AS (SELECT doc_id, count(*) AS n FROM nd GROUP BY doc_id), outs AS (SELECT doc_id, src, sum(weight) AS o FROM ed GROUP BY ALL),
+    adj AS MATERIALIZED (SELECT doc_id, src, dst, weight / o AS share, CAST(0 AS DOUBLE) AS own FROM ed JOIN outs USING (doc_id, src) UNION ALL SELECT doc_id, i, i, 0.0, 1.0 FROM nd
+        UNION ALL SELECT x.doc_id, x.i, y.i, CAST(1 AS DOUBLE) / n / 0.85, 0.0 FROM nd x ANTI JOIN outs ON outs.doc_id = x.doc_id AND outs.src = x.i JOIN nd y ON y.doc_id = x.doc_id JOIN size ON size.doc_id = x.doc_id WHERE n > 1),
+    sweep(doc_id, i, score, change, r) AS (SELECT doc_id, i, CAST(1 AS DOUBLE) / n, CAST(CASE WHEN n = 1 THEN 0 ELSE 1 END AS DOUBLE), 0 FROM nd JOIN size USING (doc_id)
+        UNION ALL SELECT doc_id, i, score, sum(abs(score - old)) OVER (PARTITION BY doc_id), r FROM (SELECT adj.doc_id, dst AS i, 0.15 + 0.85 * sum(score * share) AS score, sum(score * own) AS old, max(r) + 1 AS r FROM sweep JOIN adj ON adj.doc_id = sweep.doc_id AND adj.src = sweep.i WHERE change >= 1e-4 AND r < 100 GROUP BY adj.doc_id, dst)),
+    ranked AS (SELECT doc_id, i, score FROM sweep QUALIFY r = max(r) OVER (PARTITION BY doc_id))"""
+
+
+WORD_NODES = f"SELECT doc_id, word AS i, min(pos) AS pos FROM (SELECT doc_id, unnest(tokens) AS word, unnest(range(len(tokens))) AS pos FROM ({TOKENS})) GROUP BY ALL"
+WORD_EDGES = f"""SELECT doc_id, src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (WITH l AS MATERIALIZED (SELECT doc_id, unnest(tokens) AS w, unnest(range(len(tokens))) AS pos FROM ({TOKENS})), n AS MATERIALIZED (SELECT doc_id, pos - d AS pos, w FROM l, (SELECT unnest([1, 2, 3]) AS d)),
+p AS MATERIALIZED (SELECT l.doc_id, l.w AS src, n.w AS dst FROM l JOIN n USING (doc_id, pos) WHERE l.w <> n.w) SELECT * FROM p UNION ALL SELECT doc_id, dst, src FROM p) GROUP BY ALL"""
+
+
+@query(f"WITH RECURSIVE {_ranked_sql(WORD_NODES, WORD_EDGES)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, pos) AS INT) AS rank, i AS word, round(score, 6) AS score FROM ranked JOIN nd USING (doc_id, i) QUALIFY rank <= 10")
 def textrank_keywords(spark, sf_dir):
     return keywords.textrank(tokenised(spark, sf_dir), 10)
 
@@ -146,12 +185,34 @@ def sentences(spark, sf_dir) -> DataFrame:
     return rows.withColumn("sentence_tokens", F.transform("sentences", lambda s: tokens.latin_tokens(s)))
 
 
-@query()
+SENTENCES = f"""sen AS MATERIALIZED (SELECT doc_id, i, s, regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}]+') AS t FROM (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])[ \\t\\n\\x0b\\f\\r]+', '\\1' || chr(1), 'g'), '[。！？\n；;]+|\\x01'), lambda x: trim(x)), lambda x: len(x) >= 4) AS l FROM documents))),
+size_ AS (SELECT doc_id, count(*) AS m FROM sen GROUP BY doc_id)"""
+
+
+def _chosen_sql(scored: str, alike: str) -> str:
+    """(doc_id, chosen): the three best of scored (doc_id, i, s, x, score) that are not too alike, in the order of the text."""
+    kind = "STRUCT(i BIGINT, s VARCHAR, x VARCHAR[])"
+    return f"""pick AS (SELECT doc_id, list_reduce(list(CAST({{'i': i, 's': s, 'x': x}} AS {kind}) ORDER BY round(score, 12) DESC, i), lambda acc, c: CASE WHEN len(acc) >= 3 OR (m > 3 AND coalesce(list_bool_or(list_transform(acc, lambda o: {alike})), false)) THEN acc ELSE list_append(acc, c) END, CAST([] AS {kind}[])) AS l FROM ({scored}) JOIN size_ USING (doc_id) GROUP BY doc_id, m)
+    SELECT d.doc_id, coalesce(list_transform(list_sort(l), lambda c: c.s), []) AS chosen FROM documents d LEFT JOIN pick USING (doc_id)"""
+
+
+TFIDF_SENTENCES = """tot AS (SELECT doc_id, sum(len(t)) AS total FROM sen GROUP BY doc_id), w AS (SELECT doc_id, i, unnest(t) AS word FROM sen), freq AS (SELECT doc_id, word, count(*) AS c, count(DISTINCT i) AS k FROM w GROUP BY ALL),
+wt AS MATERIALIZED (SELECT doc_id, word, c / total * (ln((m + 1) / (k + 1)) + 1) AS weight FROM freq JOIN tot USING (doc_id) JOIN size_ USING (doc_id)),
+sc AS (SELECT doc_id, i, sum(weight) AS score FROM w JOIN wt USING (doc_id, word) GROUP BY ALL),"""
+
+
+@query(f"WITH {SENTENCES}, {TFIDF_SENTENCES} " + _chosen_sql("SELECT doc_id, i, s, list_distinct(t) AS x, coalesce(score, 0) * CASE WHEN i < 0.2 * m THEN 1.3 ELSE 1 END * CASE WHEN len(t) < 5 THEN 0.5 ELSE 1 END AS score FROM sen LEFT JOIN sc USING (doc_id, i) JOIN size_ USING (doc_id)",
+    "len(o.x) > 0 AND len(c.x) > 0 AND len(list_intersect(o.x, c.x)) / (len(o.x) + len(c.x) - len(list_intersect(o.x, c.x))) > 0.6"))
 def summary_tfidf(spark, sf_dir):
     return summaries.summarise(sentences(spark, sf_dir), "tfidf", 3)
 
 
-@query()
+SENTENCE_NODES = "SELECT doc_id, i FROM sen"
+SENTENCE_EDGES = """SELECT doc_id, a AS src, b AS dst, dot / sqrt(p.q) / sqrt(r.q) AS weight FROM (SELECT x.doc_id, x.i AS a, y.i AS b, sum(x.c * y.c) AS dot FROM cnt x JOIN cnt y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i <> y.i GROUP BY ALL) JOIN len_ p USING (doc_id) JOIN len_ r USING (doc_id) WHERE p.i = a AND r.i = b"""
+
+
+@query(f"WITH RECURSIVE {SENTENCES}, cnt AS MATERIALIZED (SELECT doc_id, i, word, CAST(count(*) AS DOUBLE) AS c FROM (SELECT doc_id, i, unnest(t) AS word FROM sen) GROUP BY ALL), len_ AS MATERIALIZED (SELECT doc_id, i, sum(c * c) AS q FROM cnt GROUP BY ALL), {_ranked_sql(SENTENCE_NODES, SENTENCE_EDGES)}, "
+    + _chosen_sql("SELECT doc_id, i, s, list_transform(list_sort(t), lambda w: w) AS x, score FROM sen JOIN ranked USING (doc_id, i)", "coalesce(list_sum(list_transform(list_distinct(o.x), lambda w: CAST(len(list_filter(o.x, lambda v: v = w)) AS DOUBLE) * len(list_filter(c.x, lambda v: v = w)))), 0) / greatest(sqrt(coalesce(list_sum(list_transform(list_distinct(o.x), lambda w: CAST(len(list_filter(o.x, lambda v: v = w)) AS DOUBLE) ** 2)), 0)), 1e-12) / greatest(sqrt(coalesce(list_sum(list_transform(list_distinct(c.x), lambda w: CAST(len(list_filter(c.x, lambda v: v = w)) AS DOUBLE) ** 2)), 0)), 1e-12) > 0.8"))
 def summary_textrank(spark, sf_dir):
     return summaries.summarise(sentences(spark, sf_dir), "textrank", 3)
 
@@ -245,17 +306,36 @@ def kfold(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", classify.fold("doc_id", 5, 7).alias("fold"))
 
 
-@query()
+def _fold_sql(k: int) -> str:
+    """The accuracy of fold k under naive Bayes of the other folds, 5,000 words at most."""
+    return f"""SELECT {k} AS fold, (WITH tr AS MATERIALIZED (SELECT * FROM lf WHERE fold <> {k}), te AS MATERIALIZED (SELECT * FROM lf WHERE fold = {k}), trw AS MATERIALIZED (SELECT doc_id, label, unnest(tokens) AS word FROM tr), vo AS MATERIALIZED (SELECT word FROM trw GROUP BY word ORDER BY count(DISTINCT doc_id) DESC, word LIMIT 5000),
+    pr AS (SELECT label, ln(count(*) / (SELECT count(*) FROM tr)) AS lp FROM tr GROUP BY label), f AS (SELECT label, word, count(*) AS f FROM trw JOIN vo USING (word) GROUP BY ALL), tt AS (SELECT label, coalesce(sum(f), 0) AS t FROM pr LEFT JOIN f USING (label) GROUP BY label),
+    co AS MATERIALIZED (SELECT label, word, ln((coalesce(f, 0) + 1) / (t + (SELECT count(*) FROM vo))) AS lg FROM tt CROSS JOIN vo LEFT JOIN f USING (label, word)), kn AS (SELECT doc_id, label, sum(lg) AS s FROM (SELECT doc_id, unnest(tokens) AS word FROM te) JOIN co USING (word) GROUP BY ALL),
+    sc AS (SELECT te.doc_id, te.label AS truth, pr.label, lp + coalesce(s, 0) AS score FROM te CROSS JOIN pr LEFT JOIN kn ON kn.doc_id = te.doc_id AND kn.label = pr.label), g AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, label) = 1)
+    SELECT avg(CASE WHEN truth = label THEN 1.0 ELSE 0.0 END) FROM g) AS accuracy"""
+
+
+@query(f"WITH lf AS MATERIALIZED (SELECT doc_id, tokens, label, CAST('0x' || substr(md5('1:' || doc_id), 1, 8) AS BIGINT) % 3 AS fold FROM ({LABELLED})), a AS ({' UNION ALL '.join(map(_fold_sql, range(3)))}) SELECT CAST(fold AS INT) AS fold, round(accuracy, 9) AS accuracy, round(avg(accuracy) OVER (), 9) AS mean, round(stddev_pop(accuracy) OVER (), 9) AS std FROM a")
 def cross_validation(spark, sf_dir):
-    return classify.cross_validate(labelled(spark, sf_dir), 3, 1, 200, 2)
+    """Three folds with the operator's own vocabulary size."""
+    found = classify.cross_validate(labelled(spark, sf_dir), 3, 1)
+    return found.select("fold", *(F.round(c, 9).alias(c) for c in ("accuracy", "mean", "std")))
+
+
+@query(f"WITH v AS MATERIALIZED ({VOCAB500}), c AS (SELECT doc_id, word, cnt, df, sum(cnt) OVER (PARTITION BY doc_id) AS total FROM ({VECTORS}) JOIN v USING (word)), x AS (SELECT doc_id, word, cnt / total * (ln(((SELECT count(*) FROM ({LABELLED})) + 1) / (df + 1)) + 1) AS value FROM c) SELECT doc_id, word, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 6) AS value FROM x")
+def tfidf_unit_vectors(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    vectors = classify.tfidf_vectors(rows, classify.fit_vocabulary(rows, 500, 2), rows.count())
+    return vectors.select("doc_id", "word", F.round("value", 6).alias("value"))
 
 
 @query()
 def logistic_predict(spark, sf_dir):
+    """500 epochs over 5,000 words."""
     rows = labelled(spark, sf_dir)
-    vocabulary = classify.fit_vocabulary(rows, 200, 2)
+    vocabulary = classify.fit_vocabulary(rows)
     vectors = classify.tfidf_vectors(rows, vocabulary, rows.count())
-    model = classify.fit_logistic(vectors.select("doc_id", "idx", "value"), rows.select("doc_id", "label"), 200, epochs=10)
+    model = classify.fit_logistic(vectors.select("doc_id", "idx", "value"), rows.select("doc_id", "label"), 5000)
     return classify.predict(classify.logistic_scores(vectors, rows, model), 9)
 
 
@@ -291,11 +371,16 @@ def kmeans_assign(spark, sf_dir):
     return found.select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query("""WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+c(r, k, c) AS (SELECT 0, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR))) - 1, v FROM v QUALIFY row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR))) <= 8
+    UNION ALL SELECT r + 1, k, list_transform(range(1, len(m[1]) + 1), lambda d: list_avg(list_transform(m, lambda x: x[d]))) FROM (SELECT r, k, list(v) AS m FROM (SELECT r, k, vec_id, v FROM c CROSS JOIN v WHERE r < 50 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(1 - list_cosine_similarity(v, c), 12), k) = 1) GROUP BY r, k)),
+a AS (SELECT vec_id, k FROM c CROSS JOIN v WHERE r = 50 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(1 - list_cosine_similarity(v, c), 12), k) = 1)
+SELECT CAST(k AS INT) AS cluster, count(*) AS size FROM a GROUP BY k""")
 def kmeans_clusters(spark, sf_dir):
+    """Fifty rounds at most, or until no centre moves."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     first = vectors.orderBy(F.md5(F.col("vec_id").cast("string"))).limit(8).collect()
-    found, _ = topics.kmeans(vectors, np.array([r.v for r in first]), 15, "vec_id")
+    found, _ = topics.kmeans(vectors, np.array([r.v for r in first]), id_col="vec_id")
     return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
@@ -444,6 +529,16 @@ def waves(spark, sf_dir) -> DataFrame:
     return rows.select(F.col("user_id").cast("string").alias("media_id"), F.lit(16_000).alias("sr"), wave.cast("array<float>").alias("samples"))
 
 
+@query("""WITH w AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS media_id, flatten(list_transform(range(120), lambda i: x)) AS x FROM (SELECT user_id, list(CAST(CAST((value - 50) / 100 AS FLOAT) AS DOUBLE) ORDER BY ts, event_id, value) AS x FROM events GROUP BY user_id)),
+f AS (SELECT media_id, unnest(range(0, len(x) - 256, 128)) AS s, x FROM w WHERE len(x) > 256), g AS MATERIALIZED (SELECT media_id, list_slice(x, s + 1, s + 256) AS y FROM f),
+m AS (SELECT media_id, list_sum(list_transform(range(1, 256), lambda i: abs(sign(y[i + 1]) - sign(y[i])))) / 255 / 2 AS zcr, sqrt(list_avg(list_transform(y, lambda v: v * v))) AS rms_energy FROM g)
+SELECT media_id, 'zcr' AS feature, count(*) AS frames, round(avg(zcr), 6) AS mean FROM m GROUP BY media_id UNION ALL SELECT media_id, 'rms_energy', count(*), round(avg(rms_energy), 6) FROM m GROUP BY media_id""")
+def wave_time_features(spark, sf_dir):
+    """Zero crossings and energy of every frame; the spectral features are tested on their own."""
+    rows = signal.features(waves(spark, sf_dir)).where(F.col("feature").isin("zcr", "rms_energy"))
+    return rows.groupBy("media_id", "feature").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("value"), 6).alias("mean"))
+
+
 @query()
 def wave_features(spark, sf_dir):
     return signal.features(waves(spark, sf_dir)).groupBy("media_id", "feature").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("value"), 6).alias("mean"))
