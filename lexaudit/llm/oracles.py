@@ -4,12 +4,42 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
+from .divergence import COMMON, Limits
+from .divergence import WORDS as COMMON_WORDS
 from .reputation import Reputation
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 FOLDED = f"translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}')"
 
 
+def _distance_sql(counts: str, total: str, other: str) -> str:
+    """Jensen-Shannon distance (base 2) of counts, whose sum is total, from the counts of other."""
+    bits = lambda p: f"list_sum(list_transform({p}, lambda x: CASE WHEN x > 0 THEN -x * log2(x) ELSE 0.0 END))"
+    p, q = f"list_transform({counts}, lambda x: x / {total})", f"list_transform({other}, lambda x: x / list_sum({other}))"
+    middle = f"list_transform(list_zip({p}, {q}), lambda z: (z[1] + z[2]) / 2)"
+    return f"CASE WHEN {total} > 0 AND list_sum({other}) > 0 THEN sqrt(greatest({bits(middle)} - ({bits(p)} + {bits(q)}) / 2, 0.0)) END"
+
+
+def divergence(limits: Limits = Limits()) -> str:
+    class_ = lambda chars: f"CAST(len(regexp_replace(t, '[^{chars}]', '', 'g')) AS DOUBLE)"
+    listed = "[" + ", ".join(f"'{w}'" for w in COMMON_WORDS) + "]"
+    guard = lambda d, limit, enough: f"coalesce({d}, 0.0) / {limit} * CASE WHEN {enough} THEN 1.0 ELSE 0.0 END"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+    win AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5), five AS MATERIALIZED (SELECT r, i, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM win),
+    rep AS (SELECT r, count(DISTINCT i + k) AS n FROM five JOIN (SELECT r, s FROM five GROUP BY ALL HAVING count(*) > 1) USING (r, s), (SELECT unnest(range(5)) AS k) GROUP BY r),
+    c AS (SELECT *, {class_('\\p{L}')} AS letter, {class_('\\p{Lu}')} AS capital, {class_('\\p{Nd}')} AS digit, {class_('\\x20\\x09-\\x0D')} AS space, {class_(r'#*$%&|<>!@^~_=+\\/\[\]{}')} AS symbol FROM d),
+    m AS MATERIALIZED (SELECT r, doc_id, lang, len(w) AS n_words, CAST(len(t) - space AS BIGINT) AS word_chars, CAST({class_('#*$%&|<>')} AS BIGINT) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(t) AS n_class,
+        [letter - capital, capital, digit, space, symbol, len(t) - letter - digit - space - symbol] AS classes FROM c LEFT JOIN rep USING (r)),
+    low AS (SELECT r, lower(unnest(w)) AS word FROM d), com AS (SELECT r, word, count(*) AS n FROM low WHERE list_contains({listed}, word) GROUP BY ALL),
+    cm AS (SELECT r, list(CAST(coalesce(n, 0) AS DOUBLE) ORDER BY place) AS common FROM (SELECT d.r, place, n FROM d CROSS JOIN (SELECT unnest({listed}) AS word, unnest(range({len(COMMON_WORDS)})) AS place) x LEFT JOIN com ON com.r = d.r AND com.word = x.word) GROUP BY r),
+    y AS MATERIALIZED (SELECT *, list_append(common, n_words - list_sum(common)) AS commons, n_words < {limits.least_words} OR 100 * n_repeat_words > {limits.most_repeated_percent} * n_words AS base_failed FROM m JOIN cm USING (r)),
+    ref AS MATERIALIZED (SELECT a.lang, a.classes, b.commons FROM (SELECT lang, list(x ORDER BY i) AS classes FROM (SELECT lang, i, sum(x) AS x FROM (SELECT lang, unnest(classes) AS x, unnest(range(len(classes))) AS i FROM y WHERE NOT base_failed) GROUP BY ALL) GROUP BY lang) a
+        JOIN (SELECT lang, list(x ORDER BY i) AS commons FROM (SELECT lang, i, sum(x) AS x FROM (SELECT lang, unnest(commons) AS x, unnest(range(len(commons))) AS i FROM y WHERE NOT base_failed) GROUP BY ALL) GROUP BY lang) b USING (lang) WHERE lang IN ({', '.join(f"'{k}'" for k in COMMON)})),
+    z AS (SELECT y.r, {_distance_sql('y.classes', 'n_class', 'ref.classes')} AS dc, {_distance_sql('y.commons', 'n_words', 'ref.commons')} AS dw, n_class, n_words FROM y CROSS JOIN ref),
+    g AS (SELECT r, min(greatest({guard('dc', limits.class_distance, f'n_class >= {limits.least_characters}')}, {guard('dw', limits.word_distance, f'n_words >= {limits.least_length}')})) AS over, min(dc) AS dc, min(dw) AS dw FROM z GROUP BY r)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(over, 0.0) <= 1.0 AS kept, round(dc, 6) AS class_distance, round(dw, 6) AS word_distance FROM y LEFT JOIN g USING (r)"""
+
+
 def top_k() -> str:
     return """WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
     WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),

@@ -38,7 +38,9 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.judge(table(spark, sf_dir, "documents"))
+    distances = ("class_distance", "word_distance")
+    found = divergence.judge(table(spark, sf_dir, "documents"))
+    return found.select(*(F.round(c, 6).alias(c) if c in distances else c for c in found.columns))
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_divergence": oracles.divergence(),
         "op6_url_reputation": oracles.url_reputation(URL_RULES),
         "op7_topk": oracles.top_k(),
         "op8_substrings": oracles.substrings(),
