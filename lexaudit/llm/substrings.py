@@ -53,6 +53,11 @@ def _spread(at: np.ndarray, n: int, before: int, after: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _pair(words: Words, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of the windows that start there, 96 bits in all."""
+    return signed(words.windows(start, window)), signed(words.windows(start, window, second=True) & HALF)
+
+
 def _join(words: Words, first: int, last: int, keep: np.ndarray | None) -> bytes:
     """The kept words of a document, joined by single spaces."""
     at = range(first, last) if keep is None else (np.flatnonzero(keep) + first).tolist()
@@ -111,10 +116,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         return unpacked(left["rows"][0])
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        """Each candidate window of a block once, with the smallest and the largest id that it starts in there."""
+        hashes: list[np.ndarray] = []
         value, is_copy = right["value"].to_numpy(), right["is_copy"].to_numpy(zero_copy_only=False)
         if len(value):
-            held, block = opened(left, right), right["block"][0].as_py()
+            held = opened(left, right)
             known = np.sort(value[~is_copy].view(np.uint64))
             ids = held["id"].combine_chunks().fill_null(0).to_numpy()
             use = np.asarray(held["id"].combine_chunks().is_valid()) & ~np.isin(np.arange(len(ids)), value[is_copy])
@@ -124,29 +130,40 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 hit = d.anchors[known[at] == d.hashes] if len(known) else d.anchors[:0]
                 start = np.flatnonzero(_spread(hit, len(w.hash), window - length, 0) & d.starts)
                 if len(start):
-                    doc = d.doc[start]
-                    for column, x in zip(out, (signed(w.windows(start, window)), signed(w.windows(start, window, second=True) & HALF), ids[w.lo + doc], np.full(len(start), block), ((w.lo + doc) << 32) | (start - w.first[:-1][doc])), strict=True):
-                        column.append(x)
+                    hashes.append(np.stack([*_pair(w, start, window), ids[w.lo + d.doc[start]]]))
+        w1, w2, owner = np.concatenate(hashes, axis=1) if hashes else np.zeros((3, 0), np.int64)
+        order = np.lexsort((owner, w2, w1))
+        w1, w2, owner = w1[order], w2[order], owner[order]
+        edge = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))) if len(w1) else np.zeros(0, np.int64)
+        last = np.append(edge[1:], len(w1)) - 1 if len(w1) else edge
+        block = np.full(len(edge), right["block"][0].as_py() if right.num_rows else 0)
         tidy()
-        return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64()) for c, x in zip(("w1", "w2", "id", "block", "at"), out, strict=True)})
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in (("w1", w1[edge]), ("w2", w2[edge]), ("block", block), ("least", owner[edge]), ("most", owner[last]))})
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        block, row, gone, sha, left_over = [], [], [], [], []
-        at = np.sort(right["at"].to_numpy())
-        if len(at):
+        """What is left of a block's documents once the windows that a smaller id holds are gone."""
+        row, gone, sha, left_over = [], [], [], []
+        order = np.argsort(right["w1"].to_numpy())
+        w1, w2, lead = (right[c].to_numpy()[order] for c in ("w1", "w2", "lead"))
+        if len(w1):
             held = opened(left, right)
+            ids = held["id"].combine_chunks()
+            use, ids = np.asarray(ids.is_valid()), ids.fill_null(0).to_numpy()
             for w in word_chunks(held["text"]):
-                for i in range(w.lo, w.hi):
-                    a, b = np.searchsorted(at, (i << 32, (i + 1) << 32))
-                    if a < b:
-                        first, last = w.first[i - w.lo], w.first[i - w.lo + 1]
-                        lost = _spread(at[a:b] & 0xFFFFFFFF, last - first, 0, window - 1)
-                        kept = _join(w, first, last, ~lost)
-                        block.append(right["block"][0].as_py())
-                        row.append(i)
-                        gone.append(int(lost.sum()))
-                        sha.append(hashlib.sha256(kept).hexdigest())
-                        left_over.append(kept)
+                d = _Doc(w, window, period, cover, use[w.lo : w.hi])
+                start = np.flatnonzero(d.starts)
+                one, two = _pair(w, start, window)
+                at = np.minimum(np.searchsorted(w1, one), len(w1) - 1)
+                start = start[(w1[at] == one) & (w2[at] == two) & (lead[at] < ids[w.lo + d.doc[start]])]
+                lost = _spread(start, len(w.hash), 0, window - 1)
+                for i in np.unique(d.doc[start]):
+                    first, last = w.first[i], w.first[i + 1]
+                    kept = _join(w, first, last, ~lost[first:last])
+                    row.append(w.lo + i)
+                    gone.append(int(lost[first:last].sum()))
+                    sha.append(hashlib.sha256(kept).hexdigest())
+                    left_over.append(kept)
+        block = [right["block"][0].as_py()] * len(row)
         tidy()
         return pa.table({"block": pa.array(block, pa.int64()), "row": pa.array(row, pa.int32()), "gone": pa.array(gone, pa.int64()), "cut_sha": pa.array(sha, pa.string()), "cut": pa.array(left_over, pa.binary()).cast(pa.string())})
 
@@ -160,9 +177,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     shared = found.groupBy("hash").agg(F.min("a").alias("least"), F.max("b").alias("most"), F.count("block").alias("blocks")).where("least <> most and blocks > 0").select("hash")
     hits = found.join(shared, "hash").select("block", F.col("hash").alias("value"), (F.col("a") > F.col("b")).alias("is_copy"))
     copies = led.where((F.col("id") > F.col("lead")) & (F.col("n") >= window)).select("block", F.col("row").cast("long").alias("value"), F.lit(True).alias("is_copy"))
-    candidates = blobs.groupBy("block").cogroup(hits.unionByName(copies).groupBy("block")).applyInArrow(windows, "w1 long, w2 long, id long, block long, at long")
-    smallest = candidates.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w1", "w2", "least")
-    repeated = candidates.join(smallest, ["w1", "w2"]).where("id > least").select("block", "at")
+    # A block holds a window once too, and one exchange serves the minimum and the way back: both ask for
+    # all columns, and what either would filter by is filtered before.
+    candidates = blobs.groupBy("block").cogroup(hits.unionByName(copies).groupBy("block")).applyInArrow(windows, "w1 long, w2 long, block long, least long, most long")
+    candidates = candidates.where(" and ".join(f"{c} is not null" for c in candidates.columns)).repartition("w1", "w2")
+    smallest = candidates.groupBy("w1", "w2").agg(F.min("least").alias("lead"), F.max("most").alias("last"), F.count("block").alias("blocks")).where("lead < last and blocks > 0").select("w1", "w2", "lead")
+    repeated = candidates.join(smallest, ["w1", "w2"]).where("most > lead").select("block", "w1", "w2", F.least("lead", "least").alias("lead"))
     trimmed = blobs.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(cut, "block long, row int, gone long, cut_sha string, cut string")
     trimmed = trimmed.dropDuplicates(["block", "row"])  # equal blocks have equal numbers
     judged = led.join(trimmed, ["block", "row"], "left")
