@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, small_batches, stored, total, word_chunks
+from .base import Words, discard, small_batches, stored, total, word_chunks
 
 _SHARE = (0.0, 0.002, 0.01, 0.03, 0.08, 0.2, 0.5)
 #: Feature names and the upper edges of their bins but the last. Parameters.
@@ -147,12 +147,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float
     return best
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, known: tuple[int, int]) -> float:
-    """The share of positives in unlabelled text: that of trusted labels if both kinds are known, else
-    the least ratio of a bin's frequency in unlabelled text to that among positives, which bounds it."""
-    labelled, good = known
-    if labelled > good > 0:
-        return min(max(good / labelled, 0.02), 0.98)
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """An upper bound of the share of positives in unlabelled text: the least ratio of a bin's frequency there
+    to that among positives."""
     if not positive[-1, -1] or not unlabelled[-1, -1]:
         return 0.5
     p, u = np.diag(positive) / positive[-1, -1], np.diag(unlabelled) / unlabelled[-1, -1]
@@ -160,10 +157,41 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, known: tuple[i
     return float(min(max(np.min(u[common] / p[common]), 0.02), 0.98))
 
 
+#: Scores are counted in so many steps.
+STEPS = 200
+
+
+def scores(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.clip((design(found) @ weights + 1) / 2, 0, 1)
+
+
+def score_counts(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """How many documents score in each step from 0 to 1."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(STEPS, dtype=np.int64)
+        for batch in batches:
+            sums += np.bincount(np.minimum((scores(_matrix(batch.column(0)), weights) * STEPS).astype(np.int64), STEPS - 1), minlength=STEPS)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    found = total(rows.select("bins").mapInArrow(count, "sums binary"), "sums")
+    return np.zeros(STEPS, dtype=np.int64) if found is None else found
+
+
+def refined_prior(positive: np.ndarray, unlabelled: np.ndarray, first: float) -> float:
+    """The same bound over the sets of documents that score above a step: where hardly any negatives are, it is
+    nearly the share itself. Only sets that hold half of all positives count, so that chance does not lower it."""
+    if not positive.sum() or not unlabelled.sum():
+        return first
+    p, u = (np.cumsum(x[::-1]) / x.sum() for x in (positive, unlabelled))
+    enough = p >= 0.5
+    return float(min(max(min(first, np.min(u[enough] / p[enough])), 0.02), 0.98))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """One row per input row: id_col, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    labels has id_col and label_col. Labels of rows where held_out (a condition on id_col) is true are
+    labels has id_col and label_col; only those that say 1 are learnt from. Labels of rows where held_out (a condition on id_col) is true are
     not used; nor are null labels, nor ids with contradictory ones. All documents count as unlabelled
     text. A null text is scored as an empty one. Without any positive label all scores are 0.5.
     Repeated rows are scored each and count each; a null id is neither held out nor labelled. An
@@ -172,16 +200,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: Column, id_col
     held = F.coalesce(held_out, F.lit(False))
     rows = stored(features(docs, id_col, text_col), "quality")
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held).groupBy(F.col(id_col).cast("long").alias("id"))
-    known = known.agg(F.min(label_col).alias("least"), F.max(label_col).alias("most")).where("least = most").select("id", F.col("least").cast("int").alias("label"))
-    count = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("good")).first()
-    positive = pair_counts(rows.join(known.where("label = 1"), "id", "left_semi"))
-    unlabelled = pair_counts(rows)
-    weights = fit(positive, unlabelled, estimated_prior(positive, unlabelled, (count.n, count.good)))
+    good = known.agg(F.min(label_col).alias("least"), F.max(label_col).alias("most")).where("least = most and least = 1").select("id")
+    trusted = stored(rows.join(good, "id", "left_semi"), "trusted")
+    positive, unlabelled = pair_counts(trusted), pair_counts(rows)
+    prior = estimated_prior(positive, unlabelled)
+    first = fit(positive, unlabelled, prior)
+    weights = fit(positive, unlabelled, refined_prior(score_counts(trusted, first), score_counts(rows, first), prior))
+    discard(trusted)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.clip((design(_matrix(batch.column(1))) @ weights + 1) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(_matrix(batch.column(1)), weights))], names=["id", "score"])
 
     rated = rows.mapInArrow(rate, "id long, score double").withColumnRenamed("id", id_col)
     return rated.select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
