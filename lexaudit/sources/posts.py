@@ -60,3 +60,14 @@ def write_text(rows: DataFrame, column: str, path: str) -> None:
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def write_topics(topics: DataFrame, path: str) -> None:
+    """(topic_id, words, scores, weight) as lines of JSON, in one file: topics are few."""
+    topics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_markdown(reports: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "report") -> None:
+    """One section for each report, headed by its id; a report's lines become list items."""
+    items = F.array_join(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.concat(F.lit("- "), x)), "\n")
+    reports.select(F.concat(F.lit("## "), F.col(id_col).cast("string"), F.lit("\n\n"), items, F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
