@@ -228,25 +228,6 @@ def test_mix_of_clashing_columns(spark, docs):
     assert got.columns == odd.columns and sorted(map(str, got.select("doc_id").collect())) == sorted(map(str, plain)) and plain
 
 
-def test_scopes_free_tables(spark):
-    import os
-
-    from lexaudit.operators.scratch import discard, scope, stored
-
-    there = lambda df: os.path.exists(df.inputFiles()[0].removeprefix("file://"))
-    with scope(spark) as outer:
-        a = stored(spark.range(3), "a")
-        with scope(spark) as inner:
-            b, c = stored(spark.range(3), "b"), inner.keep(stored(spark.range(4), "c"))
-            file_b = b.inputFiles()[0].removeprefix("file://")
-        assert there(a) and not os.path.exists(file_b) and c.count() == 4
-        discard(a, spark.range(1))
-        d = outer.keep(stored(spark.range(5), "d"))
-        file_c = c.inputFiles()[0].removeprefix("file://")
-    assert not os.path.exists(file_c) and d.count() == 5
-    discard(d)
-
-
 def plain_pipeline(rows, model):
     """Stages 3, 10, 8 and 9 by plain Python, with the given language model; rows: (doc_id, text, lang, source)."""
     import hashlib

@@ -157,9 +157,28 @@ def test_long_lists_and_many_parts(spark):
         for _ in range(r.choice([0, 2, 5, 9])):
             words[r.randrange(120)] = f"x{r.random()}"
         rows.append((i, " ".join(words)))
+    words = list(base)
+    for i in range(90, 190):  # a chain of links away from the first text, and texts half like it
+        for _ in range(5):
+            words[r.randrange(120)] = f"y{r.random()}"
+        rows.append((i, " ".join(words)))
+    for i in range(190, 230):
+        rows.append((i, " ".join(base[:60] + [f"z{r.random()}" if r.random() < 0.2 else f"q{j}" for j in range(60)])))
+    r.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_groups([(d, shingles(t)) for d, t in rows])
-    assert {r.doc_id: r.component_id for r in neardup.groups(df, part=16).collect()} == want
+    assert len(set(want.values())) > 5
+    for part in (16, 4096):
+        assert {r.doc_id: r.component_id for r in neardup.groups(df, part=part).collect()} == want
+
+
+def test_stars_link_hubs_with_their_like():
+    a = np.arange(10, 110, dtype=np.uint64)
+    sets = [a, np.append(a[:90], a[:10] + np.uint64(1000)), a[:79], a[:80], a + np.uint64(500)]
+    held = [(5, 5, sets[0]), (1, 5, sets[1]), (2, 5, sets[2]), (3, 5, sets[3]), (4, 9, sets[4]), (9, 9, sets[4]), (7, 8, sets[0])]
+    bounds = np.append(0, np.cumsum([len(x) for *_, x in held]))
+    got = neardup.star_links(np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.concatenate([h[2] for h in held]), bounds, 80)
+    assert sorted(got) == [(5, 1), (5, 3), (9, 4)]
 
 
 def brute_rules(text):
