@@ -17,13 +17,13 @@ from ..functions import lexicons as L
 from ..operators import classify, duplicates, keywords, scratch, signal, summaries, timeline, topics
 from ..sources import posts as sources
 from . import analysis, chinese, phrases
-from .registry import QUERIES, SQL, query, table  # noqa: F401
+from .registry import QUERIES, SQL, query, spread, table  # noqa: F401
 
 ENGLISH_STOPWORDS = ("the", "of", "and", "to", "in", "is", "a", "that", "for", "on", "with", "as")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def tokenised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ TOKENS = "SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t
 @query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[\\x20\\t\\n\\x0b\\x0c\\r]+', ' ', 'g'))) AS digest FROM pages")
 def strip_html(spark, sf_dir):
     plain = F.trim(F.regexp_replace(cleaning.strip_tags(F.col("html")), r"[\x20\t\n\x0b\x0c\r]+", " "))
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(plain).alias("digest"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", F.md5(plain).alias("digest"))
 
 
 @query(f"SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM ({TOKENS})")
@@ -526,7 +526,7 @@ def waves(spark, sf_dir) -> DataFrame:
     """Each user's values, in order of time, as a whole wave around their middle; a user is one row, however many events."""
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("x"))
     wave = F.flatten(F.array_repeat(F.transform("x", lambda r: (r["value"] - 50) / 100), 120))
-    return rows.select(F.col("user_id").cast("string").alias("media_id"), F.lit(16_000).alias("sr"), wave.cast("array<float>").alias("samples"))
+    return spread(rows).select(F.col("user_id").cast("string").alias("media_id"), F.lit(16_000).alias("sr"), wave.cast("array<float>").alias("samples"))
 
 
 @query("""WITH w AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS media_id, flatten(list_transform(range(120), lambda i: x)) AS x FROM (SELECT user_id, list(CAST(CAST((value - 50) / 100 AS FLOAT) AS DOUBLE) ORDER BY ts, event_id, value) AS x FROM events GROUP BY user_id)),

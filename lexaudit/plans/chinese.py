@@ -16,11 +16,11 @@ from ..functions import lexicons as L
 from ..operators import classify
 from . import analysis, phrases
 from .phrases import listed, quoted
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def texts(spark, sf_dir, parts: tuple, source: str = "orders", key: str = "o_orderkey") -> DataFrame:
-    return table(spark, sf_dir, source).select(key, phrases.column(F.col(key).cast("string"), parts).alias("text"))
+    return spread(table(spark, sf_dir, source).select(key)).select(key, phrases.column(F.col(key).cast("string"), parts).alias("text"))
 
 
 def texts_sql(parts: tuple, source: str = "orders", key: str = "o_orderkey") -> str:
@@ -290,7 +290,7 @@ REVIEW_LINES = f"SELECT l_orderkey, l_linenumber, {phrases.sql('CAST(l_orderkey
 def reviews(spark, sf_dir) -> DataFrame:
     """A review for each line item."""
     key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", phrases.column(key, phrases.REVIEW).alias("text"))
+    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")).select("l_orderkey", "l_linenumber", phrases.column(key, phrases.REVIEW).alias("text"))
 
 
 def _light_sql(text: str) -> str:

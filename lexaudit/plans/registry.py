@@ -22,3 +22,18 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of a full split of a file.
+SPLIT = 128 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows whose work is costly, over all cores.
+
+    A table of less than a full split for each core may be one row group, which is one task however long
+    its rows take; it is dealt out. A larger table has enough tasks and is not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPLIT else rows
