@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Each shard is numbered in so many independent parts, by further digits of the key's digest.
 BINS = 4096
+#: Equal rows are written out so many at a time.
+CHUNK = 65_536
 
 
 def jump(keys: np.ndarray, n_shards: int) -> np.ndarray:
@@ -33,7 +35,7 @@ def jump_column(key: Column, n_shards: int) -> Column:
     return shard(key)
 
 
-def assign(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS) -> DataFrame:
+def assign(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, chunk: int = CHUNK) -> DataFrame:
     """One row per input row: id_col, size, text_crc32, law, shard, slot, grown_shard.
 
     The shard follows from the id and n_shards alone, so equal ids share a shard; grown_shard is the
@@ -59,7 +61,9 @@ def assign(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     starts = rows.groupBy("shard", "bin").agg(F.sum("n").alias("n"))
     starts = starts.select("shard", "bin", before(Window.partitionBy("shard").orderBy("bin")).alias("start"))
     placed = rows.withColumn("within", before(Window.partitionBy("shard", "bin").orderBy("id", "size", "crc")))
-    slot = F.explode(F.sequence(F.col("start") + F.col("within"), F.col("start") + F.col("within") + F.col("n") - 1))
-    return placed.join(starts, ["shard", "bin"]).select(
+    first = F.col("start") + F.col("within") + F.col("part") * chunk
+    slot = F.explode(F.sequence(first, first + F.least(F.lit(chunk), F.col("n") - F.col("part") * chunk) - 1))
+    parts = placed.join(starts, ["shard", "bin"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))))
+    return parts.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", slot.alias("slot"), F.col("grown").alias("grown_shard")
     )

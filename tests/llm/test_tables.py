@@ -28,7 +28,7 @@ def test_jump():
 
 
 def test_shards(docs, rows, nothing):
-    got = sharding.assign(docs, 24).collect()
+    got = sharding.assign(docs, 24, chunk=2).collect()
     sizes = collections.Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in rows)
     assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == sizes
     by_shard = collections.defaultdict(list)
