@@ -40,6 +40,24 @@ def divergence(limits: Limits = Limits()) -> str:
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(over, 0.0) <= 1.0 AS kept, round(dc, 6) AS class_distance, round(dw, 6) AS word_distance FROM y LEFT JOIN g USING (r)"""
 
 
+def shards(n_shards: int = 24, bins: int = 4096) -> str:
+    """CRC-32 byte by byte over its table, and the jump hash step by step in 128-bit arithmetic."""
+    def entry(c: int) -> int:
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        return c
+
+    crc_table = "[" + ", ".join(str(entry(i)) for i in range(256)) + "]"
+    jump = lambda n: f"""CAST(list_reduce(range({n + 1}), lambda s, k: CASE WHEN s.ahead >= {n} THEN s ELSE {{'key': (s.key * 2862933555777941757 + 1) % 18446744073709551616, 'at': floor(s.ahead),
+        'ahead': (floor(s.ahead) + 1) * (CAST(2147483648 AS DOUBLE) / CAST((s.key * 2862933555777941757 + 1) % 18446744073709551616 // 8589934592 + 1 AS DOUBLE))}} END, {{'key': CAST(key AS UHUGEINT), 'at': CAST(-1 AS DOUBLE), 'ahead': CAST(0 AS DOUBLE)}}).at AS INT)"""
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest FROM documents),
+    b AS (SELECT *, list_transform(list_filter(string_split(regexp_replace(hex(encode(t)), '(..)', '\\1,', 'g'), ','), lambda x: x <> ''), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM d),
+    c AS (SELECT doc_id, CAST(len(bytes) + 8 AS BIGINT) AS size, xor(CASE WHEN len(bytes) = 0 THEN 4294967295 ELSE list_reduce(bytes, lambda c, x: xor({crc_table}[(xor(c, x) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)) END, 4294967295) AS text_crc32,
+        CAST('0x' || substr(digest, 1, 15) AS BIGINT) AS key, CAST('0x' || substr(digest, 16, 6) AS BIGINT) % {bins} AS bin FROM b),
+    s AS (SELECT *, {jump(n_shards)} AS shard, {jump(n_shards + 1)} AS grown_shard FROM c)
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bin, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM s"""
+
+
 def top_k() -> str:
     return """WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
     WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),

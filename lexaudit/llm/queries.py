@@ -104,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_divergence": oracles.divergence(),
+        "op5_shards": oracles.shards(),
         "op6_url_reputation": oracles.url_reputation(URL_RULES),
         "op7_topk": oracles.top_k(),
         "op8_substrings": oracles.substrings(),
