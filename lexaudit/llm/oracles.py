@@ -58,6 +58,36 @@ def shards(n_shards: int = 24, bins: int = 4096) -> str:
     SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bin, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM s"""
 
 
+def _dealt_sql(kids: str) -> str:
+    """(parent, name, got): each parent's budget among kids (parent, budget, name, room, weight). Every round either fills
+    those that cannot use their share or deals what is left by weight, whole tokens first by name."""
+    kid, state = "STRUCT(name VARCHAR, room DOUBLE, weight DOUBLE)", "STRUCT(budget DOUBLE, live STRUCT(name VARCHAR, room DOUBLE, weight DOUBLE)[], got STRUCT(name VARCHAR, got DOUBLE)[])"
+    share = "s.budget * x.weight / list_sum(list_transform(s.live, lambda y: y.weight))"
+    full = f"list_filter(s.live, lambda x: x.room <= {share})"
+    rest = f"(s.budget - list_sum(list_transform(s.live, lambda x: floor({share}))))"
+    last = f"{{'budget': CAST(0 AS DOUBLE), 'live': CAST([] AS {kid}[]), 'got': list_concat(s.got, list_transform(s.live, lambda x, i: {{'name': x.name, 'got': floor({share}) + CASE WHEN i <= {rest} THEN 1 ELSE 0 END}}))}}"
+    more = f"{{'budget': s.budget - list_sum(list_transform({full}, lambda x: x.room)), 'live': list_filter(s.live, lambda x: x.room > {share}), 'got': list_concat(s.got, list_transform({full}, lambda x: {{'name': x.name, 'got': x.room}}))}}"
+    step = f"CASE WHEN len(s.live) = 0 THEN s WHEN len({full}) = 0 THEN CAST({last} AS {state}) ELSE CAST({more} AS {state}) END"
+    return f"""SELECT parent, unnest(z.got).name AS name, unnest(z.got).got AS got FROM (SELECT parent, list_reduce(range(max(n)), lambda s, r: {step},
+        CAST({{'budget': CAST(least(max(budget), sum(room)) AS DOUBLE), 'live': list({{'name': name, 'room': room, 'weight': weight}} ORDER BY name), 'got': []}} AS {state})) AS z
+        FROM (SELECT *, count(*) OVER (PARTITION BY parent) + 1 AS n FROM ({kids}) WHERE weight > 0 AND room > 0) GROUP BY parent)"""
+
+
+def mix(domains: dict[str, float], langs: dict[str, float], fraction: float, epochs: int, seed: int) -> str:
+    weight = lambda c, w: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in w.items()) + " ELSE 0 END"
+    return f"""WITH t AS MATERIALIZED (SELECT doc_id, coalesce(CASE WHEN regexp_extract(coalesce(source, ''), '([0-9])$', 1) IN ('1', '3', '5', '7', '9') THEN 'press' ELSE 'forum' END, '?') AS domain, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source,
+        CAST(len({WORDS}) AS DOUBLE) AS tokens, coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || sha256(coalesce(text, '')) AS key FROM documents),
+    leaf AS MATERIALIZED (SELECT domain, lang, source, sum(tokens) AS supply, CAST({weight('domain', domains)} AS DOUBLE) AS wd, CAST({weight('lang', langs)} AS DOUBLE) AS wl FROM t GROUP BY ALL),
+    use AS MATERIALIZED (SELECT *, supply * {epochs} AS room FROM leaf WHERE wd > 0 AND wl > 0), top AS (SELECT least(floor({fraction} * (SELECT sum(supply) FROM leaf)), sum(room)) AS budget FROM use),
+    d AS MATERIALIZED ({_dealt_sql("SELECT '' AS parent, any_value(budget) AS budget, domain AS name, sum(room) AS room, any_value(wd) AS weight FROM use, top GROUP BY domain")}),
+    l AS MATERIALIZED ({_dealt_sql("SELECT domain AS parent, any_value(got) AS budget, lang AS name, sum(room) AS room, any_value(wl) AS weight FROM use JOIN d ON d.name = domain GROUP BY domain, lang")}),
+    s AS MATERIALIZED ({_dealt_sql("SELECT domain || '|' || lang AS parent, any_value(got) AS budget, source AS name, sum(room) AS room, CAST(1 AS DOUBLE) AS weight FROM use JOIN l ON l.parent = domain AND l.name = lang GROUP BY domain, lang, source")}),
+    cap AS (SELECT domain, lang, source, epoch, least(got - epoch * supply, supply) AS cap FROM use JOIN s ON s.parent = domain || '|' || lang AND s.name = source, (SELECT unnest(range({epochs})) AS epoch) WHERE got > epoch * supply),
+    o AS (SELECT t.*, epoch, cap, md5('{seed}:' || epoch || ':' || key) AS place FROM t JOIN cap USING (domain, lang, source)),
+    c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY place) AS upto FROM o)
+    SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens, CAST(epoch AS INT) AS epoch FROM c WHERE upto <= cap"""
+
+
 def top_k() -> str:
     return """WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
     WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),

@@ -108,5 +108,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_reputation": oracles.url_reputation(URL_RULES),
         "op7_topk": oracles.top_k(),
         "op8_substrings": oracles.substrings(),
+        "op9_mix": oracles.mix(MIX_DOMAINS, MIX_LANGS, 0.5, 2, 7),
         "op10_neardup": oracles.near_duplicates(),
     }
