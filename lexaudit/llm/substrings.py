@@ -163,7 +163,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                     gone.append(int(lost[first:last].sum()))
                     sha.append(hashlib.sha256(kept).hexdigest())
                     left_over.append(kept)
-        block = [right["block"][0].as_py()] * len(row)
+        block = [right["block"][0].as_py()] * len(row) if row else []  # of many blocks no window is held elsewhere
         tidy()
         return pa.table({"block": pa.array(block, pa.int64()), "row": pa.array(row, pa.int32()), "gone": pa.array(gone, pa.int64()), "cut_sha": pa.array(sha, pa.string()), "cut": pa.array(left_over, pa.binary()).cast(pa.string())})
 

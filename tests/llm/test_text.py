@@ -233,3 +233,18 @@ def test_a_row_that_shares_its_id_with_a_copy_is_judged_on_its_own_text(spark):
     rows = [(1, one), (2, two), (3, one), (3, f"{two} {tail}"), (4, tail)]
     got = {(r.doc_id, r.n_words): r.n_removed for r in substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
     assert got == {(1, 60): 0, (2, 60): 0, (3, 60): 60, (3, 120): 60, (4, 60): 60}
+
+
+@pytest.mark.parametrize("shared", [0, 3])
+def test_blocks_of_which_nothing_repeats(spark, shared):
+    """shared: so many rows of the first block hold one passage; no row of the second holds any of it."""
+    import corpus_pipeline
+
+    draw = lambda seed, n: " ".join(str(random.Random(f"{seed} {i}").randrange(10**9)) for i in range(n))
+    rows = [(i, f"{draw('all', 70)} {draw(i, 30)}" if i < shared else draw(i, 100)) for i in range(5)] + [(i, t) for i, t in enumerate([draw(8, 120), "too short", "", None, draw(9, 50)], 5)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    found = substrings.repeats(docs)
+    assert collections.Counter(tuple(r) for r in found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == brute_repeats(rows)
+    assert found.where("n_removed > 0").count() == max(shared - 1, 0)
+    left = {r.doc_id: r.text for r in corpus_pipeline.substring_dedup(spark, docs, "").collect()}
+    assert left == {d: t if not 0 < d < shared else draw(d, 30) for d, t in rows}
