@@ -32,6 +32,12 @@ HOT_WORDS, HOT_BYTES = 150_000, 10 << 20
 ENCODE_WORDS = 2000
 
 
+def byte_characters() -> dict[str, int]:
+    """The printable characters by which a byte-level vocabulary writes bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> "Codec":
     return Codec(path)
@@ -67,8 +73,7 @@ class Codec:
 
     def _pieces(self) -> list[bytes]:
         """The bytes of each id; the vocabulary writes bytes as printable characters."""
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        byte = byte_characters()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         out = [b""] * (max(vocab.values(), default=-1) + 1)
         for piece, i in vocab.items():

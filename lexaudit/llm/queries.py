@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, language, mixing, neardup, oracles, quality, reputation, sharding, substrings, topk
+from . import alignment, bpe, divergence, language, mixing, neardup, oracles, quality, reputation, sharding, substrings, topk
 from .base import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -91,6 +91,12 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.summaries(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_language, op4_divergence, op5_shards, op6_url_reputation, op7_topk, op8_substrings, op9_mix, op10_neardup, pipeline)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_language, op4_divergence, op5_shards, op6_url_reputation, op7_topk, op8_substrings, op9_mix, op10_neardup, op13_alignment, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
