@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, divergence, language, mixing, neardup, oracles, quality, reputation, sharding, substrings, topk
+from . import alignment, bpe, divergence, language, mixing, neardup, negatives, oracles, quality, reputation, sharding, substrings, topk
 from .base import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -91,6 +91,13 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id 7 divides count as of the next label, so that some labels are wrong."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -104,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_language, op4_divergence, op5_shards, op6_url_reputation, op7_topk, op8_substrings, op9_mix, op10_neardup, op13_alignment, pipeline)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_language, op4_divergence, op5_shards, op6_url_reputation, op7_topk, op8_substrings, op9_mix, op10_neardup, op11_negatives, op13_alignment, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -116,4 +123,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_substrings": oracles.substrings(),
         "op9_mix": oracles.mix(MIX_DOMAINS, MIX_LANGS, 0.5, 2, 7),
         "op10_neardup": oracles.near_duplicates(),
+        "op11_negatives": oracles.negatives(),
     }

@@ -146,7 +146,7 @@ class Index:
         return self.ids[which[order]], score[order]
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Rows of equal width; shorter vectors count as padded with zeros."""
     lists = column.combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
@@ -196,7 +196,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
         held = [x for x in batches if x.num_rows]
         if held:
             some = pa.Table.from_batches(held)
-            blob = Index(some["id"].to_numpy(), _matrix(some["v"])).dump()
+            blob = Index(some["id"].to_numpy(), matrix(some["v"])).dump()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([blob], pa.binary())], names=["block", "blob"])
 
     index = stored(rows.repartition(blocks).mapInArrow(build, "block int, blob binary"), "index")
@@ -223,7 +223,7 @@ def _best(parts: DataFrame, k: int) -> DataFrame:
 def _answers(index: DataFrame, sent: pa.Table, waves: list[tuple[int, int]], k: int) -> list[DataFrame]:
     """(query_id, id, score) of one round's queries, a written table for each wave."""
     spark = index.sparkSession
-    own, query = sent["id"].to_numpy(), _matrix(sent["v"])
+    own, query = sent["id"].to_numpy(), matrix(sent["v"])
     order = np.argsort(own)
     own, query = own[order], query[order]
     floors, floor_ids, found = np.full(len(own), -np.inf), np.zeros(len(own), np.int64), []
