@@ -253,17 +253,17 @@ def packed_blocks(rows: DataFrame, text_at: int, size: int, level: int = 3) -> D
     return rows.mapInArrow(pack, "block long, rows binary")
 
 
-def total(parts: DataFrame, column: str, spread: int = 16) -> np.ndarray | None:
-    """The sum of the int64 vectors that the tasks left in a binary column, added up in two steps."""
+def total(parts: DataFrame, column: str, spread: int = 16, kind: type = np.int64) -> np.ndarray | None:
+    """The sum of the vectors of a kind, int64 or float64, that the tasks left in a binary column, added up in two steps."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
         for batch in batches:
             for value in batch.column(0):
-                x = np.frombuffer(value.as_buffer(), np.int64)
+                x = np.frombuffer(value.as_buffer(), kind)
                 sums = x.copy() if sums is None else sums + x
         if sums is not None:
             yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=[column])
 
     rows = parts.select(column).repartition(spread).mapInArrow(add, f"{column} binary").collect()
-    return sum((np.frombuffer(r[0], np.int64) for r in rows[1:]), np.frombuffer(rows[0][0], np.int64)) if rows else None
+    return sum((np.frombuffer(r[0], kind) for r in rows[1:]), np.frombuffer(rows[0][0], kind)) if rows else None

@@ -39,7 +39,7 @@ class Settings:
 
 
 @lru_cache(maxsize=1)
-def _folding() -> np.ndarray:
+def folding() -> np.ndarray:
     """By code point: the lower-case letter, or 0 for what is no letter."""
     out = np.zeros(sys.maxunicode + 1, dtype=np.uint32)
     for c in range(sys.maxunicode + 1):
@@ -51,7 +51,7 @@ def _folding() -> np.ndarray:
 
 def buckets(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray] | None:
     """The buckets of a text's n-grams and their counts; None if it has no letter."""
-    codes = _folding()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+    codes = folding()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
     if not codes.any():
         return None
     keep = np.ones(len(codes) + 2, dtype=bool)

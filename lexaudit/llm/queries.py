@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, divergence, language, mixing, neardup, negatives, oracles, quality, reputation, sharding, substrings, topk
+from . import alignment, bpe, divergence, language, mixing, neardup, negatives, oracles, quality, reputation, sharding, substrings, topk, toxicity
 from .base import table
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -98,6 +98,10 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold(5, 0))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_language, op4_divergence, op5_shards, op6_url_reputation, op7_topk, op8_substrings, op9_mix, op10_neardup, op11_negatives, op13_alignment, pipeline)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_language, op4_divergence, op5_shards, op6_url_reputation, op7_topk, op8_substrings, op9_mix, op10_neardup, op11_negatives, op12_toxicity, op13_alignment, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
