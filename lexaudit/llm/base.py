@@ -31,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(*names: str) -> list[str]:
+    """Column names as Spark's functions take them, whatever characters they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 #: Decisions on so many rows at most are sent to all tasks; more are joined by a shuffle.
 SMALL_ROWS = 1_000_000
 
@@ -253,6 +258,32 @@ def packed_blocks(rows: DataFrame, text_at: int, size: int, level: int = 3) -> D
     return rows.mapInArrow(pack, "block long, rows binary")
 
 
+def batched(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """One column: all columns of rows as Arrow tables of so many rows at most."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def close() -> pa.RecordBatch:
+            out = pa.BufferOutputStream()
+            table = pa.Table.from_batches(held)
+            with ipc.new_stream(out, table.schema) as writer:
+                writer.write_table(table)
+            return pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=[name])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                some = batch.slice(lo, size)
+                if held and sum(x.num_rows for x in held) + some.num_rows > size:
+                    yield close()
+                    held = []
+                held.append(some)
+        if held:
+            yield close()
+
+    return rows.mapInArrow(pack, f"{name} binary")
+
+
 def total(parts: DataFrame, column: str, spread: int = 16, kind: type = np.int64) -> np.ndarray | None:
     """The sum of the vectors of a kind, int64 or float64, that the tasks left in a binary column, added up in two steps."""
 

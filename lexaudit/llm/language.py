@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .base import small_batches, tidy, total
+from .base import quoted, small_batches, tidy, total
 
 UNKNOWN = "und"
 
@@ -182,7 +183,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # buckets times languages: its size does not grow with the rows
     names = keep if text_col in keep else [*keep, text_col]
-    rows, text_at = docs.select(*names), names.index(text_col)
+    rows, text_at = docs.select(*quoted(*names)), names.index(text_col)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -201,8 +202,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found_names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
         tidy()
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(rate, f"{kept}, lang_pred string, score double")
+    return rows.mapInArrow(rate, StructType([*rows.schema.fields[: len(keep)], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", s: Settings = Settings()) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD_PATTERN, discard, stored
+from .base import WORD_PATTERN, discard, quoted, stored
 
 #: The tree's leaves are read by the driver; more of them than this is an error, not a cut.
 MOST_LEAVES = 100_000
@@ -130,5 +130,5 @@ def select_mix(docs: DataFrame, domain: Column, plan: Plan, seed: int = 1, id_co
     table chooses nothing. The plan has a row for each leaf and epoch, so nothing is shuffled.
     """
     frame = docs.sparkSession.createDataFrame(plan, "leaf struct<domain:string,lang:string,source:string>, epoch int, last string")
-    rows = _keyed(docs, domain, id_col, F.struct(*docs.columns).alias("doc")).join(F.broadcast(frame), "leaf")
+    rows = _keyed(docs, domain, id_col, F.struct(*quoted(*docs.columns)).alias("doc")).join(F.broadcast(frame), "leaf")
     return rows.where(_order(seed, F.col("epoch")) <= F.col("last")).select("doc", "leaf", "epoch")

@@ -19,13 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import discard, stored, tidy
-from .topk import matrix, quantised
+from .base import batched, discard, stored, tidy
+from .topk import matrix, quantised, waves
 
 #: Cells a dimension; anchors and rows that are searched at once.
 CELLS, ANCHOR_UNIT, ROW_UNIT, LEAST_UNIT = 64, 2048, 65_536, 4096
-#: Each wave has so many times the units of all before.
-GROWTH = 4
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -126,33 +124,6 @@ def _packed(rows: DataFrame, units: int) -> DataFrame:
     return rows.select("id", "label", "v").repartition(units).mapInArrow(build, "unit int, blob binary")
 
 
-def _batched(asked: DataFrame, size: int) -> DataFrame:
-    """(asked,): (id, label, v, floors, tops) in Arrow tables of so many rows at most."""
-    names = ["id", "label", "v", "floors", "tops"]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def close() -> pa.RecordBatch:
-            out = pa.BufferOutputStream()
-            table = pa.Table.from_batches(held)
-            with pa.ipc.new_stream(out, table.schema) as writer:
-                writer.write_table(table)
-            return pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["asked"])
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, size):
-                some = batch.slice(lo, size)
-                if held and sum(x.num_rows for x in held) + some.num_rows > size:
-                    yield close()
-                    held = []
-                held.append(some)
-        if held:
-            yield close()
-
-    return asked.select(*names).mapInArrow(pack, "asked binary")
-
-
 def _answers(units: DataFrame, asked: DataFrame, lo: int, hi: int, same: bool, k: int, batch: int) -> DataFrame:
     """(id, window, vec, score): what each unit from lo to hi answers to each of asked. A unit's number is the
     key of the join; each batch of anchors goes to each unit once."""
@@ -176,18 +147,11 @@ def _answers(units: DataFrame, asked: DataFrame, lo: int, hi: int, same: bool, k
         tidy()
 
     wave = units.where((F.col("unit") >= lo) & (F.col("unit") < hi))
-    sent = _batched(asked, batch).withColumn("unit", F.explode(F.sequence(F.lit(lo).cast("int"), F.lit(hi - 1).cast("int"))))
+    sent = batched(asked.select("id", "label", "v", "floors", "tops"), batch, "asked").withColumn("unit", F.explode(F.sequence(F.lit(lo).cast("int"), F.lit(hi - 1).cast("int"))))
     spread = sent.repartition(max(1, hi - lo), "unit").join(wave.repartition(max(1, hi - lo), "unit"), "unit")
     return spread.select("unit", "blob", "asked").mapInArrow(look, "id long, window int, vec long, score long")
 
 
-def _waves(units: int, first: int) -> list[tuple[int, int]]:
-    ends = [0, min(first, units)]
-    while ends[-1] < units:
-        ends.append(min(ends[-1] * (1 + GROWTH), units))
-    return list(zip(ends, ends[1:], strict=False))
-
-
 def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("id", "window").orderBy(F.desc("score"), "vec"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -196,7 +160,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def _searched(units: DataFrame, n_units: int, asked: DataFrame, same: bool, k: int, first: int, batch: int) -> DataFrame:
     """(id, window, vec, score, rank) of asked (id, label, v, floors, tops): a stored table."""
     best = None
-    for lo, hi in _waves(n_units, first):
+    for lo, hi in waves(n_units, first):
         ready = asked
         if best is not None:  # a full window's k-th score is its floor from now on
             full = best.where(F.col("rank") == k).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("window", "score"))).alias("reached"))

@@ -21,11 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import discard, stored, tidy
+from .base import batched, discard, stored, tidy
 
 ROW_BLOCK = 8192
-#: Bytes of query vectors that are sent to all tasks at once; more queries take more rounds.
-ROUND_BYTES = 32 << 20
+#: Queries that go to a block together.
+QUERY_UNIT = 4096
+#: Each wave has so many times the blocks of all before.
+GROWTH = 4
+#: The floor of a query that has none.
+LEAST = -(1 << 63)
 #: Reading stops once so small a share of a block's rows is not ruled out.
 RESCORE_SHARE = 0.2
 #: Queries that a block reads its segments for at once.
@@ -76,7 +80,7 @@ class Index:
     def search(self, own: np.ndarray, queries: np.ndarray, k: int, share: float = RESCORE_SHARE, floors: np.ndarray | None = None, floor_ids: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query, the ids and scores of the k best rows but its own, by score, then smaller id.
 
-        With floors, rows of a smaller score than a query's, or of the same and a greater id than
+        With floors (int64, as scores are), rows of a smaller score than a query's, or of the same and a greater id than
         floor_ids, are left out. reads has the levels that each query has read.
         """
         n, m = len(self.ids), len(own)
@@ -91,7 +95,7 @@ class Index:
         asked[:, :shown] = queries[:, :shown]
         at = np.searchsorted(self.ids, own)
         me = np.where((at < n) & (self.ids[np.minimum(at, n - 1)] == own), at, -1)
-        floor = np.full(m, -np.inf) if floors is None else floors.astype(np.float64)
+        floor = np.full(m, LEAST) if floors is None else floors.copy()
         length = np.sqrt((asked.astype(np.float64) ** 2).sum(axis=1))
         out: list = [None] * m
         self.reads = np.zeros(m, dtype=np.int64)
@@ -109,9 +113,10 @@ class Index:
             for r, i in enumerate(live):
                 if n > 4 * k + 2:
                     first = np.argpartition(by_query[r], n - 2 * k - 1)[n - 2 * k - 1 :]
-                    floor[i] = max(floor[i], np.sort(exact[first[first != me[i]]] @ asked[i])[-k])
-                # a little slack for the rounding of lengths
-                maybe = np.flatnonzero(by_query[r] + left * (length[i] * (1 + 1e-9)) + 1e-3 >= floor[i])
+                    floor[i] = max(floor[i], int(np.sort(exact[first[first != me[i]]] @ asked[i])[-k]))
+                # a little slack for the rounding of lengths, and of scores that doubles do not hold
+                so_far, least = by_query[r].astype(np.float64), float(floor[i])
+                maybe = np.flatnonzero(so_far + left * (length[i] * (1 + 1e-9)) + 1e-3 + 1e-15 * (np.abs(so_far) + abs(least)) >= least)
                 if last or len(maybe) <= share * n:
                     out[i] = self._rank(maybe, me[i], exact, asked[i], k)
                 else:
@@ -161,15 +166,15 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def _waves(blocks: int, first: int) -> list[tuple[int, int]]:
-    """Ranges of block numbers: first so many, then as many as all before, and so on."""
+def waves(blocks: int, first: int) -> list[tuple[int, int]]:
+    """Ranges of block numbers: first so many, then GROWTH times as many as all before, and so on."""
     ends = [0, min(first, blocks)]
     while ends[-1] < blocks:
-        ends.append(min(2 * ends[-1], blocks))
+        ends.append(min((1 + GROWTH) * ends[-1], blocks))
     return list(zip(ends, ends[1:], strict=False))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", row_block: int = ROW_BLOCK, round_bytes: int = ROUND_BYTES, first_wave: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", row_block: int = ROW_BLOCK, query_unit: int = QUERY_UNIT, first_wave: int | None = None) -> DataFrame:
     """query_id, rank from 1, id_col and score: the k best other rows of each query row (all, if fewer).
 
     is_query is a condition on id_col. Rows with a null id, a null vector or a null or non-finite
@@ -178,19 +183,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     Equal scores go to the smaller id. Other columns are ignored. Scores that may not fit 64 bits
     are an error.
 
-    Each row goes once to a block of bounded size, whose index is built and written once. Queries are
-    sent to the blocks' tasks in rounds of round_bytes. Blocks answer in waves, each as large as all
-    before: what the k best rows so far score is a floor for the next wave, so that a query gets
-    about k rows from each wave instead of k rows from each block.
+    Each row goes once to a block of bounded size, whose index is built and written once. Blocks answer
+    in waves, each four times as large as all before, and a wave is one join of blocks and queries: what
+    the k best rows so far score is a query's floor in the next wave, so that a query gets about k rows
+    from each wave instead of k rows from each block. Queries, floors and answers are tables.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     rows = stored(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    flag = F.expr("true") if is_query is None else is_query
-    asked = rows.withColumnRenamed("id", id_col).where(flag).withColumnRenamed(id_col, "id")
-    n = rows.count()
-    told = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
-    blocks, rounds = max(1, math.ceil(n / row_block)), max(1, math.ceil(told.n * 8 * (told.width or 1) / round_bytes))
+    blocks = max(1, math.ceil(rows.count() / row_block))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for x in batches if x.num_rows]
@@ -200,19 +201,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([blob], pa.binary())], names=["block", "blob"])
 
     index = stored(rows.repartition(blocks).mapInArrow(build, "block int, blob binary"), "index")
-    waves = _waves(blocks, first_wave or spark.sparkContext.defaultParallelism)
-    found: list[DataFrame] = []
-    for r in range(rounds if told.n else 0):
-        sent = asked.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).toArrow()  # about round_bytes
-        if sent.num_rows:
-            found += _answers(index, sent, waves, k)
-    discard(rows, index)
-    if not found:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
-    parts = found[0]
-    for x in found[1:]:
-        parts = parts.unionByName(x)
-    return _best(parts, k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    asked = stored(rows.withColumnRenamed("id", id_col).where(is_query).select(F.col(id_col).alias("id"), "v"), "queries")
+    no_floor = (F.lit(LEAST).cast("long").alias("floor"), F.lit(0).cast("long").alias("floor_id"))
+    best = None
+    for lo, hi in waves(blocks, first_wave or spark.sparkContext.defaultParallelism):
+        if best is None:
+            ready = asked.select("id", "v", *no_floor)
+        else:
+            full = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), "score", F.col("id").alias("at"))
+            ready = asked.join(full, "id", "left").select("id", "v", F.coalesce("score", no_floor[0]).alias("floor"), F.coalesce("at", no_floor[1]).alias("floor_id"))
+        found, before = _answers(index, ready, lo, hi, k, query_unit), best
+        best = stored(_best(found if before is None else found.unionByName(before.drop("rank")), k), "answers")
+        if before is not None:
+            discard(before)
+    discard(rows, index, asked)
+    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 def _best(parts: DataFrame, k: int) -> DataFrame:
@@ -220,38 +223,27 @@ def _best(parts: DataFrame, k: int) -> DataFrame:
     return parts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _answers(index: DataFrame, sent: pa.Table, waves: list[tuple[int, int]], k: int) -> list[DataFrame]:
-    """(query_id, id, score) of one round's queries, a written table for each wave."""
-    spark = index.sparkSession
-    own, query = sent["id"].to_numpy(), matrix(sent["v"])
-    order = np.argsort(own)
-    own, query = own[order], query[order]
-    floors, floor_ids, found = np.full(len(own), -np.inf), np.zeros(len(own), np.int64), []
-    for w, (lo, hi) in enumerate(waves):
-        shared = spark.sparkContext.broadcast((own, query, floors if w else None, floor_ids))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, query, floors, floor_ids = shared.value
-            for batch in batches:
-                for blob in batch.column(0):
-                    block = Index.load(blob.as_py())
-                    for a in range(0, len(own), QUERY_BATCH):
-                        some = slice(a, a + QUERY_BATCH)
-                        got = block.search(own[some], query[some], k, floors=None if floors is None else floors[some], floor_ids=floor_ids[some])
-                        ids, score = (np.concatenate(x) for x in zip(*got, strict=True))
-                        asker = np.repeat(own[some], [len(x) for x, _ in got])
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (asker, ids, score)], names=["query_id", "id", "score"])
-                tidy()
-
-        wave = index.where((F.col("block") >= lo) & (F.col("block") < hi)).select("blob")
-        found.append(stored(wave.mapInArrow(search, "query_id long, id long, score long"), "answers"))
-        if hi < waves[-1][1]:
-            so_far = found[0]
-            for x in found[1:]:
-                so_far = so_far.unionByName(x)
-            known = _best(so_far, k).where(F.col("rank") == k).select("query_id", "id", "score").toArrow()  # one row a query
-            at = np.searchsorted(own, known["query_id"].to_numpy())
-            floors = np.full(len(own), -np.inf)
-            floors[at], floor_ids[at] = known["score"].to_numpy(), known["id"].to_numpy()
-        shared.unpersist()
-    return found
+def _answers(index: DataFrame, asked: DataFrame, lo: int, hi: int, k: int, query_unit: int) -> DataFrame:
+    """(query_id, id, score): what the blocks from lo to hi answer to asked (id, v, floor, floor_id). A block's
+    number is the key of the join; each batch of queries goes to each block once."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for rows in batches:
+            for block, blob, query in zip(*(rows.column(c) for c in ("block", "blob", "asked")), strict=True):
+                if block != last:
+                    last, held = block, Index.load(blob.as_py())
+                some = pa.ipc.open_stream(query.as_buffer()).read_all().sort_by("id")
+                own, floors, floor_ids = (some[c].to_numpy() for c in ("id", "floor", "floor_id"))
+                vectors = matrix(some["v"])
+                for a in range(0, len(own), QUERY_BATCH):
+                    at = slice(a, a + QUERY_BATCH)
+                    got = held.search(own[at], vectors[at], k, floors=floors[at], floor_ids=floor_ids[at])
+                    ids, score = (np.concatenate(x) for x in zip(*got, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(own[at], [len(x) for x, _ in got]), ids, score)], names=["query_id", "id", "score"])
+        tidy()
+
+    sent = batched(asked, query_unit, "asked").withColumn("block", F.explode(F.sequence(F.lit(lo).cast("int"), F.lit(hi - 1).cast("int"))))
+    wave = index.where((F.col("block") >= lo) & (F.col("block") < hi))
+    spread = sent.repartition(max(1, hi - lo), "block").join(wave.repartition(max(1, hi - lo), "block"), "block")
+    return spread.select("block", "blob", "asked").mapInArrow(search, "query_id long, id long, score long")

@@ -108,7 +108,7 @@ def test_top_k(spark, n, spread):
     odd = spark.createDataFrame([(9000, None, ""), (9020, [None] * 16, ""), (9040, [float("nan")] * 16, ""), (9060, [float("inf")] * 16, ""), (None, [0.5] * 16, "")], frame.schema)
     x = np.floor(64 * v.astype(np.float64)).astype(np.int64)
     want = brute_top(np.arange(n), x, np.arange(n) % 20 == 0, 20)
-    for sizes in ({"row_block": 100}, {"row_block": 30, "round_bytes": 1000, "first_wave": 1}):
+    for sizes in ({"row_block": 100}, {"row_block": 30, "query_unit": 7, "first_wave": 1}):
         got = topk.top_k(frame.unionByName(odd), F.col("vec_id") % 20 == 0, **sizes)
         assert sorted(tuple(r) for r in got.collect()) == want
 
@@ -134,8 +134,20 @@ def test_scores_beyond_64_bits_are_an_error():
     assert [s.tolist() for _, s in topk.Index(np.arange(2), x).search(np.arange(2), x, 1)] == [[int(x[0] @ x[1])]] * 2
 
 
-def test_waves_of_blocks_double():
-    assert topk._waves(1, 8) == [(0, 1)] and topk._waves(20, 3) == [(0, 3), (3, 6), (6, 12), (12, 20)]
+@pytest.mark.parametrize("row_block", [1, 2, 3, 7])
+def test_scores_that_doubles_do_not_hold(spark, row_block):
+    """Scores between 2**53 and 2**63 that differ by one, in blocks whose floors come from others."""
+    big = 1 << 30
+    vectors = [(1000, [big, 1]), (1, [big, 0]), (2, [big, 1]), (3, [big, 1]), (4, [big - 1, 9]), (5, [big, 3]), (6, [-big, 1]), (7, [big, 2])]
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in vectors], "vec_id long, embedding array<double>")
+    ids, x = np.array([i for i, _ in vectors]), np.array([v for _, v in vectors])
+    for k in (1, 2, 4):
+        got = topk.top_k(frame, F.col("vec_id") == 1000, k=k, scale=1, row_block=row_block, first_wave=1)
+        assert sorted(tuple(r) for r in got.collect()) == brute_top(ids, x, ids == 1000, k)
+
+
+def test_waves_of_blocks_grow():
+    assert topk.waves(1, 8) == [(0, 1)] and topk.waves(20, 3) == [(0, 3), (3, 15), (15, 20)]
 
 
 def test_segments_rule_rows_out_only_with_proof():
@@ -150,7 +162,7 @@ def test_segments_rule_rows_out_only_with_proof():
         read.append(index.reads.sum())
     assert read[0] > read[1] > read[2] and index.reads.max() < index.levels  # some postings are never read
     best = [(x @ x[i])[want[i][9]] for i in range(8)]
-    for i, (ids, _) in enumerate(index.search(np.arange(8), x[:8], 20, floors=np.array(best, float), floor_ids=np.array([w[9] for w in want]))):
+    for i, (ids, _) in enumerate(index.search(np.arange(8), x[:8], 20, floors=np.array(best, np.int64), floor_ids=np.array([w[9] for w in want]))):
         assert ids.tolist() == want[i][:9]
 
 
@@ -217,7 +229,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-CLASHES = ("score", "lang_pred", "__text", "epoch", "_key", "key", "leaf", "doc", "text_key", "kept", "block", "rows", "id", "k", "last", "c0", "hash", "component_id", "n", "first", "m1")
+CLASHES = ("score", "lang_pred", "__text", "epoch", "_key", "key", "leaf", "doc", "text_key", "kept", "block", "rows", "id", "k", "last", "c0", "hash", "component_id", "n", "first", "m1", "a.b", "a`b", "doc.text", "with space", "crawl-date")
+
+
+def with_clashes(df, value):
+    """Further columns of the operators' own names, of names that need quotes, and of nested ones that do."""
+    for c in CLASHES:
+        df = df.withColumn(c, value)
+    nested = F.struct(value.alias("a b"), value.alias("crawl-date"), value.alias("x.y"), F.array(F.struct(value.alias("c`d"))).alias("list"))
+    return df.withColumn("nested", nested)
 
 
 def test_mix_of_clashing_columns(spark, docs):
@@ -286,8 +306,7 @@ def test_pipeline_against_plain_python(spark, tmp_path, data):
     from lexaudit.llm import language
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    for c in CLASHES:
-        docs = docs.withColumn(c, F.lit("x"))
+    docs = with_clashes(docs, F.lit("x"))
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.select("doc_id", "text", "lang", "source").collect()]
     want = plain_pipeline(rows, language.fit(docs, F.lit(True)))
     assert 20 < len(want) < len(rows)
@@ -313,8 +332,7 @@ def test_pipeline_on_odd_rows_and_none(spark, rows, tmp_path):
     from .conftest import SCHEMA
 
     odd = spark.createDataFrame(rows, SCHEMA)
-    for c in CLASHES:
-        odd = odd.withColumn(c, F.lit(None).cast("double"))
+    odd = with_clashes(odd, F.lit(None).cast("double"))
     for i, frame in enumerate((odd, spark.createDataFrame([], SCHEMA))):
         frame.write.parquet(str(tmp_path / str(i) / "documents.parquet"))
         assert corpus_pipeline.run(spark, str(tmp_path / str(i))).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
