@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexaudit.llm import bpe, language, mixing, neardup, queries, substrings
-from lexaudit.llm.base import discard, scope, sent_if_small, stored, table
+from lexaudit.llm.base import discard, quoted, scope, sent_if_small, stored, table
 
 #: Below this probability of its most likely language, or without any letter, a document goes.
 LEAST_CONFIDENCE = 0.5
@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with scope(spark) as s:
         gone = neardup.groups(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("not kept").select("doc_id").distinct()
         gone = s.keep(stored(gone, "gone"))
-    return docs.join(sent_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sent_if_small(gone), "doc_id", "left_anti").select(*quoted(*docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         cut = substrings.repeats(docs).where("n_removed > 0").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "kept")
         cut = s.keep(stored(cut, "cut"))
     changed = sent_if_small(cut.select("doc_id", "text_key"))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.struct(*docs.columns).alias("doc"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.struct(*quoted(*docs.columns)).alias("doc"))
     same = rows.join(changed, ["doc_id", "text_key"], "left_anti").select("doc")
     doc = F.col("doc").withField("text", F.col("kept"))
     if "n_chars" in docs.columns:
