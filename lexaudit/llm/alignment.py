@@ -2,15 +2,19 @@
 
 Both tokenizers write the same bytes. The transducer reads their tokens in turn and holds the bytes by
 which one side is ahead, the residual: the side behind reads next, and an empty residual closes a group.
-A transition depends on the residual and the next token alone, so it is worked out once and remembered.
+A transition depends on the residual and the next token alone, so it is worked out once and remembered;
+so are the groups of a piece of text between single spaces, where both tokenizers always cut.
 A group's last tokens end together and are linked. Links are counted by block of text first; each
 block then gets back the corpus-wide counts of the pairs that it holds.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +30,10 @@ from .bpe import byte_characters
 
 #: UTF-8 bytes of text whose links are counted together, and those that are encoded at once.
 BLOCK_BYTES, ENCODE_BYTES = 16 << 20, 1 << 18
-#: Transitions that a task remembers; beyond, it forgets all and begins anew.
-MOST_REMEMBERED = 2_000_000
+#: Transitions and pieces that a task remembers; beyond, it forgets all and begins anew. Longer pieces are not remembered.
+MOST_REMEMBERED, MOST_PIECES, LONGEST_PIECE = 2_000_000, 150_000, 40
+#: A space between two characters that are not white begins a token on both sides.
+CUT = re.compile(r"(?<=\S) (?=\S)")
 _TOKEN_BITS = 20
 _B_BITS = 32
 
@@ -115,7 +121,13 @@ class Pair:
             bytes_a[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
         number = self.b.get_piece_size()
         bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(number)]
+        if any(" " in x.decode("utf-8", "replace").lstrip(" ") for x in bytes_b):
+            raise ValueError("a piece with a space inside: texts cannot be cut at spaces")
         self.transducer = Transducer(bytes_a, bytes_b)
+        #: A byte-level vocabulary of all bytes, without a normaliser, writes any text as it is.
+        self.exact = self.a.normalizer is None and set(vocabulary) >= set(byte)
+        self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
         self.decimal = [str(i) for i in range(max(len(bytes_a), number))]
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
@@ -131,10 +143,34 @@ class Pair:
             sides_b = [self.b.encode(t) for t in some]
             for text, one, b in zip(some, self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False), sides_b, strict=True):
                 a, found = one.ids, None
-                if text and b"".join([self.transducer.bytes_a[i] for i in a]) == b" " + text.encode():
+                if text and (self.exact or b"".join([self.transducer.bytes_a[i] for i in a]) == b" " + text.encode()):
                     found = self.transducer.ends(a, b)
                 yield (a, b, *found) if found else ([], [], [], [])
 
+    def told(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, bytes]]:
+        """For each text: tokens of both sides, groups, the group list, and the linked pairs as int64; by pieces."""
+        cut = [CUT.split(t) if t else [] for t in texts]
+        if len(self.known) > MOST_PIECES:  # pieces that are not met again are forgotten
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        unmet = {p for pieces in cut for p in pieces} - known.keys()
+        again = unmet & older.keys()
+        known.update({p: older[p] for p in again})
+        new = list(unmet - again)
+        for piece, (a, b, ends_a, ends_b) in zip(new, self.align(new), strict=True):
+            links = array("q", [a[i - 1] << _B_BITS | b[j - 1] for i, j in zip(ends_a, ends_b, strict=True)]).tobytes()
+            known[piece] = (len(a), len(b), len(ends_a), self.written(a, b, ends_a, ends_b), links) if ends_a else None
+        for pieces in cut:
+            found = [known[p] for p in pieces]
+            if found and None not in found:
+                n_a, n_b, n, written, links = zip(*found, strict=True)
+                yield sum(n_a), sum(n_b), sum(n), ";".join(written), b"".join(links)
+            else:
+                yield 0, 0, 0, "", b""
+        for piece in new:
+            if len(piece) > LONGEST_PIECE:
+                del known[piece]
+
     def written(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> str:
         """a1,a2|b1;a3|b2,b3"""
         decimal, out, i, j = self.decimal, [], 0, 0
@@ -199,16 +235,15 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str
             one = [pa.array([task << 32 | number], pa.int64()), pa.array([packed(table, 3)], pa.binary()), pa.array([distinct], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(one, names=["block", "rows", "pairs", "counts"])
 
+        gc.disable()  # what is remembered has no cycles, and searching it for some takes a sixth of the time
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 some = batch.slice(lo, 64)
                 ids.append(some.column(0))
                 texts = some.column(1).to_pylist()
-                for text, (a, b, ends_a, ends_b) in zip(texts, pair.align(texts), strict=True):
-                    digest = hashlib.sha256(pair.written(a, b, ends_a, ends_b).encode()).hexdigest() if ends_a else ""
-                    told.append((len(a), len(b), len(ends_a), digest))
-                    last = np.asarray(ends_a, np.int64) - 1, np.asarray(ends_b, np.int64) - 1
-                    links.append(np.asarray(a, np.int64)[last[0]] << _B_BITS | np.asarray(b, np.int64)[last[1]])
+                for text, (n_a, n_b, n, written, linked) in zip(texts, pair.told(texts), strict=True):
+                    told.append((n_a, n_b, n, hashlib.sha256(written.encode()).hexdigest() if n else ""))
+                    links.append(np.frombuffer(linked, np.int64))
                     size += len(text or "")
                 if size >= block_bytes:
                     yield close()
@@ -216,6 +251,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str
                     ids, told, links, size = [], [], [], 0
         if told:
             yield close()
+        gc.enable()
         del ids, told, links
         tidy()
 
