@@ -16,7 +16,7 @@ from ..functions import cleaning, entities, events, pii, sentiment, tokens, tran
 from ..functions import lexicons as L
 from ..operators import classify, duplicates, keywords, scratch, signal, summaries, timeline, topics
 from ..sources import posts as sources
-from . import analysis, chinese, phrases
+from . import analysis, chinese, phrases, words  # noqa: F401 - words registers its own queries
 from .registry import QUERIES, SQL, query, spread, table  # noqa: F401
 
 ENGLISH_STOPWORDS = ("the", "of", "and", "to", "in", "is", "a", "that", "for", "on", "with", "as")
