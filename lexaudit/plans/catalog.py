@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning, entities, events, pii, sentiment, tokens, transcripts
 from ..functions import lexicons as L
-from ..operators import classify, duplicates, keywords, scratch, signal, summaries, timeline, topics
+from ..operators import classify, duplicates, gibbs, keywords, scratch, signal, summaries, timeline, topics
 from ..sources import posts as sources
 from . import analysis, chinese, phrases, words  # noqa: F401 - words registers its own queries
 from .registry import QUERIES, SQL, query, spread, table  # noqa: F401
@@ -394,11 +394,21 @@ def kmeans_keywords(spark, sf_dir):
     return topics.cluster_keywords(tokenised(spark, sf_dir), clusters)
 
 
+def content(spark, sf_dir) -> DataFrame:
+    return tokenised(spark, sf_dir).select("doc_id", tokens.keep_content(F.col("tokens"), ENGLISH_STOPWORDS).alias("tokens"))
+
+
 @query()
 def lda_topics(spark, sf_dir):
-    rows = tokenised(spark, sf_dir).select("doc_id", tokens.keep_content(F.col("tokens"), ENGLISH_STOPWORDS).alias("tokens"))
-    _, described = topics.lda_large(rows)
-    return described.select("topic_id", F.explode("words").alias("word"))
+    """Ten topics by 100 sweeps over all documents: fifteen words of each, with their probability."""
+    return gibbs.GibbsModel(content(spark, sf_dir), sweeps=100).describe().select("topic_id", F.posexplode(F.arrays_zip("words", "scores")).alias("rank", "x")).select("topic_id", "rank", F.col("x.words").alias("word"), F.col("x.scores").alias("score"))
+
+
+@query()
+def lda_fold_in(spark, sf_dir):
+    """Topics from the documents of even ids; the shares of those of odd ids under them."""
+    rows = content(spark, sf_dir)
+    return gibbs.GibbsModel(rows.where("doc_id % 2 = 0"), sweeps=50).transform(rows.where("doc_id % 2 = 1"))
 
 
 # ---------------------------------------------------------------- personal data
