@@ -75,7 +75,10 @@ def centroid(wave: np.ndarray, rate: int) -> np.ndarray:
 
 
 def entropy(wave: np.ndarray, rate: int) -> np.ndarray:
-    _, power = spectrum(wave, rate)
+    return entropy_of(spectrum(wave, rate)[1])
+
+
+def entropy_of(power: np.ndarray) -> np.ndarray:
     if not power.size:
         return np.zeros(0)
     power = np.maximum(power, 1e-10)

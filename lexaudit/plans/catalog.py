@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, entities, events, pii, sentiment, tokens, transcripts
 from ..functions import lexicons as L
 from ..operators import classify, duplicates, gibbs, keywords, scratch, signal, summaries, timeline, topics
+from ..operators import waves as pieced
 from ..sources import posts as sources
 from . import analysis, chinese, phrases, words  # noqa: F401 - words registers its own queries
 from .registry import QUERIES, SQL, query, spread, table  # noqa: F401
@@ -549,15 +550,42 @@ def wave_time_features(spark, sf_dir):
     return rows.groupBy("media_id", "feature").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query()
+def wave_segments(spark, sf_dir) -> DataFrame:
+    """The same waves as segments: no task holds all events of a user."""
+    rows = pieced.numbered(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id", "value"])
+    events = rows.select(F.col("user_id").cast("string").alias("media_id"), F.lit(16_000).alias("sr"), F.col("_rows").alias("total"), F.col("_row").alias("s"), ((F.col("value") - 50) / 100).alias("value"))
+    again = pieced.segments(events).withColumn("time", F.explode(F.sequence(F.lit(0), F.lit(119))))
+    return again.select("media_id", "sr", (F.col("total") * 120).alias("total"), (F.col("s") + F.col("time") * F.col("total")).alias("s"), "samples")
+
+
+WAVES = "SELECT CAST(user_id AS VARCHAR) AS media_id, flatten(list_transform(range(120), lambda i: x)) AS x FROM (SELECT user_id, list(CAST(CAST((value - 50) / 100 AS FLOAT) AS DOUBLE) ORDER BY ts, event_id, value) AS x FROM events GROUP BY user_id)"
+#: (media_id, n, i, zcr, rms) and (media_id, n, i, centroid, entropy) of every frame: the spectra by direct sums over a table of cosines.
+FRAMES = f"""w AS MATERIALIZED (SELECT media_id, x, len(x) AS n FROM ({WAVES})), short AS (SELECT media_id, n, i, list_slice(x, i * 128 + 1, i * 128 + 256) AS y FROM (SELECT *, unnest(range(0, ((n - 256 + 127) // 128))) AS i FROM w WHERE n > 256)),
+times AS MATERIALIZED (SELECT media_id, n, i, list_sum(list_transform(range(1, 256), lambda j: abs(sign(y[j + 1]) - sign(y[j])))) / 255 / 2 AS zcr, sqrt(list_avg(list_transform(y, lambda v: v * v))) AS rms FROM short),
+win AS MATERIALIZED (SELECT list_transform(range(1024), lambda j: CASE WHEN j < 128 THEN 0.5 * (1 + cos(pi() * (j / 128.0 - 1))) WHEN 1024 - j < 128 THEN 0.5 * (1 + cos(pi() * ((1024 - j) / 128.0 - 1))) ELSE 1.0 END) AS h),
+long AS MATERIALIZED (SELECT media_id, n, i, list_transform(range(1, 1025), lambda j: x[i * 512 + j] * h[j]) AS y FROM (SELECT *, unnest(range(0, (n - 1024) // 512 + 1)) AS i FROM w WHERE n >= 1024), win),
+wave AS MATERIALIZED (SELECT f, list_transform(range(1024), lambda j: cos(2 * pi() * ((f * j) % 1024) / 1024)) AS c, list_transform(range(1024), lambda j: sin(2 * pi() * ((f * j) % 1024) / 1024)) AS s FROM range(513) t(f)),
+power AS (SELECT media_id, n, i, f * 16000.0 / 1024 AS hz, (list_dot_product(y, c) ** 2 + list_dot_product(y, s) ** 2) * CASE WHEN f IN (0, 512) THEN 1 ELSE 2 END / (16000 * list_dot_product(h, h)) AS p FROM long, wave, win),
+spectra AS MATERIALIZED (SELECT media_id, n, i, sum(hz * p) / greatest(sum(p), 1e-10) AS centroid, -(sum(greatest(p, 1e-10) * log2(greatest(p, 1e-10))) / sum(greatest(p, 1e-10)) - log2(sum(greatest(p, 1e-10)))) AS entropy FROM power GROUP BY ALL)"""
+
+
+@query(f"""WITH {FRAMES}, told AS (SELECT media_id, unnest([{{'feature': 'zcr', 'value': zcr}}, {{'feature': 'rms_energy', 'value': rms}}]) AS t FROM times UNION ALL SELECT media_id, unnest([{{'feature': 'spectral_centroid', 'value': centroid}}, {{'feature': 'spectral_entropy', 'value': entropy}}]) FROM spectra)
+SELECT media_id, t.feature AS feature, count(*) AS frames, round(avg(t.value), 4) AS mean FROM told GROUP BY ALL""")
 def wave_features(spark, sf_dir):
-    return signal.features(waves(spark, sf_dir)).groupBy("media_id", "feature").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("value"), 6).alias("mean"))
+    return pieced.features(wave_segments(spark, sf_dir)).groupBy("media_id", "feature").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("value"), 4).alias("mean"))
 
 
-@query()
+def _stretches(track: str, value: str, hop: int, length: int, level: float, label: str, strength: str) -> str:
+    width = int(0.5 * 16000 / hop)
+    return f"""SELECT media_id, '{label}' AS label, round((min(i) * {hop} + {length // 2} + {(width - 1) * hop / 2}) / 16000, 4) AS start, round((least(max(i) + 1, any_value(most)) * {hop} + {length // 2} + {(width - 1) * hop / 2}) / 16000, 4) AS "end", round(least({strength.format('avg(v)')}, 1.0), 4) AS confidence
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY media_id ORDER BY i) AS island FROM (SELECT media_id, n, i, max(i) OVER (PARTITION BY media_id) - {width - 1} AS most, avg({value}) OVER ahead AS v, count(*) OVER ahead AS k FROM {track} WINDOW ahead AS (PARTITION BY media_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {width - 1} FOLLOWING)) WHERE k = {width} AND v > {level} AND n > 512)
+    GROUP BY media_id, island HAVING (least(max(i) + 1, any_value(most)) - min(i)) * {hop} / 16000.0 >= {signal.SHORTEST}"""
+
+
+@query(f"WITH {FRAMES} {_stretches('times', 'zcr', 128, 512, signal.NOISE_LEVEL, L.NOISE_LABEL, '{} / 0.6')} UNION ALL {_stretches('spectra', 'entropy', 512, 1024, signal.ENTROPY_LEVEL, L.SYNTHETIC_LABEL, '({} - 8.5) / 4.25')}")
 def wave_anomalies(spark, sf_dir):
-    found = signal.find_anomalies(waves(spark, sf_dir))
-    return found.select("media_id", "label", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.round("confidence", 6).alias("confidence"))
+    found = pieced.anomalies(wave_segments(spark, sf_dir), 16_000)
+    return found.select("media_id", "label", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), F.round("confidence", 4).alias("confidence"))
 
 
 # ---------------------------------------------------------------- whole analyses
