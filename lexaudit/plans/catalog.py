@@ -77,12 +77,12 @@ def posts_jsonl(spark, sf_dir):
     return sources.read_posts(spark, path).select("doc_id", "topic", F.md5("text").alias("digest"))
 
 
-@query("SELECT DISTINCT trim(line) AS word FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE len(text) < 200) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')")
+@query("SELECT DISTINCT trim(line) AS word FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')")
 def word_list(spark, sf_dir):
-    """The lines of short documents as a word list."""
+    """The lines of all documents as a word list."""
     path = scratch.place(spark, "words")
-    sources.write_text(table(spark, sf_dir, "documents").where("length(text) < 200"), "text", path)
-    return spark.createDataFrame([(w,) for w in sources.read_words(spark, path)], "word string")
+    sources.write_text(table(spark, sf_dir, "documents"), "text", path)
+    return sources.word_lines(spark, path)
 
 
 # ---------------------------------------------------------------- duplicates
@@ -332,11 +332,11 @@ def tfidf_unit_vectors(spark, sf_dir):
 
 @query()
 def logistic_predict(spark, sf_dir):
-    """500 epochs over 5,000 words."""
+    """100 epochs over 5,000 words; an epoch is a pass over all rows (the operator's default is 500 epochs)."""
     rows = labelled(spark, sf_dir)
     vocabulary = classify.fit_vocabulary(rows)
     vectors = classify.tfidf_vectors(rows, vocabulary, rows.count())
-    model = classify.fit_logistic(vectors.select("doc_id", "idx", "value"), rows.select("doc_id", "label"), 5000)
+    model = classify.fit_logistic(vectors.select("doc_id", "idx", "value"), rows.select("doc_id", "label"), 5000, epochs=100)
     return classify.predict(classify.logistic_scores(vectors, rows, model), 9)
 
 

@@ -6,6 +6,7 @@ everything else is its own.
 
 from __future__ import annotations
 
+import html
 import re
 
 from pyspark.sql import DataFrame
@@ -104,6 +105,31 @@ def clean_steps(spark, sf_dir):
     return rows.withColumn("is_ad", cleaning.is_ad(F.col("text"))).drop("text")
 
 
+#: Entities of every form: named with and without a semicolon, names that go on, numbers, and what is none.
+ENTITIES = ("&eacute;", "&copy", "&notit;", "&notin;", "&CounterClockwiseContourIntegral;", "&NotEqualTilde;", "&#233;", "&#x4E2D;", "&#X1f600", "&#0;", "&#128;", "&#xD800;", "&#99999999999;", "&#1114111;", "&#11;", "&amp;lt;", "&nosuch;", "&", "&#;", "&#x;", "&ampamp;", "&Aacute&aacute;", "")
+MARKUP = (phrases.Pick("e1", ENTITIES), " ", phrases.Key(), phrases.Pick("e2", ENTITIES), "中", phrases.Pick("e3", ENTITIES))
+PLAIN = (phrases.Pick("e1", tuple(map(html.unescape, ENTITIES))), " ", phrases.Key(), phrases.Pick("e2", tuple(map(html.unescape, ENTITIES))), "中", phrases.Pick("e3", tuple(map(html.unescape, ENTITIES))))
+
+
+@query(f"SELECT o_orderkey, to_base64(encode(text)) AS plain FROM ({texts_sql(PLAIN)})")
+def decode_entities(spark, sf_dir):
+    """Entities of all forms; the result's bytes, as some are no printable characters."""
+    return texts(spark, sf_dir, MARKUP).select("o_orderkey", F.base64(F.encode(cleaning.unescape_exact(F.col("text")), "UTF-8")).alias("plain"))
+
+
+#: Words that the table of characters alone would write wrongly, and their simplified form.
+PHRASES = {"乾坤": "乾坤", "乾隆": "乾隆", "頭髮": "头发", "發展": "发展", "皇后": "皇后", "以後": "以后", "瞭望": "瞭望", "瞭解": "了解", "藉口": "借口", "狼藉": "狼藉"}
+MIXED = "乾後發髮頭瞭藉", "干后发发头了借"
+WRITTEN = (phrases.Pick("q1", tuple(PHRASES)), phrases.Pick("q2", ("，", "、")), phrases.Key(), phrases.Pick("q3", ("乾糧", "頭", "發", "")), phrases.Pick("q4", tuple(PHRASES)))
+SIMPLER = (phrases.Pick("q1", tuple(PHRASES.values())), phrases.Pick("q2", ("，", "、")), phrases.Key(), phrases.Pick("q3", ("干糧", "头", "发", "")), phrases.Pick("q4", tuple(PHRASES.values())))
+
+
+@query(f"SELECT o_orderkey, s.text AS by_phrase, translate(t.text, '{MIXED[0]}', '{MIXED[1]}') AS by_character FROM ({texts_sql(SIMPLER)}) s JOIN ({texts_sql(WRITTEN)}) t USING (o_orderkey)")
+def simplify_phrases(spark, sf_dir):
+    """Phrase by phrase, and character by character: they differ."""
+    return texts(spark, sf_dir, WRITTEN).select("o_orderkey", cleaning.simplify_phrases(F.col("text"), PHRASES, *MIXED).alias("by_phrase"), cleaning.simplify(F.col("text"), *MIXED).alias("by_character"))
+
+
 @query(f"SELECT o_orderkey, CASE WHEN {IS_AD} THEN '' ELSE {SIMPLE} END AS kept FROM {STEPS}")
 def ad_filter(spark, sf_dir):
     return posts(spark, sf_dir).select("o_orderkey", cleaning.clean_post(F.col("text")).alias("kept"))

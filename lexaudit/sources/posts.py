@@ -33,10 +33,34 @@ def first_path(spark: SparkSession, *paths: str) -> str | None:
     return None
 
 
+def word_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(word): the distinct lines of a word list of any size, without blank ones and those that begin with '#'."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.trim("value").alias("word"))
+    return lines.where((F.col("word") != "") & ~F.col("word").startswith("#")).distinct()
+
+
+#: Words of a list, or phrases of a table, that are read into the driver; more are an error.
+MOST_WORDS = 1_000_000
+
+
+def _bounded(rows: DataFrame) -> list:
+    found = rows.limit(MOST_WORDS + 1).collect()
+    if len(found) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} lines: join word_lines() instead")
+    return found
+
+
 def read_words(spark: SparkSession, path: str) -> list[str]:
-    """The distinct lines of a word list, without blank ones and those that begin with '#': a list for the driver."""
-    lines = spark.read.text(path).select(F.trim("value").alias("w")).where((F.col("w") != "") & ~F.col("w").startswith("#"))
-    return sorted(r[0] for r in lines.distinct().collect())
+    """word_lines() as a list, for operators that send it to all tasks."""
+    return sorted(r.word for r in _bounded(word_lines(spark, path)))
+
+
+def read_phrases(spark: SparkSession, path: str) -> dict[str, str]:
+    """Lines of a phrase, a tab and its other form; of several forms parted by spaces the first counts, and of lines
+    with the same phrase the first in alphabetical order. Other lines are left out."""
+    cut = F.split("word", "\t")
+    rows = word_lines(spark, path).where(F.size(cut) == 2).select(F.trim(cut[0]).alias("k"), F.split(F.trim(cut[1]), " ")[0].alias("v")).where("k <> '' and v <> ''")
+    return {r.k: r.v for r in _bounded(rows.groupBy("k").agg(F.min("v").alias("v")))}
 
 
 def read_config(path: str) -> dict:

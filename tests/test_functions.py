@@ -123,3 +123,26 @@ def test_gate_and_summary(spark):
     changed = one(spark, "材料", lambda t: transcripts.corrected(t, F.lit(0.6), 0.75))
     assert changed.text == "才料。" and len(changed.corrections) == 1
     assert one(spark, "手机噪声", transcripts.security_summary) == "检测到敏感信息暴露风险；音频存在异常特征"
+
+
+def test_every_entity_is_decoded_in_the_jvm(spark):
+    """All named forms, alone and in a sentence; numbers at every limit."""
+    import html.entities
+
+    texts = [f"a &{n} b" for n in html.entities.html5] + [f"&{n}x;" for n in list(html.entities.html5)[::7]]
+    numbers = [*range(0, 0x120), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFFFE, 0xFFFF, 0x10000, 0x1FFFE, 0x10FFFD, 0x10FFFF, 0x110000, 10**7, 10**8, 10**25]
+    texts += [f"&#{n};" for n in numbers] + [f"x&#x{n:X}y" for n in numbers] + [f"&#000{n}z" for n in numbers]
+    texts += ["&#;", "&#x;", "&", "&&amp;&", "&amp;amp;", "no entity", "", "&lt&gt", "&ampere;"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", cleaning.unescape_exact(F.col("t")).alias("t"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r.t for r in rows.orderBy("i").collect()] == [html.unescape(t) for t in texts]
+
+
+def test_phrases_go_before_characters(spark, tmp_path):
+    from lexaudit.sources import posts
+
+    (tmp_path / "p.txt").write_text("乾坤\t乾坤\n頭髮\t头发 頭发\n#x\ty\nbad line\n\n頭髮油\t发油\n", encoding="utf-8")
+    known = posts.read_phrases(spark, str(tmp_path / "p.txt"))
+    assert known == {"乾坤": "乾坤", "頭髮": "头发", "頭髮油": "发油"}
+    rows = spark.createDataFrame([(0, "乾乾坤頭髮頭髮油a"), (1, ""), (2, None)], "i int, t string")
+    assert [r.t for r in rows.select("i", cleaning.simplify_phrases(F.col("t"), known, "乾頭", "干头").alias("t")).orderBy("i").collect()] == ["干乾坤头发发油a", "", None]

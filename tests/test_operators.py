@@ -241,13 +241,13 @@ def test_topic_discoverer(spark, tmp_path):
 
 
 def test_logistic_steps_against_plain_gradients(spark):
-    """One task, all tasks, and a plain loop take the same steps."""
+    """All tasks together take the steps of a plain loop."""
     r = np.random.default_rng(1)
     x = np.round(r.normal(size=(20, 6)) * (r.random((20, 6)) < 0.5), 3)
     labels = [["p", "q", "r"][i % 3] for i in range(20)]
     vectors = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(20) for j in range(6) if x[i, j]], "doc_id long, idx int, value double")
     frame = spark.createDataFrame(list(enumerate(labels)), "doc_id long, label string")
-    models = [classify.fit_logistic(vectors, frame, 6, epochs=12, one_task=n) for n in (10**6, 0)]
+    models = [classify.fit_logistic(vectors.repartition(n), frame.repartition(n), 6, epochs=12) for n in (1, 5)]
     for name in "pqr":
         w, b, y = np.zeros(6), 0.0, np.array([v == name for v in labels], float)
         for _ in range(12):
@@ -257,6 +257,29 @@ def test_logistic_steps_against_plain_gradients(spark):
             assert m[name][0] == pytest.approx(w) and m[name][1] == pytest.approx(b)
 
 
+def test_logistic_query_against_numpy(spark, data):
+    """The query's labels from a dense matrix and plain steps."""
+    from lexaudit.plans import catalog
+
+    rows = catalog.labelled(spark, data)
+    vocabulary = classify.fit_vocabulary(rows)
+    truth = {r.doc_id: r.label for r in rows.select("doc_id", "label").collect()}
+    at = {d: i for i, d in enumerate(sorted(truth))}
+    x = np.zeros((len(at), 5000))
+    for r in classify.tfidf_vectors(rows, vocabulary, rows.count()).collect():
+        x[at[r.doc_id], r.idx] = r.value
+    scores = []
+    for name in sorted(set(truth.values())):
+        w, b, y = np.zeros(5000), 0.0, np.array([truth[d] == name for d in sorted(truth)], float)
+        for _ in range(100):
+            off = 1 / (1 + np.exp(-(x @ w + b))) - y
+            w, b = w - 0.1 * (x.T @ off + 0.01 * w) / len(at), b - 0.1 * off.sum() / len(at)
+        scores.append(1 / (1 + np.exp(-(x @ w + b))))
+    p = np.stack(scores, axis=1) / np.sum(scores, axis=0)[:, None]
+    said = [sorted(set(truth.values()))[k] for k in np.round(p, 9).argmax(axis=1)]
+    assert {r.doc_id: r.label for r in catalog.logistic_predict(spark, data).select("doc_id", "label").collect()} == dict(zip(sorted(truth), said, strict=True))
+
+
 def test_subtraction_takes_steady_noise_away():
     rng = np.random.default_rng(3)
     t = np.arange(32000) / 16000
