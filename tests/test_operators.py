@@ -211,8 +211,8 @@ def test_analysis(spark, tmp_path):
         analysis.analyse(df, ("nonsense",))
     told = {t.name: t.value for t in analysis.trace(df.where("doc_id = 1")).first().trace}
     assert told["original"].startswith("今天") and told["advertisement"] == "no" and told["final"] == " ".join(rows[1].tokens)
-    models = analysis.fit_models(df, topics_=2)
-    assert models.priors.count() == 1 and models.idf.count() == models.vocabulary.count() > 5
+    models = analysis.fit_models(df, topics_=2, sweeps=20)
+    assert models.classifier.priors.count() == 1 and models.idf.count() == models.classifier.vocabulary.count() > 5
     again = analysis.analyse(df, o=analysis.Options(keywords=2), models=models)
     told = {r.doc_id: r for r in again.collect()}
     assert told[1].label == "其他" and told[1].probabilities == {"其他": 1.0} and len(told[1].keywords) == 2
