@@ -1,8 +1,9 @@
 """Byte-level BPE over a distinct-word table.
 
-Texts are cut into blocks of a few MB. A block's distinct words go to the table, where each distinct
-word is encoded once; its ids go back to the blocks, which join them by position. Decoding joins ids
-to a piece table, which is as large as the vocabulary, and concatenates the pieces' bytes.
+Texts are cut into words once, in blocks of a few MB: a block keeps the list of its distinct words and,
+for each document, the positions of its words in that list. The lists go to the table, by buckets of
+words, where each distinct word is encoded once; they come back as ids, which the blocks join by
+position. Decoding joins ids to the piece table, an Arrow column as long as the vocabulary.
 """
 
 from __future__ import annotations
@@ -11,25 +12,29 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
-from .base import input_bytes, packed_blocks, small_batches, text_blocks, tidy, unpacked
+from .base import packed, small_batches, stored, tidy, unpacked
 
 #: UTF-8 bytes of text in a block.
 BLOCK_BYTES = 16 << 20
 #: Texts of lower code points are split by a pattern made from the library's own classes; others by the library.
 COMMON = 0x250
-#: So many frequent words, found in a sample of so many bytes, are encoded beforehand and sent to all tasks: a table of
-#: bounded size that spares the shuffle its most repeated rows. All other words go through the shuffle.
-HOT_WORDS, HOT_BYTES = 150_000, 10 << 20
+#: Buckets of words in the distinct-word table; a task holds one bucket's distinct words at a time.
+BUCKETS = 4096
 ENCODE_WORDS = 2000
+#: Words of a block that are joined with their ids at once.
+JOIN_WORDS = 200_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -53,15 +58,29 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self._refuse(json.loads(text))
         self.special = {t["content"]: t["id"] for t in json.loads(text).get("added_tokens", [])}
         found = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None
         self.pieces = self._pieces()
-        self.decimal = [b"%d" % i for i in range(len(self.pieces))]
+        self.piece_column = pa.array(self.pieces, pa.large_binary())
+        self.decimal_column = pa.array([b"%d," % i for i in range(len(self.pieces))], pa.large_binary())
         self.kind = np.uint16 if len(self.pieces) <= 1 << 16 else np.int32
         self.uncommon = re.compile(f"[^\\x00-{chr(COMMON - 1)}]")
         self.split = self._split()
 
+    @staticmethod
+    def _refuse(said: dict) -> None:
+        """Settings of a tokenizer file that are not followed here are an error."""
+        model, cut = said["model"], said.get("pre_tokenizer") or {}
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+        odd += [] if model.get("type", "BPE") == "BPE" else ["model"]
+        odd += [] if cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) else ["pre_tokenizer"]
+        odd += ["normalizer"] if said.get("normalizer") else []
+        odd += [f"added token {t['content']}" for t in said.get("added_tokens", []) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip"))]
+        if odd:
+            raise ValueError(f"only plain byte-level BPE is supported, not this file's {', '.join(odd)}")
+
     def _split(self) -> re.Pattern:
         """The split of byte-level BPE: contractions, then runs of letters, digits or symbols with a space before, then white space."""
         classes: dict[str, str] = {"letter": "", "digit": "", "symbol": "", "white": ""}
@@ -100,113 +119,188 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Joins ids to their pieces."""
-        pieces = self.pieces
-        return b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
+        return joined(self.piece_column, np.asarray(ids, dtype=np.int64), np.array([len(ids)]))[0].decode("utf-8", "replace")
 
 
-def _texts(column: pa.ChunkedArray) -> Iterator[str | None]:
-    """The strings of a column, some at a time."""
-    for lo in range(0, len(column), 256):
-        yield from column.slice(lo, 256).to_pylist()
+def joined(column: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The values of a column of bytes at ids, one after another, cut where ends say."""
+    taken = column.take(pa.array(ids))
+    _, offsets, data = taken.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[: len(ids) + 1]
+    cut = np.append(0, offsets[ends]).tolist() if len(ends) else [0]
+    view = memoryview(data) if data is not None else memoryview(b"")
+    return [bytes(view[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def _hot_words(rows: DataFrame, path: str) -> dict[str, bytes]:
-    """Ids of the words that a sample holds most often: any other choice gives the same results."""
+def _bucket(words: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The bucket of each word, by a digest that is the same everywhere."""
+    import xxhash
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, counts = load(path), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(codec.words(text or ""))
-        words = [w for w, n in counts.most_common(HOT_WORDS) if n > 1]
-        del counts
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(codec.encode_words(words), pa.binary())], names=["word", "ids"])
-        del words
-        tidy()
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in words], dtype=np.int32)
 
-    share = min(1.0, HOT_BYTES / max(input_bytes(rows), 1))
-    sample = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    found = sample.repartition(1).mapInArrow(count, "word string, ids binary").toArrow()
-    return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True))
 
+def _strings(values: list[bytes]) -> bytes:
+    """Byte strings, compressed: their lengths, then their bytes."""
+    raw = len(values).to_bytes(4, "little") + _planes(np.array([len(v) for v in values], dtype=np.int64)) + b"".join(values)
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-def code(docs: DataFrame, path: str, finish: Callable[[Codec, list[int]], tuple], schema: list[tuple[str, str, pa.DataType]], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id_col and, for each row, the columns that finish(codec, ids) returns; schema: (name, Spark type, Arrow type)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
 
-    hot = spark.sparkContext.broadcast(_hot_words(rows, path))
+def _from_strings(blob: bytes) -> tuple[np.ndarray, bytes]:
+    """Lengths and bytes."""
+    raw = pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
+    n = int.from_bytes(raw[:4], "little")
+    return _from_planes(raw[4 : 4 + 4 * n]), raw[4 + 4 * n :]
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = load(path)
-        for block, held in text_blocks(batches, 1, block_bytes):
-            words: set[str] = set()
-            for text in _texts(held["text"]):
-                words.update(codec.words(text or ""))
-            listed = list(words - hot.value.keys())
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(listed), pa.int64()), pa.array(listed, pa.string())], names=["block", "word"])
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: the high bytes of small ones compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def blocks(rows: DataFrame, path: str, block_bytes: int) -> DataFrame:
+    """(block, rows, words) of (id, text), to be stored: a block's documents as positions in its list of distinct words,
+    packed; and that list, an array of (bucket, words), by buckets, packed."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, task, number = load(path), TaskContext.get().partitionId(), 0
+        ids: list[pa.Array] = []
+        counts: list[int] = []
+        found: dict[str, int] = {}
+        parts: list[array] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            at = np.concatenate([np.frombuffer(p, np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
+            words = list(found)
+            bucket = _bucket(words)
+            place = np.empty(len(words), dtype=np.int64)  # of a word in the list by buckets
+            order = np.argsort(bucket, kind="stable")
+            place[order] = np.arange(len(words))
+            often = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(words), dtype=np.int64)
+            rank[often] = np.arange(len(words))
+            table = pa.table({"id": pa.concat_arrays(ids), "n": pa.array(counts, pa.int32())})
+            one = {"rows": packed(table, 3), "at": _planes(rank[at]), "place": _planes(place[often])}
+            blob = packed(pa.table({k: pa.array([v], pa.large_binary()) for k, v in one.items()}), 6)
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            listed = [words[i].encode() for i in order]
+            lists = [_strings(listed[a:b]) for a, b in zip(edges, [*edges[1:], len(order)], strict=True)]
+            held = pa.StructArray.from_arrays([pa.array(bucket[order][edges], pa.int32()), pa.array(lists, pa.binary())], names=["bucket", "words"])
+            cells = [pa.array([task << 24 | number], pa.int64()), pa.array([blob], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)]
+            return pa.RecordBatch.from_arrays(cells, names=["block", "rows", "words"])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                some = batch.slice(lo, 64)
+                ids.append(some.column(0))
+                for text in some.column(1).to_pylist():
+                    words = codec.words(text or "")
+                    counts.append(len(words))
+                    parts.append(array("i", [found.setdefault(w, len(found)) for w in words]))
+                    size += len(text or "")
+                if size >= block_bytes:
+                    yield close()
+                    ids, counts, found, parts, size, number = [], [], {}, [], 0, number + 1
+        if ids:
+            yield close()
+        del ids, counts, found, parts
         tidy()
 
+    return rows.mapInArrow(cut, "block long, rows binary, words array<struct<bucket:int,words:binary>>")
+
+
+def encoded_words(held: DataFrame, path: str) -> DataFrame:
+    """(block, bucket, ids): the distinct-word table. The words of a bucket meet in one task, one list after another;
+    each distinct one is encoded when it is first met, and every block's list goes back as ids."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by word: each is encoded when it is first met."""
-        codec, last, ids = load(path), None, b""
+        codec, last, known = load(path), None, {}
         for batch in batches:
-            words = batch.column(1).to_pylist()
-            new = [w for w, before in zip(words, [last, *words], strict=False) if w != before]
-            fresh = iter(codec.encode_words(new))
             out = []
-            for w in words:
-                if w != last:
-                    last, ids = w, next(fresh)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "word", "ids"])
+            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if bucket != last:
+                    last, known = bucket, {}
+                lengths, data = _from_strings(blob.as_py())
+                at = np.append(0, np.cumsum(lengths)).tolist()
+                words = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+                new = [w for w in words if w not in known]
+                known.update(zip(new, codec.encode_words([w.decode() for w in new]), strict=True))
+                out.append(_strings([known[w] for w in words]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
         tidy()
 
+    lists = held.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.words")
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode, "block long, bucket int, ids binary")
+
+
+Finish = Callable[[Codec, np.ndarray, np.ndarray], list[pa.Array]]
+
+
+def code(docs: DataFrame, path: str, finish: Finish, fields: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id_col and the columns of fields (name, Spark type) for each row: finish(codec, ids, ends) makes them for some rows
+    at a time, whose ids stand one after another, those of a row up to its end.
+
+    Null and empty texts have no ids. Repeated rows are kept; ids may be null or shared; other columns are
+    left out. An empty table gives an empty one. Words are cut once and stored; nothing depends on reading
+    the rows again. A text is held whole by its task, some 100 bytes a word.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = rows.schema["id"].dataType
+    kind = to_arrow_type(id_type)
+    schema = StructType([StructField("id", id_type), *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in fields)).fields])
+    held = stored(blocks(rows, path, block_bytes), "words")
+
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        codec = load(path)
-        ids_of = dict(zip(right["word"].to_pylist(), right["ids"].to_pylist(), strict=True))
-        ids_of.update(hot.value)
-        keys: list = []
-        out: list[tuple] = []
+        codec, out = load(path), []
+        order = np.argsort(right["bucket"].to_numpy(), kind="stable").tolist()
+        lists = right["ids"].combine_chunks()
+        told = [_from_strings(lists[i].as_py()) for i in order]
+        size = np.concatenate([n for n, _ in told]) // np.dtype(codec.kind).itemsize if told else np.zeros(0, np.int64)
+        flat = np.frombuffer(b"".join([x for _, x in told]), codec.kind)
+        begin = np.cumsum(size) - size
         for blob in left["rows"]:
-            held = unpacked(blob)
-            for key, text in zip(held["id"].to_pylist(), _texts(held["text"]), strict=True):
-                words = codec.words(text or "")
-                try:
-                    ids = b"".join([ids_of[w] for w in words])
-                except KeyError:  # the block was cut otherwise when its words were listed
-                    lost = [w for w in set(words) if w not in ids_of]
-                    ids_of.update(zip(lost, codec.encode_words(lost), strict=True))
-                    ids = b"".join([ids_of[w] for w in words])
-                keys.append(key)
-                out.append(finish(codec, np.frombuffer(ids, codec.kind).tolist()))
-        del ids_of
+            one = unpacked(blob)
+            table = unpacked(one["rows"].combine_chunks()[0])
+            place = _from_planes(one["place"][0].as_py())
+            if len(place) != len(size):
+                raise RuntimeError(f"{len(place)} words were sent and {len(size)} came back")
+            at = place[_from_planes(one["at"][0].as_py())]
+            upto = np.append(0, np.cumsum(table["n"].to_numpy()))
+            lo = 0
+            while lo < table.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + JOIN_WORDS, side="right")) - 1)
+                words = at[upto[lo] : upto[hi]]
+                many = size[words]
+                last = np.cumsum(many)
+                ids = flat[np.repeat(begin[words] - (last - many), many) + np.arange(last[-1] if len(last) else 0)]
+                ends = np.append(0, last)[upto[lo + 1 : hi + 1] - upto[lo]]
+                columns = finish(codec, ids, ends)
+                out.append(pa.table([table["id"].slice(lo, hi - lo).cast(kind), *columns], names=schema.names))
+                lo = hi
         tidy()
-        columns = {"id": pa.array(keys, left_id_type)}
-        for i, (name, _, kind) in enumerate(schema):
-            columns[name] = pa.array([x[i] for x in out], kind)
-        return pa.table(columns)
+        return pa.concat_tables(out) if out else pa.table([pa.array([], to_arrow_type(f.dataType)) for f in schema.fields], names=schema.names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    words = encoded_words(held, path).withColumnRenamed("block", "of")
+    return held.select("block", "rows").groupBy("block").cogroup(words.groupBy("of")).applyInArrow(join_back, schema).withColumnRenamed("id", id_col)
 
-    left_id_type = to_arrow_type(rows.schema["id"].dataType)
-    words = rows.mapInArrow(distinct, "block long, word string").repartition("word").sortWithinPartitions("word")
-    coded = words.mapInArrow(encode, "block long, word string, ids binary")
-    texts = packed_blocks(rows, 1, block_bytes, level=6)
-    result = f"id {id_type}, " + ", ".join(f"{n} {t}" for n, t, _ in schema)
-    return texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, result).withColumnRenamed("id", id_col)
+
+def _lists(codec: Codec, ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and ids (array of int) of each row, as the tokenizers library encodes the whole text without
     added special tokens, truncation or padding; a special token's own text becomes its id.
 
-    Null and empty texts have no ids. Repeated rows are kept; rows may share an id or have none. Other
-    columns are left out. An empty table gives an empty one.
+    For null, empty and repeated rows see code(). The file must be one of plain byte-level BPE: settings
+    that are not followed here are an error.
     """
-    return code(docs, path, lambda c, ids: (ids,), [("ids", "array<int>", pa.list_(pa.int32()))], id_col, text_col)
+    return code(docs, path, _lists, [("ids", "array<int>")], id_col, text_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -219,19 +313,23 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
         codec = load(path)
         known = len(codec.pieces)
         for batch in batches:
-            rows = [codec.decode([i for i in ids or () if i is not None and 0 <= i < known]) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.string())], names=["id", "text"])
+            rows = [[i for i in ids or () if i is not None and 0 <= i < known] for ids in batch.column(1).to_pylist()]
+            found = joined(codec.piece_column, np.array([i for ids in rows for i in ids], dtype=np.int64), np.cumsum([len(ids) for ids in rows]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode("utf-8", "replace") for x in found], pa.string())], names=["id", "text"])
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(text, f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(text, StructType([rows.schema["id"], *StructType.fromDDL("text string").fields])).withColumnRenamed("id", id_col)
+
 
+def _digests(codec: Codec, ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    texts = [x.decode("utf-8", "replace").encode() for x in joined(codec.piece_column, ids, ends)]
+    return [pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array([sha(x[:-1]) for x in joined(codec.decimal_column, ids, ends)]), pa.array([sha(x) for x in texts])]
 
-def _digest(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
-    decimal = codec.decimal
-    return len(ids), hashlib.sha256(b",".join([decimal[i] for i in ids])).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id_col, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the text decoded from them).
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the text decoded from them)."""
-    schema = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
-    return code(docs, path, _digest, schema, id_col, text_col)
+    A row without ids has none of them and the digests of the empty string. For other odd rows see code().
+    """
+    return code(docs, path, _digests, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], id_col, text_col, block_bytes)

@@ -44,6 +44,36 @@ def test_round_trip(docs, rows, nothing, library):
     assert bpe.round_trip(nothing, tokenizer_path()).count() == 0
 
 
+def test_small_blocks_and_joins_give_the_same(docs, rows, monkeypatch):
+    """Words that many blocks share are encoded once and go back to each; documents longer than what is joined at once."""
+    whole = collections.Counter(tuple(r) for r in bpe.round_trip(docs, tokenizer_path()).collect())
+    assert collections.Counter(tuple(r) for r in bpe.round_trip(docs, tokenizer_path(), block_bytes=500).collect()) == whole
+    held = bpe.blocks(docs.selectExpr("doc_id AS id", "text"), tokenizer_path(), 500)
+    assert held.count() > 20 and held.selectExpr("sum(size(words)) AS n").first().n == bpe.encoded_words(held, tokenizer_path()).count()
+    codec = bpe.load(tokenizer_path())
+    known = bpe._from_strings(bpe._strings([b"", b"a" * 300, "é".encode()]))
+    assert known[0].tolist() == [0, 300, 2] and known[1] == b"a" * 300 + "é".encode()
+    numbers = np.array([0, 1, 255, 256, 70_000, 2**31])
+    assert (bpe._from_planes(bpe._planes(numbers)) == numbers).all()
+    ids = np.array([0, 5, 50256, 7])
+    assert bpe.joined(codec.piece_column, ids, np.array([0, 3, 3, 4])) == [b"", b"".join(codec.pieces[i] for i in (0, 5, 50256)), b"", codec.pieces[7]]
+
+
+def test_settings_that_are_not_followed_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    plain = json.load(open(tokenizer_path(), encoding="utf-8"))
+    plain["pre_tokenizer"]["add_prefix_space"] = True
+    plain["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(plain))
+    with pytest.raises(ValueError, match="pre_tokenizer, added token"):
+        bpe.Codec(str(tmp_path / "t.json"))
+
+
 def test_encode_decode(docs, rows):
     back = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
     assert collections.Counter((r.doc_id, r.text) for r in back.collect()) == collections.Counter((d, t or "") for d, t, *_ in rows)
