@@ -109,7 +109,8 @@ def judge(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", te
     a share of repeated ones. kept is false if base_failed or if the text is too far from every
     reference language in either histogram; a histogram under its guard passes. References are summed
     over the rows of each known language that pass the base rules; with no such rows, nothing is too
-    far. A null text is empty and fails. Repeated rows count each; a null id is carried along. An
+    far. A row whose language is told but has no reference is not judged by distance: common words are
+    listed for four languages, and text in others is far from all of them. A null text is empty and fails. Repeated rows count each; a null id is carried along. An
     empty table gives an empty one; other columns are ignored.
     """
     failed = (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > limits.most_repeated_percent * F.col("n_words"))
@@ -122,10 +123,11 @@ def judge(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", te
     else:
         near = F.array(F.struct(F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("c")))
     guard = lambda x, limit, enough: F.coalesce(x, F.lit(0.0)) / limit * F.when(enough, 1.0).otherwise(0.0)
+    foreign = F.col("lang").isNotNull() & ~F.col("lang").isin(*(r.lang for r in found))
     rows = rows.withColumn("near", near).withColumn("many", F.col("n_class") >= limits.least_characters).withColumn("often", F.col("n_words") >= limits.least_length)
     over = F.array_min(F.transform("near", lambda x: F.greatest(guard(x["c"], limits.class_distance, F.col("many")), guard(x["w"], limits.word_distance, F.col("often")))))
     return rows.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (over <= 1.0)).alias("kept"),
+        (~F.col("base_failed") & (foreign | (over <= 1.0))).alias("kept"),
         F.array_min(F.transform("near", lambda x: x["c"])).alias("class_distance"), F.array_min(F.transform("near", lambda x: x["w"])).alias("word_distance"),
     )

@@ -37,7 +37,7 @@ def divergence(limits: Limits = Limits()) -> str:
         JOIN (SELECT lang, list(x ORDER BY i) AS commons FROM (SELECT lang, i, sum(x) AS x FROM (SELECT lang, unnest(commons) AS x, unnest(range(len(commons))) AS i FROM y WHERE NOT base_failed) GROUP BY ALL) GROUP BY lang) b USING (lang) WHERE lang IN ({', '.join(f"'{k}'" for k in COMMON)})),
     z AS (SELECT y.r, {_distance_sql('y.classes', 'n_class', 'ref.classes')} AS dc, {_distance_sql('y.commons', 'n_words', 'ref.commons')} AS dw, n_class, n_words FROM y CROSS JOIN ref),
     g AS (SELECT r, min(greatest({guard('dc', limits.class_distance, f'n_class >= {limits.least_characters}')}, {guard('dw', limits.word_distance, f'n_words >= {limits.least_length}')})) AS over, min(dc) AS dc, min(dw) AS dw FROM z GROUP BY r)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(over, 0.0) <= 1.0 AS kept, round(dc, 6) AS class_distance, round(dw, 6) AS word_distance FROM y LEFT JOIN g USING (r)"""
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ((lang IS NOT NULL AND lang NOT IN (SELECT lang FROM ref)) OR coalesce(over, 0.0) <= 1.0) AS kept, round(dc, 6) AS class_distance, round(dw, 6) AS word_distance FROM y LEFT JOIN g USING (r)"""
 
 
 def shards(n_shards: int = 24, bins: int = 4096) -> str:

@@ -250,6 +250,17 @@ def test_rules_reject_what_is_far_from_every_language(spark):
     assert all(got[i] for i in range(30)) and not got[99]
 
 
+def test_a_language_without_reference_is_not_judged_by_distance(spark):
+    """Common words are listed for four languages; text in a fifth fails by the base rules alone."""
+    english = "the people of this town and their friends walk to the market in the morning for bread and milk that is fresh ".split()
+    italian = "gli abitanti della città camminano ogni mattina verso il mercato dove comprano pane fresco latte frutta e poi tornano insieme alle loro case ".split()
+    mixed = lambda words, i: " ".join(random.Random(i).sample(words * 8, 150))
+    rows = [(i, mixed(english, i), "en") for i in range(30)] + [(90, mixed(italian, 90), "it"), (91, mixed(italian, 91), None), (92, "tre parole sole", "it"), (93, "uno due " * 80, "it")]
+    got = {r.doc_id: r for r in divergence.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(30)) and got[90].kept and got[90].word_distance > 0.26
+    assert not got[91].kept and not got[92].kept and not got[93].kept
+
+
 def test_rules_reject_long_texts_with_few_common_words(spark):
     """Guarded by the words of a text, not by the common ones found: none at all is the farthest case."""
     draw = lambda seed, n, common: " ".join(r.choice(("the", "of", "and", "to", "in", "is")) if r.random() < common else "".join(r.choice("bdeilmnorst") for _ in range(6)) for r in [random.Random(seed)] for _ in range(n))
