@@ -27,11 +27,11 @@ from pyspark.sql.types import StructField, StructType
 from .base import packed, small_batches, stored, tidy, unpacked
 
 #: UTF-8 bytes of text in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 #: Texts of lower code points are split by a pattern made from the library's own classes; others by the library.
 COMMON = 0x250
 #: Buckets of words in the distinct-word table; a task holds one bucket's distinct words at a time.
-BUCKETS = 4096
+BUCKETS = 1024
 ENCODE_WORDS = 2000
 #: Words of a block that are joined with their ids at once.
 JOIN_WORDS = 200_000
@@ -161,9 +161,34 @@ def _from_planes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _by_length(x: np.ndarray) -> bytes:
+    """Numbers from 0 below 2**31 as their lengths in bits, a byte each, then the bits under the leading one, packed by length:
+    small numbers take few bits, and a compressor sees the lengths by themselves."""
+    length = np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+    parts = [len(x).to_bytes(8, "little"), length.tobytes()]
+    for n in range(2, int(length.max(initial=0)) + 1):
+        some = x[length == n]
+        parts.append(np.packbits((some[:, None] >> np.arange(n - 2, -1, -1)) & 1).tobytes())
+    return b"".join(parts)
+
+
+def _from_by_length(blob: bytes) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    length = np.frombuffer(blob, np.uint8, size, 8)
+    out, at = (length > 0).astype(np.int64), 8 + size
+    for n in range(2, int(length.max(initial=0)) + 1):
+        which = np.flatnonzero(length == n)
+        many = (len(which) * (n - 1) + 7) // 8
+        bits = np.unpackbits(np.frombuffer(blob, np.uint8, many, at), count=len(which) * (n - 1)).reshape(len(which), n - 1)
+        out[which] = (1 << (n - 1)) + bits @ (1 << np.arange(n - 2, -1, -1))
+        at += many
+    return out
+
+
 def blocks(rows: DataFrame, path: str, block_bytes: int) -> DataFrame:
     """(block, rows, words) of (id, text), to be stored: a block's documents as positions in its list of distinct words,
-    packed; and that list, an array of (bucket, words), by buckets, packed."""
+    packed; and that list, an array of (bucket, words), by buckets, packed. A word that is met for the first time
+    is written as 0, others by their rank of frequency."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, task, number = load(path), TaskContext.get().partitionId(), 0
@@ -177,14 +202,14 @@ def blocks(rows: DataFrame, path: str, block_bytes: int) -> DataFrame:
             at = np.concatenate([np.frombuffer(p, np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
             words = list(found)
             bucket = _bucket(words)
-            place = np.empty(len(words), dtype=np.int64)  # of a word in the list by buckets
             order = np.argsort(bucket, kind="stable")
-            place[order] = np.arange(len(words))
-            often = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")  # frequent words get small numbers
-            rank = np.empty(len(words), dtype=np.int64)
-            rank[often] = np.arange(len(words))
+            count = np.bincount(at, minlength=len(words))
+            often = np.argsort(-count, kind="stable")[: int((count > 1).sum())]  # frequent words get small numbers, from 1
+            rank = np.zeros(len(words), dtype=np.int64)
+            rank[often] = np.arange(1, len(often) + 1)
+            new = np.append(True, at[1:] > np.maximum.accumulate(at)[:-1]) if len(at) else np.zeros(0, bool)  # words are numbered as they are met
             table = pa.table({"id": pa.concat_arrays(ids), "n": pa.array(counts, pa.int32())})
-            one = {"rows": packed(table, 3), "at": _planes(rank[at]), "place": _planes(place[often])}
+            one = {"rows": packed(table, 3), "at": _by_length(np.where(new, 0, rank[at])), "often": _planes(often), "bucket": _planes(bucket)}
             blob = packed(pa.table({k: pa.array([v], pa.large_binary()) for k, v in one.items()}), 6)
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             listed = [words[i].encode() for i in order]
@@ -266,10 +291,13 @@ def code(docs: DataFrame, path: str, finish: Finish, fields: list[tuple[str, str
         for blob in left["rows"]:
             one = unpacked(blob)
             table = unpacked(one["rows"].combine_chunks()[0])
-            place = _from_planes(one["place"][0].as_py())
-            if len(place) != len(size):
-                raise RuntimeError(f"{len(place)} words were sent and {len(size)} came back")
-            at = place[_from_planes(one["at"][0].as_py())]
+            at = _from_by_length(one["at"][0].as_py())
+            often, bucket = (_from_planes(one[c][0].as_py()) for c in ("often", "bucket"))
+            if len(bucket) != len(size):
+                raise RuntimeError(f"{len(bucket)} words were sent and {len(size)} came back")
+            place = np.empty(len(bucket), dtype=np.int64)  # of a word in the list by buckets
+            place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+            at = place[np.where(at == 0, np.cumsum(at == 0) - 1, np.append(often, 0)[at - 1])]
             upto = np.append(0, np.cumsum(table["n"].to_numpy()))
             lo = 0
             while lo < table.num_rows:

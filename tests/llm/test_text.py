@@ -56,6 +56,8 @@ def test_small_blocks_and_joins_give_the_same(docs, rows, monkeypatch):
     assert known[0].tolist() == [0, 300, 2] and known[1] == b"a" * 300 + "é".encode()
     numbers = np.array([0, 1, 255, 256, 70_000, 2**31])
     assert (bpe._from_planes(bpe._planes(numbers)) == numbers).all()
+    numbers = np.append(numbers[:-1], np.random.default_rng(1).integers(0, 1 << np.arange(1, 32), (50, 31)).ravel())
+    assert (bpe._from_by_length(bpe._by_length(numbers)) == numbers).all() and len(bpe._from_by_length(bpe._by_length(numbers[:0]))) == 0
     ids = np.array([0, 5, 50256, 7])
     assert bpe.joined(codec.piece_column, ids, np.array([0, 3, 3, 4])) == [b"", b"".join(codec.pieces[i] for i in (0, 5, 50256)), b"", codec.pieces[7]]
 
