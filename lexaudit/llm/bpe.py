@@ -142,7 +142,7 @@ def _bucket(words: list[str]) -> tuple[np.ndarray, list[str]]:
 def _strings(values: list[bytes]) -> bytes:
     """Byte strings, compressed: their lengths, then their bytes."""
     raw = len(values).to_bytes(4, "little") + _planes(np.array([len(v) for v in values], dtype=np.int64)) + b"".join(values)
-    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _from_strings(blob: bytes) -> tuple[np.ndarray, bytes]:

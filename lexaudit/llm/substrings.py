@@ -79,7 +79,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     words than a window loses nothing. An empty table gives an empty one; other columns are ignored.
 
     Copies of a whole text are settled by its smallest id: of each text one copy is compared in full.
-    Hashes of compared windows have 96 bits.
+    Hashes of compared windows have 96 bits; shared anchors are looked for with marks of 44 bits that
+    tell texts apart.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k"), F.col(text_col).alias("text"))
@@ -169,8 +170,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     texts = stored(rows.mapInArrow(profile, "block long, row int, id long, k long, t1 long, t2 long, n long, sha string"), "profile")
     blobs = packed_blocks(rows, 2, BLOCK_BYTES, level=6)
-    leads = texts.where("id is not null").groupBy("t1", "t2").agg(F.min("id").alias("lead"))
-    led = texts.join(leads, ["t1", "t2"], "left")
+    # Only texts that hold a window have a lead, and a block asks for each of its texts once: neither empty
+    # texts nor the copies of one text meet in a task.
+    once = texts.where((F.col("n") >= window) & F.col("id").isNotNull()).groupBy("block", "t1", "t2").agg(F.min("id").alias("first"))
+    leads = once.groupBy("t1", "t2").agg(F.min("first").alias("lead"))
+    led = texts.join(once.join(leads, ["t1", "t2"]).select("block", "t1", "t2", "lead"), ["block", "t1", "t2"], "left")
     # A block holds an anchor once, so that no anchor has more rows than there are blocks. Both readers
     # of this exchange ask for all of its columns: otherwise it would be made twice, once for each.
     found = rows.mapInArrow(anchors, "hash long, block long, a long, b long").where("hash is not null").repartition("hash")
