@@ -39,7 +39,7 @@ _B_BITS = 32
 
 
 class Transducer:
-    """States are numbers; 0 is the empty residual. A token's key is its id, and that of side B beyond all of A's."""
+    """States are numbers; 0 is the empty residual. Which side reads the next token follows from the state."""
 
     def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes]):
         if max(len(bytes_a), len(bytes_b)) >= 1 << _TOKEN_BITS:

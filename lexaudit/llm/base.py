@@ -50,11 +50,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size of df, from file sizes: no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def tidy() -> None:
     """Gives freed memory back to the system: worker processes live on from stage to stage, beside each other."""
     pa.default_memory_pool().release_unused()
