@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.binding import opened
 from ..functions import pii
 
 
@@ -40,7 +41,7 @@ def align(segments: DataFrame, corrected: DataFrame | None) -> DataFrame:
 
 
 def redactions(segments: DataFrame) -> DataFrame:
-    found = segments.select("media_id", "seg_idx", F.explode(pii.records(F.col("text"))).alias("r"))
+    found = opened(segments, pii.records(F.col("text")), "r", "media_id", "seg_idx")
     return found.select("media_id", "seg_idx", "r.*")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import entities, segment, tagging
+from ..functions.binding import opened
 from ..operators import dictionary as dictionaries
 from ..operators import tagger
 from . import tagged
@@ -77,5 +78,5 @@ def recognise_names(spark, sf_dir):
     """All entities of the other rows; people, places and organisations by the trained labeller, without lists."""
     model = trained(spark, sf_dir)
     found = entities.recognise(F.col("text"), extra=tagging.names(F.col("text"), model))
-    rows = unread(spark, sf_dir).select("o_orderkey", F.explode(found).alias("e"))
+    rows = opened(unread(spark, sf_dir), found, "e", "o_orderkey")
     return rows.select("o_orderkey", F.col("e.text").alias("text"), F.col("e.type").alias("type"), F.col("e.start").alias("start"), F.col("e.end").alias("stop"))
