@@ -22,6 +22,7 @@ from .signal import FRAME, HOP, SPECTRUM
 #: Samples in a piece, a multiple of all hops; samples that travel together.
 PIECE, SEGMENT = 1 << 16, 4096
 HALF = SPECTRUM // 2
+FEATURES = ("zcr", "rms_energy", "spectral_centroid", "spectral_entropy")
 
 
 def numbered(rows: DataFrame, key: str, order: list[str], parts: int | None = None) -> DataFrame:
@@ -64,7 +65,7 @@ def pieces(held: DataFrame, halo: int, size: int = PIECE) -> DataFrame:
     return met.select("media_id", "sr", "total", "piece", F.slice(F.flatten("x.samples"), begin + 1, F.lit(size + halo)).alias("samples"))
 
 
-def _tracks(wave: np.ndarray, rate: int, total: int, piece: int, size: int, ahead: int = 0) -> dict[str, tuple[int, np.ndarray]]:
+def _tracks(wave: np.ndarray, rate: int, total: int, piece: int, size: int, ahead: int = 0, spectra: bool = True) -> dict[str, tuple[int, np.ndarray]]:
     """(number of the first frame, values) of the frames that start in a piece, and so many more of each track."""
     out = {}
     starts = np.arange(0, size + ahead * HOP, HOP)
@@ -72,6 +73,8 @@ def _tracks(wave: np.ndarray, rate: int, total: int, piece: int, size: int, ahea
     frames = np.lib.stride_tricks.sliding_window_view(wave, FRAME)[starts] if len(starts) else np.zeros((0, FRAME))
     out["zcr"] = piece * size // HOP, np.abs(np.diff(np.sign(frames), axis=1)).mean(axis=1) / 2
     out["rms_energy"] = piece * size // HOP, np.sqrt((frames**2).mean(axis=1))
+    if not spectra:
+        return out
     if total < SPECTRUM:  # one shorter frame, in the first piece
         frequencies, power = signal.spectrum(wave, rate) if piece == 0 else (np.zeros(0), np.zeros((0, 0)))
     else:
@@ -83,14 +86,18 @@ def _tracks(wave: np.ndarray, rate: int, total: int, piece: int, size: int, ahea
     return out
 
 
-def features(held: DataFrame, size: int = PIECE) -> DataFrame:
-    """(media_id, feature, frame_idx, value) of segments (media_id, sr, total, s, samples); an empty table gives an empty one."""
+def features(held: DataFrame, size: int = PIECE, kinds: tuple[str, ...] = FEATURES) -> DataFrame:
+    """(media_id, feature, frame_idx, value) of segments (media_id, sr, total, s, samples); an empty table gives an empty one.
+    kinds: the features asked for; spectra are taken only for those that need them."""
+    spectra = any(k.startswith("spectral") for k in kinds)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for media, rate, total, piece, wave in zip(*(batch.column(i) for i in range(5)), strict=True):
-                tracks = _tracks(wave.values.to_numpy(zero_copy_only=False).astype(float), rate.as_py(), total.as_py(), piece.as_py(), size)
+                tracks = _tracks(wave.values.to_numpy(zero_copy_only=False).astype(float), rate.as_py(), total.as_py(), piece.as_py(), size, spectra=spectra)
                 for name, (first, track) in tracks.items():
+                    if name not in kinds:
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array([media.as_py()] * len(track), pa.string()), pa.array([name] * len(track), pa.string()), pa.array(np.arange(first, first + len(track)), pa.int64()), pa.array(track, pa.float64())], names=["media_id", "feature", "frame_idx", "value"])
 
     return pieces(held, SPECTRUM, size).select("media_id", "sr", "total", "piece", "samples").mapInArrow(work, "media_id string, feature string, frame_idx long, value double")
