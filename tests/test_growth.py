@@ -3,9 +3,11 @@
 import random
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from lexaudit.functions import kernels
-from lexaudit.operators import classify, duplicates, keywords, summaries
+from lexaudit.operators import classify, duplicates, gibbs, keywords, summaries
 from lexaudit.plans import analysis, catalog, chinese
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +66,12 @@ def test_greedy_forms_no_pairs(spark, monkeypatch):
             kept.append((i, t))
     got = duplicates.greedy(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.7)
     assert sorted(x.doc_id for x in got.collect()) == [i for i, _ in kept] and len(kept) > 32
+
+
+def test_blocks_of_topics_are_read_singly_and_words_move_packed(spark):
+    held = gibbs._kept(spark.range(0, 40, 1, 1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32768)), lambda i: F.md5(F.concat_ws("-", "id", i))), "").cast("binary").alias("at")))  # 1 MB each
+    assert max(pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).num_rows for f in held.inputFiles()) <= 20
+    docs = spark.createDataFrame([(i, [f"w{j % 997}" for j in range(i, i + 200)]) for i in range(100)], "doc_id long, tokens array<string>").coalesce(1)
+    model = gibbs.GibbsModel(docs, 3, sweeps=2, inner=1, block_tokens=10_000)
+    parts = gibbs._parts(model.blocks, 3, model._bits(model.blocks))
+    assert model.blocks.count() == 2 and parts.count() <= 4 and model.counts.count() == 297 and sum(sum(r.total) for r in model.counts.collect()) == 19_998
