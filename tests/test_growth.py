@@ -1,12 +1,15 @@
 """What must not grow with the input: values computed again, shuffles of all words, Python objects of whole batches."""
 
+import html
+import html.entities
 import random
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from lexaudit.functions import kernels
+from lexaudit.functions import cleaning, kernels
 from lexaudit.operators import classify, duplicates, gibbs, keywords, summaries
 from lexaudit.plans import analysis, catalog, chinese
 
@@ -75,3 +78,13 @@ def test_blocks_of_topics_are_read_singly_and_words_move_packed(spark):
     model = gibbs.GibbsModel(docs, 3, sweeps=2, inner=1, block_tokens=10_000)
     parts = gibbs._parts(model.blocks, 3, model._bits(model.blocks))
     assert model.blocks.count() == 2 and parts.count() <= 4 and model.counts.count() == 297 and sum(sum(r.total) for r in model.counts.collect()) == 19_998
+
+
+def test_entities_are_found_by_a_trie_and_looked_up_by_digest(spark):
+    names, buckets, _ = cleaning._entities()
+    assert max(b.count("\x01") for b in buckets.split("\x03")) <= 6
+    assert all(re.match(names, n).end() == len(n) for n in html.entities.html5)
+    texts = ["&" * 50, "a&b&c", "&amp&&#65;&", "x" * 9000 + "&notit;\n" + "é" * 3, "&ACY", "&Acy;&#38;lt;", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", cleaning.unescape_exact(F.col("t")).alias("t"))
+    assert plan(rows).count("#[0-9]+;?|") == 1  # split() compiles its pattern for every row
+    assert [r.t for r in rows.orderBy("i").collect()] == [t and html.unescape(t) for t in texts]
