@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from lexaudit.functions import cleaning, kernels
+from lexaudit.functions import cleaning, events, kernels
 from lexaudit.operators import classify, duplicates, gibbs, keywords, summaries
 from lexaudit.plans import analysis, catalog, chinese
 
@@ -88,3 +88,10 @@ def test_entities_are_found_by_a_trie_and_looked_up_by_digest(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", cleaning.unescape_exact(F.col("t")).alias("t"))
     assert plan(rows).count("#[0-9]+;?|") == 1  # split() compiles its pattern for every row
     assert [r.t for r in rows.orderBy("i").collect()] == [t and html.unescape(t) for t in texts]
+
+
+def test_events_are_put_together_by_columns():
+    found = [[], [("T", "w", 1, 2, [("a", "b"), ("c", "")]), ("U", "v", 3, 4, [])], []]
+    assert events._array(found).type == pa.list_(events.EVENT)
+    assert events._array(found).to_pylist()[1][0] == {"type": "T", "trigger": "w", "start": 1, "end": 2, "slots": [("a", "b"), ("c", "")]}
+    assert events._array([[], []]).to_pylist() == [[], []]
