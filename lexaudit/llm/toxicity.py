@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.reduction import SCHEMA, pieces, summed
 from .base import discard, mix, prefix_sums, small_batches, span_hashes, stored, tidy, total, utf8
 from .language import folding
 
@@ -99,10 +100,10 @@ def count_characters(texts: DataFrame) -> np.ndarray:
                     held, size = [], 0
         if held:
             sums += np.bincount(np.concatenate(held), minlength=SIZE**3)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+        yield pieces(sums)
 
-    found = total(texts.mapInArrow(count, "sums binary"), "sums")
-    return (np.zeros(SIZE**3, np.int64) if found is None else found).reshape(SIZE, SIZE, SIZE)
+    found = summed(texts.mapInArrow(count, SCHEMA))
+    return (np.zeros(SIZE**3) if found is None else found).astype(np.int64).reshape(SIZE, SIZE, SIZE)
 
 
 def model(counts: np.ndarray, weight: float = 4.0) -> np.ndarray:
@@ -426,7 +427,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: Column, id_col
 
 
 def _count_features(labelled: DataFrame, lm, s: Settings) -> np.ndarray:
-    """By half, label and bucket: how many labelled documents hold it; last, how many documents there are."""
+    """By half, label and bucket: how many labelled documents hold it; last, how many documents there are. The tasks'
+    counts, 8 MB each, are added up by ranges over executors; the driver gets one vector."""
     wide = (1 << s.bits) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,11 +442,11 @@ def _count_features(labelled: DataFrame, lm, s: Settings) -> np.ndarray:
                 sums += np.bincount(group[distinct // wide] * wide + distinct % wide, minlength=4 * wide)
                 sums[wide - 1 :: wide] += np.bincount(group, minlength=4)
         if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+            yield pieces(sums)
         tidy()
 
-    found = total(labelled.mapInArrow(count, "sums binary"), "sums")
-    return (np.zeros(4 * wide, np.int64) if found is None else found).reshape(2, 2, wide)
+    found = summed(labelled.mapInArrow(count, SCHEMA))
+    return (np.zeros(4 * wide) if found is None else found).astype(np.int64).reshape(2, 2, wide)
 
 
 def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -143,3 +143,18 @@ def test_same_words_have_the_same_features_in_any_text():
     other = toxicity.word_features(["q", "", "xyz (abcdef)"], s)
     of = lambda f, d: {b for o, b in zip(f[0], f[2], strict=True) if o == d}
     assert of(one, 0) == of(other, 2) and len(of(one, 0)) == (1 + 4) + (1 + 1)
+
+
+def test_the_driver_gets_one_vector_however_many_tasks_count(spark, lm, monkeypatch):
+    docs = spark.createDataFrame([("an example of words", i % 2) for i in range(64)], "text string, toxic int").repartition(8)
+    got, collect = [], type(docs).collect
+
+    def watched(self):
+        found = collect(self)
+        got.append(sum(len(x) for r in found for x in r if isinstance(x, bytes | bytearray)))
+        return found
+
+    monkeypatch.setattr(type(docs), "collect", watched)
+    counts = toxicity._count_features(docs, spark.sparkContext.broadcast(lm), toxicity.Settings(bits=12))
+    assert toxicity.count_characters(docs.select("text")).sum() == 64 * len(toxicity.trigrams("an example of words"))
+    assert got == [counts.nbytes, 8 * toxicity.SIZE**3] and counts[:, :, -1].sum() == 64
