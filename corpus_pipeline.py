@@ -22,6 +22,9 @@ LEAST_CONFIDENCE = 0.5
 SHINGLE_WORDS, SIMILAR_PERCENT = 2, 80
 #: The budget of the mix, as a share of all tokens that reach it.
 MIX_FRACTION = 0.8
+#: UTF-8 bytes of text in a block of the encoder: by the last stage executors hold much already, and small blocks take less of their
+#: memory for more disk (op2 takes the larger ones of lexaudit.llm.bpe).
+BLOCK_BYTES = 4 << 20
 #: A fitted model and a tokenizer cannot be written in SQL; the tests use brute force.
 ORACLE_SQL = None
 
@@ -70,7 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return bpe.round_trip(docs, queries.tokenizer_path())
+    return bpe.round_trip(docs, queries.tokenizer_path(), block_bytes=BLOCK_BYTES)
 
 
 STAGES = [

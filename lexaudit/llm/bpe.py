@@ -35,6 +35,8 @@ BUCKETS = 1024
 ENCODE_WORDS = 2000
 #: Words of a block that are joined with their ids at once.
 JOIN_WORDS = 200_000
+#: Numbers that are packed to bits at once; a multiple of 8, so that slices end with a byte.
+SLICE = 1 << 16
 
 
 def byte_characters() -> dict[str, int]:
@@ -45,7 +47,9 @@ def byte_characters() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def load(path: str) -> "Codec":
-    return Codec(path)
+    codec = Codec(path)
+    tidy()  # what reading the file took
+    return codec
 
 
 class Codec:
@@ -58,8 +62,10 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._refuse(json.loads(text))
-        self.special = {t["content"]: t["id"] for t in json.loads(text).get("added_tokens", [])}
+        said = json.loads(text)
+        self._refuse(said)
+        self.special = {t["content"]: t["id"] for t in said.get("added_tokens", [])}
+        del said, text
         found = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None
         self.pieces = self._pieces()
@@ -132,11 +138,11 @@ def joined(column: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [bytes(view[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
 
-def _bucket(words: list[str]) -> tuple[np.ndarray, list[str]]:
+def _bucket(words: list[str]) -> np.ndarray:
     """The bucket of each word, by a digest that is the same everywhere."""
     import xxhash
 
-    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in words], dtype=np.int32)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in words), np.int32, len(words))
 
 
 def _strings(values: list[bytes]) -> bytes:
@@ -163,25 +169,29 @@ def _from_planes(blob: bytes) -> np.ndarray:
 
 def _by_length(x: np.ndarray) -> bytes:
     """Numbers from 0 below 2**31 as their lengths in bits, a byte each, then the bits under the leading one, packed by length:
-    small numbers take few bits, and a compressor sees the lengths by themselves."""
-    length = np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+    small numbers take few bits, and a compressor sees the lengths by themselves. Bits are a number each only for a slice."""
+    length = np.empty(len(x), dtype=np.uint8)
+    for lo in range(0, len(x), SLICE):
+        length[lo : lo + SLICE] = np.frexp(x[lo : lo + SLICE].astype(np.float64))[1]
     parts = [len(x).to_bytes(8, "little"), length.tobytes()]
     for n in range(2, int(length.max(initial=0)) + 1):
-        some = x[length == n]
-        parts.append(np.packbits((some[:, None] >> np.arange(n - 2, -1, -1)) & 1).tobytes())
+        some, shift = x[length == n].astype(np.uint32), np.arange(n - 2, -1, -1, dtype=np.uint32)
+        parts += [np.packbits((some[lo : lo + SLICE, None] >> shift).astype(np.uint8) & 1).tobytes() for lo in range(0, len(some), SLICE)]
     return b"".join(parts)
 
 
 def _from_by_length(blob: bytes) -> np.ndarray:
     size = int.from_bytes(blob[:8], "little")
     length = np.frombuffer(blob, np.uint8, size, 8)
-    out, at = (length > 0).astype(np.int64), 8 + size
+    out, at = (length > 0).astype(np.int32), 8 + size
     for n in range(2, int(length.max(initial=0)) + 1):
-        which = np.flatnonzero(length == n)
-        many = (len(which) * (n - 1) + 7) // 8
-        bits = np.unpackbits(np.frombuffer(blob, np.uint8, many, at), count=len(which) * (n - 1)).reshape(len(which), n - 1)
-        out[which] = (1 << (n - 1)) + bits @ (1 << np.arange(n - 2, -1, -1))
-        at += many
+        which, weight = np.flatnonzero(length == n), 1 << np.arange(n - 2, -1, -1)
+        for lo in range(0, len(which), SLICE):
+            some = which[lo : lo + SLICE]
+            many = (len(some) * (n - 1) + 7) // 8
+            bits = np.unpackbits(np.frombuffer(blob, np.uint8, many, at), count=len(some) * (n - 1)).reshape(len(some), n - 1)
+            out[some] = (1 << (n - 1)) + bits @ weight
+            at += many
     return out
 
 
@@ -205,15 +215,14 @@ def blocks(rows: DataFrame, path: str, block_bytes: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             count = np.bincount(at, minlength=len(words))
             often = np.argsort(-count, kind="stable")[: int((count > 1).sum())]  # frequent words get small numbers, from 1
-            rank = np.zeros(len(words), dtype=np.int64)
+            rank = np.zeros(len(words), dtype=np.int32)
             rank[often] = np.arange(1, len(often) + 1)
             new = np.append(True, at[1:] > np.maximum.accumulate(at)[:-1]) if len(at) else np.zeros(0, bool)  # words are numbered as they are met
             table = pa.table({"id": pa.concat_arrays(ids), "n": pa.array(counts, pa.int32())})
             one = {"rows": packed(table, 3), "at": _by_length(np.where(new, 0, rank[at])), "often": _planes(often), "bucket": _planes(bucket)}
             blob = packed(pa.table({k: pa.array([v], pa.large_binary()) for k, v in one.items()}), 6)
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            listed = [words[i].encode() for i in order]
-            lists = [_strings(listed[a:b]) for a, b in zip(edges, [*edges[1:], len(order)], strict=True)]
+            lists = [_strings([words[i].encode() for i in order[a:b].tolist()]) for a, b in zip(edges, [*edges[1:], len(order)], strict=True)]
             held = pa.StructArray.from_arrays([pa.array(bucket[order][edges], pa.int32()), pa.array(lists, pa.binary())], names=["bucket", "words"])
             cells = [pa.array([task << 24 | number], pa.int64()), pa.array([blob], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)]
             return pa.RecordBatch.from_arrays(cells, names=["block", "rows", "words"])
@@ -230,6 +239,7 @@ def blocks(rows: DataFrame, path: str, block_bytes: int) -> DataFrame:
                 if size >= block_bytes:
                     yield close()
                     ids, counts, found, parts, size, number = [], [], {}, [], 0, number + 1
+                    tidy()
         if ids:
             yield close()
         del ids, counts, found, parts
@@ -295,9 +305,12 @@ def code(docs: DataFrame, path: str, finish: Finish, fields: list[tuple[str, str
             often, bucket = (_from_planes(one[c][0].as_py()) for c in ("often", "bucket"))
             if len(bucket) != len(size):
                 raise RuntimeError(f"{len(bucket)} words were sent and {len(size)} came back")
-            place = np.empty(len(bucket), dtype=np.int64)  # of a word in the list by buckets
+            place = np.empty(len(bucket), dtype=np.int32)  # of a word in the list by buckets
             place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
-            at = place[np.where(at == 0, np.cumsum(at == 0) - 1, np.append(often, 0)[at - 1])]
+            new = at == 0
+            at = np.append(often, 0).astype(np.int32)[at - 1]
+            at[new] = np.arange(int(new.sum()))
+            at = place[at]
             upto = np.append(0, np.cumsum(table["n"].to_numpy()))
             lo = 0
             while lo < table.num_rows:

@@ -292,3 +292,19 @@ def test_blocks_of_which_nothing_repeats(spark, shared):
     assert found.where("n_removed > 0").count() == max(shared - 1, 0)
     left = {r.doc_id: r.text for r in corpus_pipeline.substring_dedup(spark, docs, "").collect()}
     assert left == {d: t if not 0 < d < shared else draw(d, 30) for d, t in rows}
+
+
+def test_packing_numbers_takes_little_memory_beside_them():
+    import tracemalloc
+
+    for some in (np.zeros(0, np.int64), np.array([0, 1, 2, 3, 70000, 2**31 - 1]), np.random.default_rng(3).integers(0, 1 << 17, 200_003)):
+        assert (bpe._from_by_length(bpe._by_length(some)) == some).all()
+    x = np.random.default_rng(1).integers(0, 1 << 17, 1_000_000)
+    tracemalloc.start()
+    told = bpe._by_length(x)
+    packing = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    bpe._from_by_length(told)
+    unpacking = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert packing < 40 << 20 and unpacking < 60 << 20, (packing >> 20, unpacking >> 20)
