@@ -374,3 +374,17 @@ def test_queries_agree_with_their_sql(spark, data):
         got = catalog.QUERIES[name](spark, data)
         want = db.sql(f"select {', '.join(got.columns)} from ({catalog.SQL[name]})").fetchall()
         assert sorted(repr(plain(tuple(r))) for r in got.collect()) == sorted(repr(plain(r)) for r in want), name
+
+
+def test_emoji_are_asked_for_within_few_ranges_and_advertisements_told_by_compiled_code(spark, data):
+    from lexaudit.functions import cleaning
+    from lexaudit.functions import lexicons as L
+    from lexaudit.plans import chinese
+
+    edges = sorted({n + d for a, b in L.EMOJI_RANGES for n in (int(a, 16), int(b, 16)) for d in (-1, 0, 1)})
+    rows = spark.createDataFrame([(f"a中{chr(n)}{chr(n)}b",) for n in edges], "text string")
+    got = rows.select(cleaning.strip_emoji(F.col("text")).alias("got"), F.regexp_replace("text", L.EMOJI_PATTERN, "").alias("want"))
+    assert got.where("got <> want").count() == 0
+    assert cleaning._EMOJI.split("&&")[0].count("-") < 6
+    plan = chinese.clean_steps(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
