@@ -388,3 +388,12 @@ def test_emoji_are_asked_for_within_few_ranges_and_advertisements_told_by_compil
     assert cleaning._EMOJI.split("&&")[0].count("-") < 6
     plan = chinese.clean_steps(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan
+
+
+def test_an_epoch_makes_no_python_object_of_a_label():
+    import pyarrow as pa
+
+    said = pa.array(["b", None, "a", "b"])
+    assert classify._truth(said, ["a", "b"]).tolist() == [[0, 0, 1, 0], [1, 0, 0, 1]]
+    assert classify._truth(said, [None]).tolist() == [[0, 1, 0, 0]] and classify._truth(said.slice(0, 0), ["a"]).shape == (1, 0)
+    assert "to_pylist" not in classify.fit_logistic.__code__.co_names + sum((c.co_names for c in classify.fit_logistic.__code__.co_consts if hasattr(c, "co_names")), ())
