@@ -6,16 +6,13 @@ batch are decoded at once, place by place.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from .kernels import SPAN
-from .spans import SPANS
+from .kernels import Span, over_texts
 
 BITS = 16
 #: Places, relative to a character, whose characters make a feature together.
@@ -61,34 +58,43 @@ def windows(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode(buckets: np.ndarray, start: np.ndarray, features: np.ndarray, follow: np.ndarray) -> np.ndarray:
-    """The label of each character on its text's best sequence; of equal ones that with the smaller labels."""
+    """The label of each character on its text's best sequence; of equal ones that with the smaller labels.
+
+    Places are dealt by their number in the text, so that a step's are a slice; which label came before is
+    asked on the way back, of the best sequence alone.
+    """
     n = features.shape[1]
-    shown = features[buckets].sum(axis=1)
     may = follow + allowed(n)
     lengths = np.diff(start)
     order = np.argsort(-lengths, kind="stable")
     begin, many = start[:-1][order], np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")  # texts longer than t
-    back = np.zeros((len(shown), n), dtype=np.int8)
-    first = np.zeros(n)
+    off = np.append(0, np.cumsum(many))
+    nth = np.arange(off[-1]) - np.repeat(off[:-1], many)
+    place = begin[nth] + np.repeat(np.arange(len(many)), many)
+    shown = features[buckets[place, 0]]
+    for k in range(1, buckets.shape[1]):
+        shown += features[buckets[place, k]]
+    shown = np.ascontiguousarray(shown.T)
+    score = np.empty((n, off[-1]))
+    first = np.zeros((n, 1))
     first[2::2] = -np.inf
-    out = np.zeros(len(shown), dtype=np.int64)
-    score = np.zeros((0, n))
     for t, m in enumerate(many):
-        here = shown[begin[:m] + t]
+        here = shown[:, off[t] : off[t + 1]]
         if t == 0:
-            score = here + first
-            continue
-        ways = score[:m, :, None] + may
-        back[begin[:m] + t] = ways.argmax(axis=1)
-        ended = score[m:]
-        out[begin[m : len(score)] + t - 1] = ended.argmax(axis=1)
-        score = ways.max(axis=1) + here
-    if len(many):
-        out[begin[: len(score)] + len(many) - 1] = score.argmax(axis=1)
-    for t in range(len(many) - 1, 0, -1):
-        at = begin[: many[t]] + t
-        out[at - 1] = back[at, out[at]]
-    return out
+            np.add(here, first, out=score[:, :m])
+        else:
+            before = score[:, off[t - 1] : off[t - 1] + m]
+            np.add((before[:, None, :] + may[:, :, None]).max(axis=0), here, out=score[:, off[t] : off[t + 1]])
+    out, label = np.zeros(len(place), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for t in range(len(many) - 1, -1, -1):
+        now, m = score[:, off[t] : off[t + 1]], len(label)
+        said = np.empty(many[t], dtype=np.int64)
+        said[:m] = (now[:, :m] + may[:, label]).argmax(axis=0)  # what stands before the labels of those that go on
+        said[m:] = now[:, m:].argmax(axis=0)
+        out[off[t] : off[t + 1]] = label = said
+    labels = np.empty_like(out)
+    labels[place] = out
+    return labels
 
 
 def spans_of(labels: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -100,19 +106,22 @@ def spans_of(labels: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int,
     goes_on = np.append(inside[1:] & (labels[1:] % 2 == 0) & ~edge[1:-1], False) if len(labels) else np.zeros(0, dtype=bool)
     stops = np.flatnonzero(inside & ~goes_on) + 1
     text = np.searchsorted(start, opens, side="right") - 1
-    return [(int(d), int(labels[a] - 1) // 2, int(a - start[d]), int(b - start[d])) for d, a, b in zip(text, opens, stops, strict=True)]
+    return list(zip(text.tolist(), ((labels[opens] - 1) // 2).tolist(), (opens - start[text]).tolist(), (stops - start[text]).tolist(), strict=True))
 
 
-def names(text: Column, tagger: Tagger, rank: int = 6) -> Column:
-    """The names of each text in order, as spans of the tagger's kinds; null and empty texts have none."""
+def finder(tagger: Tagger, rank: int = 6) -> Callable[[list[str]], list[list[Span]]]:
+    """A function from texts to the names of each in order, as spans of the tagger's kinds."""
 
-    @F.arrow_udf(SPANS)
-    def run(texts: pa.Array) -> pa.Array:
-        said = [t or "" for t in texts.to_pylist()]
-        buckets, start = windows(said)
-        out: list[list[dict]] = [[] for _ in said]
+    def find(texts: list[str]) -> list[list[Span]]:
+        buckets, start = windows(texts)
+        out: list[list[Span]] = [[] for _ in texts]
         for d, kind, a, b in spans_of(decode(buckets, start, tagger.features, tagger.follow), start):
-            out[d].append(dict(zip(SPAN.names, (said[d][a:b], tagger.kinds[kind], a, b, rank + kind), strict=True)))
-        return pa.array(out, pa.list_(SPAN))
+            out[d].append((texts[d][a:b], tagger.kinds[kind], a, b, rank + kind))
+        return out
 
-    return run(text)
+    return find
+
+
+def names(text: Column, tagger: Tagger, rank: int = 6) -> Column:
+    """The names of each text in order; null and empty texts have none."""
+    return over_texts(finder(tagger, rank))(text)

@@ -14,8 +14,8 @@ from ..functions.tagging import BITS, Tagger, decode, windows
 from .reduction import SCHEMA, pieces, summed
 from .scratch import discard, stored
 
-#: Texts that are decoded with the same weights: with more, weights of frequent things swing.
-MINI_BATCH = 1
+#: Texts that are decoded at once, if those before them turn out right.
+AHEAD = 256
 
 
 def marked(texts: list[str], names: list[list[dict]], kinds: tuple[str, ...]) -> np.ndarray:
@@ -32,27 +32,47 @@ def marked(texts: list[str], names: list[list[dict]], kinds: tuple[str, ...]) ->
 
 
 def learn(texts: list[str], gold: np.ndarray, features: np.ndarray, follow: np.ndarray, mean: tuple[np.ndarray, np.ndarray], steps: int) -> int:
-    """One pass over texts: wrong sequences move the weights, in place; mean gathers what averaging needs."""
+    """One pass over texts, one after another: a wrong sequence moves the weights, in place; mean gathers what averaging needs.
+
+    Texts whose sequences are right move nothing, so many are decoded together up to the first wrong one;
+    those behind it are decoded again with the weights that it has moved.
+    """
     start = np.append(0, np.cumsum([len(t) for t in texts]))
-    for lo in range(0, len(texts), MINI_BATCH):
-        some = texts[lo : lo + MINI_BATCH]
+    for low in range(0, len(texts), AHEAD):
+        some = texts[low : low + AHEAD]
         buckets, at = windows(some)
-        truth = gold[start[lo] : start[lo] + at[-1]]
-        said = decode(buckets, at, features, follow)
-        wrong = np.flatnonzero(said != truth)
-        steps += 1
-        for labels, sign in ((truth, 1.0), (said, -1.0)):
-            which, label = buckets[wrong].ravel(), np.repeat(labels[wrong], buckets.shape[1])
-            pairs = np.setdiff1d(np.arange(1, at[-1]), at)  # a text's first label follows none
-            change = np.zeros_like(follow)
-            np.add.at(change, (labels[pairs - 1], labels[pairs]), sign)
-            for weights, times in ((features, 1.0), (mean[0], float(steps))):
-                np.add.at(weights, (which, label), sign * times)
-            follow += change
-            mean[1][:] += change * steps
+        truth = gold[start[low] : start[low] + at[-1]]
+        lo, size = 0, 1
+        while lo < len(some):
+            hi = min(lo + size, len(some))
+            a = at[lo]
+            said = decode(buckets[a : at[hi]], at[lo : hi + 1] - a, features, follow)
+            off = np.flatnonzero(said != truth[a : at[hi]])
+            if not len(off):
+                steps += hi - lo
+                lo, size = hi, 2 * size
+                continue
+            d = int(np.searchsorted(at, a + off[0], side="right")) - 1
+            size = d - lo + 1
+            steps += size
+            begin, end = at[d], at[d + 1]
+            _move(buckets[begin:end], truth[begin:end], said[begin - a : end - a], features, follow, mean, steps)
+            lo = d + 1
     return steps
 
 
+def _move(buckets: np.ndarray, truth: np.ndarray, said: np.ndarray, features: np.ndarray, follow: np.ndarray, mean: tuple[np.ndarray, np.ndarray], steps: int) -> None:
+    wrong = np.flatnonzero(said != truth)
+    for labels, sign in ((truth, 1.0), (said, -1.0)):
+        which, label = buckets[wrong].ravel(), np.repeat(labels[wrong], buckets.shape[1])
+        change = np.zeros_like(follow)
+        np.add.at(change, (labels[:-1], labels[1:]), sign)
+        for weights, times in ((features, 1.0), (mean[0], float(steps))):
+            np.add.at(weights, (which, label), sign * times)
+        follow += change
+        mean[1][:] += change * steps
+
+
 def train(rows: DataFrame, kinds: tuple[str, ...], text_col: str = "text", names_col: str = "names", epochs: int = 4, shards: int = 8) -> Tagger:
     """The tagger from rows with names, an array of (kind, start, stop) in a column, offsets in characters from 0.
 

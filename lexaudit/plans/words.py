@@ -77,6 +77,6 @@ def segment_unknown(spark, sf_dir):
 def recognise_names(spark, sf_dir):
     """All entities of the other rows; people, places and organisations by the trained labeller, without lists."""
     model = trained(spark, sf_dir)
-    found = entities.recognise(F.col("text"), extra=tagging.names(F.col("text"), model))
+    found = entities.recognise(F.col("text"), more=tagging.finder(model))
     rows = opened(unread(spark, sf_dir), found, "e", "o_orderkey")
     return rows.select("o_orderkey", F.col("e.text").alias("text"), F.col("e.type").alias("type"), F.col("e.start").alias("start"), F.col("e.end").alias("stop"))
